@@ -1 +1,8 @@
 """Provenance analytics on Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel inside the tasks that use them, so executors need no copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
