@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import exact_dedup
+from tracewell.llm import exact_dedup, simhash
 
 MODULES = {
+    "op4_simhash": simhash,
     "op8_exact_dedup": exact_dedup,
 }
 
