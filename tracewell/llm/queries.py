@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import decontaminate, exact_dedup, simhash
+from tracewell.llm import decontaminate, exact_dedup, language, simhash
 
 MODULES = {
+    "op10_language": language,
     "op2_decontaminate": decontaminate,
     "op4_simhash": simhash,
     "op8_exact_dedup": exact_dedup,
