@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import decontaminate, exact_dedup, language, simhash
+from tracewell.llm import decontaminate, exact_dedup, language, mixing, simhash
 
 MODULES = {
+    "op9_mixing": mixing,
     "op10_language": language,
     "op2_decontaminate": decontaminate,
     "op4_simhash": simhash,
