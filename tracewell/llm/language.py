@@ -4,31 +4,26 @@ For each language a byte context tree of orders 0 to ORDER is counted on a bound
 frozen. A byte costs -log2 of its share in the longest context that has seen it; each longer context, if the language
 knows it, first costs its escape (method C: distinct successors against all counts). Below order 0 any byte costs eight
 bits. The language with the shortest code for the whole text wins.
-
-The trees of all languages are merged into hash tables with one row of costs per byte string, so scoring a text is a few
-vectorised look-ups per byte whatever the number of languages.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tracewell.llm.markov import UNIFORM_BITS, Trees, gram_counts
+
 ORDER = 4
 #: Documents of each language that the trees are counted on, in expectation; all if there are fewer.
 PER_LANGUAGE = 300
-PIECE = 1 << 20
 UNDETERMINED = "und"
-UNIFORM_BITS = 8.0
 NO_LETTERS = re.compile(r"[\W\d_]+")
-PAD = b" " * ORDER
 
 
 def clean(text: str | None) -> bytes:
@@ -37,152 +32,6 @@ def clean(text: str | None) -> bytes:
     return out.encode("utf-8", "replace") if out and (re.search("[a-z]", out) or any(map(str.isalpha, out))) else b""
 
 
-def codes(data: np.ndarray, length: int) -> np.ndarray:
-    """For each position from ORDER on, its last ``length`` bytes as one number."""
-    out = np.zeros(len(data) - ORDER, np.uint64)
-    for back in range(length - 1, -1, -1):
-        out = (out << np.uint64(8)) | data[ORDER - back : len(data) - back]
-    return out
-
-
-class HashTable:
-    """Open addressing in arrays: find() gives the slot of each key, or -1."""
-
-    def __init__(self, keys: np.ndarray, rows: np.ndarray):
-        bits = max(4, int(2 * len(keys)).bit_length())
-        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
-        self.keys, self.rows = np.full(1 << bits, ~np.uint64(0)), np.zeros((1 << bits, rows.shape[1]), np.float32)
-        at, left = self.slot(keys), np.arange(len(keys))
-        self.probes = 0
-        while left.size:
-            self.probes += 1
-            free = np.flatnonzero(self.keys[at] == ~np.uint64(0))
-            _, first = np.unique(at[free], return_index=True)
-            put = free[first]
-            self.keys[at[put]], self.rows[at[put]] = keys[left[put]], rows[left[put]]
-            keep = np.ones(left.size, bool)
-            keep[put] = False
-            left, at = left[keep], (at[keep] + 1) & self.mask
-
-    def slot(self, keys: np.ndarray) -> np.ndarray:
-        return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
-
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        at = self.slot(keys)
-        got = self.keys[at]
-        out = np.where(got == keys, at, -1)
-        open_ = np.flatnonzero((out < 0) & (got != ~np.uint64(0)))
-        at = at[open_]
-        for _ in range(self.probes - 1):
-            if not open_.size:
-                break
-            at = (at + 1) & self.mask
-            got = self.keys[at]
-            hit = got == keys[open_]
-            out[open_[hit]] = at[hit]
-            go = ~hit & (got != ~np.uint64(0))
-            open_, at = open_[go], at[go]
-        return out
-
-
-class Trees:
-    """Frozen context trees of all languages. counts: columns language, gram (ORDER + 1 bytes as a number), n."""
-
-    def __init__(self, counts: pd.DataFrame):
-        self.languages = sorted(counts["language"].unique())
-        per = [(g["gram"].to_numpy().view(np.uint64), g["n"].to_numpy()) for _, g in counts.groupby("language", sort=True)]
-        wide = len(self.languages)
-        lower_keys, lower = np.empty(0, np.uint64), np.full((1, wide), UNIFORM_BITS)
-        self.grams, self.contexts = [], []
-        for k in range(ORDER + 1):
-            keep = ~np.uint64(0) if k == 7 else np.uint64((1 << 8 * (k + 1)) - 1)
-            own = []
-            for gram, n in per:
-                keys, at = np.unique(gram & keep, return_inverse=True)
-                own.append((keys, np.bincount(at, n)))
-            union = np.unique(np.concatenate([keys for keys, _ in own])) if own else np.empty(0, np.uint64)
-            known = np.unique(union >> np.uint64(8))
-            cost, escape = np.full((len(union), wide), np.nan), np.zeros((len(known), wide))
-            for j, (keys, n) in enumerate(own):
-                contexts, at = np.unique(keys >> np.uint64(8), return_inverse=True)
-                total, kinds = np.bincount(at, n), np.bincount(at)
-                cost[np.searchsorted(union, keys), j] = -np.log2(n / (total + kinds)[at])
-                escape[np.searchsorted(known, contexts), j] = -np.log2(kinds / (total + kinds))
-            shorter = lower[np.searchsorted(lower_keys, union & np.uint64((1 << 8 * k) - 1))] if k else np.repeat(lower, len(union), 0)
-            longer = escape[np.searchsorted(known, union >> np.uint64(8))] + shorter
-            cost = np.where(np.isnan(cost), longer, cost)
-            self.grams.append(HashTable(union, cost))
-            self.contexts.append(HashTable(known, escape))
-            lower_keys, lower = union, cost
-
-    def costs(self, data: np.ndarray) -> np.ndarray:
-        """Bits of each byte after the first ORDER, for each language."""
-        out = np.zeros((len(data) - ORDER, len(self.languages)), np.float32)
-        key, left = codes(data, ORDER + 1), None
-        for k in range(ORDER, -1, -1):
-            table, known = self.grams[k], self.contexts[k]
-            at = table.find(key)
-            miss = np.flatnonzero(at < 0)
-            if left is None:
-                out[:] = table.rows[at]
-                out[miss] = 0
-                left = miss
-            else:
-                hit = at >= 0
-                out[left[hit]] += table.rows[at[hit]]
-                left = left[miss]
-            key = key[miss]
-            context = known.find(key >> np.uint64(8))
-            seen = context >= 0
-            out[left[seen]] += known.rows[context[seen]]
-            key = key & np.uint64((1 << 8 * k) - 1)
-            if not left.size:
-                return out
-        out[left] += UNIFORM_BITS
-        return out
-
-    def lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Code length in bits of each text in each language, in pieces of bounded size."""
-        out, pieces, size = np.zeros((len(texts), len(self.languages))), [], 0
-
-        def flush() -> None:
-            data = np.frombuffer(b"".join(x for _, x in pieces), np.uint8).astype(np.uint64)
-            starts = np.cumsum([0] + [len(x) for _, x in pieces[:-1]])
-            bits = np.concatenate([np.zeros((ORDER, out.shape[1]), np.float32), self.costs(data)])
-            for back in range(ORDER):
-                bits[starts + back] = 0
-            np.add.at(out, [i for i, _ in pieces], np.add.reduceat(bits, starts, axis=0, dtype=np.float64))
-            pieces.clear()
-
-        for i, text in enumerate(texts):
-            text = PAD + text
-            for at in range(ORDER, len(text), PIECE):
-                pieces.append((i, text[at - ORDER : at + PIECE]))
-                size += len(pieces[-1][1])
-                if size >= PIECE:
-                    flush()
-                    size = 0
-        if pieces:
-            flush()
-        return out
-
-
-def gram_counts(rows: DataFrame) -> DataFrame:
-    """(language, gram, n) of labelled texts: counts are summed in each batch, then over all."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            parts: dict[str, list[np.ndarray]] = {}
-            for language, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if data := clean(text):
-                    parts.setdefault(language, []).append(codes(np.frombuffer(PAD + data, np.uint8).astype(np.uint64), ORDER + 1))
-            for language, found in parts.items():
-                grams, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([language] * len(grams)), pa.array(grams.view(np.int64)), pa.array(n)], ["language", "gram", "n"])
-
-    return rows.mapInArrow(run, "language string, gram long, n long").groupBy("language", "gram").agg(F.sum("n").alias("n"))
-
-
 def held_out(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
@@ -192,9 +41,9 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", id_col: str
     known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
     sizes = known.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     share = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.join(F.broadcast(sizes), label).where(share * F.col("__n") < per_language).select(F.col(label).alias("language"), F.col(text).alias("text"))
-    counts = gram_counts(rows).toPandas()  # bounded by the sample
-    return Trees(counts) if len(counts) else None
+    rows = known.join(F.broadcast(sizes), label).where(share * F.col("__n") < per_language).select(F.col(label).alias("label"), F.col(text).alias("text"))
+    counts = gram_counts(rows, ORDER, clean).toPandas()  # bounded by the sample
+    return Trees(counts, ORDER) if len(counts) else None
 
 
 PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
@@ -216,7 +65,7 @@ def predictor(docs: DataFrame, trees: Trees | None):
                 best = bits.argmin(axis=1)
                 gap = (bits - bits.min(axis=1, keepdims=True)) / np.sqrt(np.maximum(size, 1))[:, None]
                 some = size > 0
-                out.loc[some, "lang_pred"] = np.array(trees.languages, object)[best][some]
+                out.loc[some, "lang_pred"] = np.array(trees.labels, object)[best][some]
                 out.loc[some, "score"] = (1 / np.exp2(-gap).sum(axis=1))[some]
                 out.loc[some, "bits_per_byte"] = (bits.min(axis=1) / np.maximum(size, 1))[some]
             yield out.astype({"score": float, "bits_per_byte": float})

@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import decontaminate, exact_dedup, language, mixing, simhash
+from tracewell.llm import decontaminate, exact_dedup, language, mixing, pii, simhash, urls, warc
 
 MODULES = {
+    "op1_pii": pii,
+    "op3_urls": urls,
+    "op7_warc": warc,
     "op9_mixing": mixing,
     "op10_language": language,
     "op2_decontaminate": decontaminate,
