@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import decontaminate, exact_dedup, language, mixing, pii, secrets, simhash, urls, warc
+from tracewell.llm import decontaminate, exact_dedup, language, licenses, mixing, pii, secrets, simhash, urls, warc
 
 MODULES = {
+    "op6_licenses": licenses,
     "op5_secrets": secrets,
     "op1_pii": pii,
     "op3_urls": urls,
