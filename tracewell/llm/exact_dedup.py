@@ -81,8 +81,8 @@ def dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id", counters:
     twice = out.join(bounded(again.select(F.col(id_col).alias("__twice"))), F.col(id_col).eqNullSafe(F.col("__twice")), "left_semi")
     own = W.partitionBy(id_col, F.sha2(without_spaces(F.col(text)), 256)).orderBy(F.desc(F.char_length(F.coalesce(F.col(text), F.lit("")))))
     best = twice.withColumn("__n", F.row_number().over(own)).where("__n = 1").drop("__n")
-    stay = group_rows(docs, text, id_col, counters).where("kept").select(F.col("doc_id").alias("__id"), "text_sha256").distinct()
-    best = best.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(without_spaces(F.col(text)), 256) == F.col("text_sha256")), "left_semi")
+    stay = group_rows(docs, text, id_col, counters).where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__sha")).distinct()
+    best = best.join(stay, F.col(id_col).eqNullSafe(F.col("__id")) & (F.sha2(without_spaces(F.col(text)), 256) == F.col("__sha")), "left_semi")
     return discard(out, again.select(id_col), id_col).unionByName(best)
 
 

@@ -22,7 +22,7 @@ TOLERANCE, STEPS = 1e-7, 60
 #: Equal (source, size) pairs are dealt to groups of about so many documents.
 GROUP = 2000
 #: Turns of single draws end when each source is this near its target, or after so many.
-NEAR, ROUNDS = 0.002, 10
+NEAR, ROUNDS = 0.002, 8
 
 
 def source_targets(narrow: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -87,26 +87,42 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
 
 
 def settle(drawn: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """drawn with a column copies. What a source misses its target by after the draws is about a document; in each round the one draw that brings its words nearest is turned round."""
-    turned = None
+    """drawn with a column copies. What a source misses its target by after the draws is about a document; in each round draws are turned round, from the largest documents
+    that fit into the gap down, until the next would not fit; when none fits, the one that comes nearest closes the gap as far as it goes. Which sizes are turned, and how many of each, comes from a histogram."""
+    turned, key, last = None, ["sid", "size", "part", "k"], False
     for turn in range(rounds + 1):
-        now = drawn.withColumn("copies", F.col("whole") + F.col("extra"))
+        now = drawn
         if turned is not None:
-            turns = F.pmod(F.coalesce(F.col("turns"), F.lit(0)), F.lit(2))
-            now = drawn.join(bounded(turned), ["sid", "size", "part", "k"], "left").withColumn("extra", F.when(turns == 1, 1 - F.col("extra")).otherwise(F.col("extra"))).drop("turns").withColumn("copies", F.col("whole") + F.col("extra"))
-        miss = materialise(now.groupBy("sid").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("miss"), F.first("target").alias("aim")), "miss")
-        if turn == rounds or (miss.where("aim > 0").agg(F.max(F.abs("miss") / F.col("aim"))).first()[0] or 0.0) <= NEAR:
+            odd = F.pmod(F.coalesce(F.col("turns"), F.lit(0)), F.lit(2)) == 1
+            now = drawn.join(bounded(turned), key, "left").withColumn("extra", F.when(odd, 1 - F.col("extra")).otherwise(F.col("extra"))).drop("turns")
+        now = now.withColumn("copies", F.col("whole") + F.col("extra"))
+        if last or turn == rounds:
             return now
-        after = F.abs(F.abs("miss") - F.col("size"))
-        able = now.join(bounded(miss), "sid").where(F.col("open") & (after < F.abs("miss")) & (F.col("extra") == (F.col("miss") < 0).cast("int")))
-        best = able.groupBy("sid").agg(F.min(F.struct(after.alias("after"), "size", "part", "k")).alias("best")).select("sid", "best.size", "best.part", "best.k", F.lit(1).alias("turns"))
-        best = best if turned is None else best.unionByName(turned)
-        turned = materialise(best.groupBy("sid", "size", "part", "k").agg(F.sum("turns").cast("int").alias("turns")), "turned")
+        miss = now.groupBy("sid").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("miss"), F.first("target").alias("aim"))
+        miss = materialise(miss, "miss")
+        wide = miss.where(F.abs("miss") > NEAR * F.col("aim"))
+        if not wide.count():
+            return now
+        able = now.join(bounded(wide), "sid").where(F.col("open") & (F.col("extra") == (F.col("miss") < 0).cast("int"))).withColumn("gap", F.abs("miss"))
+        sizes = able.where("size <= gap").groupBy("sid", "size", "gap").agg(F.count(F.lit(1)).alias("n"))
+        larger = F.coalesce(F.sum(F.col("n") * F.col("size")).over(W.partitionBy("sid").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        plan = sizes.withColumn("take", F.least("n", F.floor((F.col("gap") - larger) / F.col("size")))).where("take > 0").select("sid", "size", "take")
+        plan = materialise(plan, "turns")
+        if plan.count():
+            rank = F.row_number().over(W.partitionBy("sid", "size").orderBy("part", "k"))
+            new = able.join(bounded(plan), ["sid", "size"]).withColumn("rank", rank).where("rank <= take").select(*key)
+        else:
+            after = F.abs(F.col("size") - F.col("gap"))
+            new = able.where(after < F.col("gap")).groupBy("sid").agg(F.min(F.struct(after.alias("after"), "size", "part", "k")).alias("best")).select("sid", "best.size", "best.part", "best.k")
+            last = True
+        new = new.withColumn("turns", F.lit(1))
+        new = new if turned is None else new.unionByName(turned)
+        turned = materialise(new.groupBy(*key).agg(F.sum("turns").cast("int").alias("turns")), "turned")
     raise AssertionError
 
 
 def mixture(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """docs with each row as often as the mix takes it; column ``copy`` numbers its copies from 1. Rows that repeat an id get the most copies that one of them draws."""
+    """docs with each row as often as the mix takes it; column ``copy`` (in place of one of that name) numbers its copies from 1. Rows that repeat an id get the most copies that one of them draws."""
     drawn = mix(docs, text, source, id_col).groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
     rows = docs.join(bounded(materialise(drawn.where("__copies > 0"), "copies")), F.col(id_col).eqNullSafe(F.col("__id")))
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__id", "__copies")

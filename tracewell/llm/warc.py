@@ -25,7 +25,7 @@ from tracewell.llm.common import bounded, materialise, new_path
 
 MAGIC = b"\x1f\x8b\x08"
 ARCHIVE_BYTES, SPLIT_BYTES, READ_BYTES = 256 << 20, 8 << 20, 1 << 20
-HEADER_BYTES = 1 << 16
+HEADER_BYTES, PEEK_BYTES = 1 << 16, 512
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 REPORT = "file string, bytes long, records long"
 RECORD = "record_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string"
@@ -130,13 +130,21 @@ def member(window: Window, start: int) -> tuple[bytes, int] | None:
                 return None
     except zlib.error:
         return None
-    follow = window.upto(at + len(MAGIC))[at - window.at :][: len(MAGIC)]
+    follow = window.upto(at + PEEK_BYTES)[at - window.at :][:PEEK_BYTES]
     whole = b"".join(parts)
-    if not whole.startswith(b"WARC/1.") or follow not in (b"", MAGIC):
+    if not whole.startswith(b"WARC/1.") or follow and not begins(follow):
         return None
     return whole, at
 
 
+def begins(data: bytes) -> bool:
+    """Whether a member that decodes to a WARC record begins here."""
+    try:
+        return data.startswith(MAGIC) and zlib.decompressobj(31).decompress(data, 16).startswith(b"WARC/1.")
+    except zlib.error:
+        return False
+
+
 def fields(head: bytes) -> dict[str, str]:
     pairs = (line.partition(b":") for line in head.split(b"\r\n")[1:])
     return {k.strip().lower().decode("utf-8", "replace"): v.strip().decode("utf-8", "replace") for k, _, v in pairs}
