@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 # The legal kinds of edges, (source, target): operations.
 TRIPLETS = {
-    ("subject", "subject"): ("EVENT_CONNECT", "EVENT_EXECUTE", "EVENT_OPEN", "EVENT_READ", "EVENT_RECVFROM", "EVENT_RECVMSG", "EVENT_SENDMSG", "EVENT_SENDTO", "EVENT_WRITE", "EVENT_CLONE"),
-    ("subject", "file"): ("WRITE", "CONNECT"),
-    ("subject", "netflow"): ("WRITE", "CONNECT"),
-    ("file", "subject"): ("READ", "OPEN", "RECVFROM"),
-    ("netflow", "subject"): ("READ", "OPEN", "RECVFROM"),
+    ("subject", "subject"): ["EVENT_READ", "EVENT_WRITE", "EVENT_OPEN", "EVENT_CONNECT", "EVENT_RECVFROM", "EVENT_SENDTO", "EVENT_CLONE", "EVENT_SENDMSG", "EVENT_RECVMSG"],
+    ("subject", "file"): ["EVENT_WRITE", "EVENT_CONNECT", "EVENT_SENDMSG", "EVENT_SENDTO", "EVENT_CLONE"],
+    ("subject", "netflow"): ["EVENT_WRITE", "EVENT_SENDTO", "EVENT_CONNECT", "EVENT_SENDMSG"],
+    ("file", "subject"): ["EVENT_READ", "EVENT_OPEN", "EVENT_RECVFROM", "EVENT_EXECUTE", "EVENT_RECVMSG"],
+    ("netflow", "subject"): ["EVENT_OPEN", "EVENT_READ", "EVENT_RECVFROM", "EVENT_RECVMSG"],
 }
 
 

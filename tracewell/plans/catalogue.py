@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracewell.functions import text, times
-from tracewell.operators import features, graph, labels, queues as q, ranking, reduction, scoring, windows
+from tracewell.operators import features, graph, labels, queues as q, ranking, reduction, scoring, summaries, windows
 from tracewell.sources import adapters as a
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -700,12 +700,12 @@ def corpus_labels(spark, d):
 TRIPLET_SQL = ", tr(src_type, dst_type, op, triplet) AS (VALUES " + ", ".join(f"('{s}', '{t}', '{op}', {i})" for i, (s, t, op) in enumerate((s, t, op) for (s, t), ops in features.TRIPLETS.items() for op in ops)) + ")"
 
 
-@query(WITH + a.PROV + ",\n" + a.NODES + TRIPLET_SQL + " SELECT event_uuid, coalesce(triplet, 0) AS triplet FROM prov JOIN nodes s ON s.node_id = src JOIN nodes d ON d.node_id = dst LEFT JOIN tr ON tr.src_type = s.node_type AND tr.dst_type = d.node_type AND tr.op = prov.op")
+@query(WITH + a.PROV + ",\n" + a.NODES + TRIPLET_SQL + " SELECT event_uuid, coalesce(triplet, 0) AS triplet FROM prov JOIN nodes s ON s.node_id = src JOIN nodes d ON d.node_id = dst LEFT JOIN tr ON tr.src_type = s.node_type AND tr.dst_type = d.node_type AND tr.op = 'EVENT_' || prov.op")
 def triplets(spark, d):
     e = a.prov(spark, d)
     n = a.nodes(e)
     rows = e.join(n.select(F.col("node_id").alias("src"), F.col("node_type").alias("src_type")), "src").join(n.select(F.col("node_id").alias("dst"), F.col("node_type").alias("dst_type")), "dst")
-    return features.with_triplets(rows, features.triplet_table(spark)).select("event_uuid", "triplet")
+    return features.with_triplets(rows.withColumn("op", F.concat(F.lit("EVENT_"), "op")), features.triplet_table(spark)).select("event_uuid", "triplet")
 
 
 TYPES = ["READ", "OPEN", "WRITE", "CONNECT", "RECVFROM"]
@@ -753,3 +753,63 @@ def confidence_scores(spark, d):
 @query("SELECT count(DISTINCT h) AS hosts, (SELECT count(*) FROM lineitem) AS flows FROM (SELECT l_partkey AS h FROM lineitem UNION ALL SELECT l_suppkey FROM lineitem)")
 def host_counts(spark, d):
     return features.host_counts(a.table(spark, d, "lineitem"), "l_partkey", "l_suppkey")
+
+
+# summaries of series
+
+
+@query()
+def gap_mixtures(spark, d):
+    m = summaries.mixtures(gap_seconds(spark, d), "gap", "src", "op")
+    return m.select("src", "op", "n", F.size("mixture").alias("components"), F.round(F.get("mixture", F.lit(0))["mean"], 3).alias("first_mean"))
+
+
+@query()
+def mixture_storage(spark, d):
+    return summaries.storage(summaries.mixtures(gap_seconds(spark, d), "gap", "src", "op"))
+
+
+@query()
+def stream_clusters(spark, d):
+    g = windows.gaps(a.prov(spark, d), "src", "op").withColumn("gap", F.col("gap") / 1e9)
+    return summaries.stream_clusters(g, "gap", "src", "op")
+
+
+KS = GAPS.replace("(PARTITION BY src, op ORDER BY t, event_uuid)) / 1e9 AS gap FROM prov)", "(PARTITION BY src, op ORDER BY t, event_uuid)) / 1e9 AS gap, day FROM prov)")
+
+
+@query(KS + """, x AS (SELECT op, gap, CAST(sum(CASE WHEN day <= 15 THEN 1 ELSE 0 END) AS DOUBLE) AS a, CAST(sum(CASE WHEN day > 15 THEN 1 ELSE 0 END) AS DOUBLE) AS b FROM gg GROUP BY op, gap)
+SELECT op, round(max(d), 6) AS ks FROM (SELECT op, abs(sum(a) OVER u / sum(a) OVER w - sum(b) OVER u / sum(b) OVER w) AS d FROM x WINDOW u AS (PARTITION BY op ORDER BY gap), w AS (PARTITION BY op)) GROUP BY op""")
+def gap_drift(spark, d):
+    g = windows.gaps(a.prov(spark, d).withColumn("key", F.struct("src", "op")), "key").select("key.op", "t", (F.col("gap") / 1e9).alias("gap"))
+    day = F.floor(F.col("t") / a.DAY) - a.EPOCH_DAY + 1
+    return summaries.ks_drift(g.where(day <= 15), g.where(day > 15), "gap", "op").select("op", F.round("ks", 6).alias("ks"))
+
+
+@query()
+def corpus_vectors(spark, d):
+    e = a.prov(spark, d)
+    c = summaries.corpus(e, a.nodes(e), text.path_tokens)
+    v = summaries.word_vectors(c, dims=8).getVectors()
+    return v.select("word", F.size(F.transform(F.split(F.col("vector").cast("string"), ","), lambda x: x)).alias("dims"))
+
+
+@query()
+def hashed_labels(spark, d):
+    n = a.nodes(a.prov(spark, d))
+    return n.select("node_id", text.hashed(text.prefixes(F.col("label"), "/"), 16).alias("vec")).select("node_id", F.size("vec").alias("dims"), F.round(features.norm("vec"), 6).alias("norm"))
+
+
+@query("SELECT 'alpha' AS probe, x.n AS inner_rows, y.n AS left_rows, z.n AS anti_rows FROM (SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING') x, (SELECT count(*) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey) y, (SELECT count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) z")
+def join_kinds(spark, d):
+    o, c = a.table(spark, d, "orders"), a.table(spark, d, "customer")
+    n = F.count(F.lit(1))
+    inner = o.join(c.where("c_mktsegment = 'BUILDING'"), o.o_custkey == c.c_custkey).agg(n.alias("inner_rows"))
+    left = c.join(o, o.o_custkey == c.c_custkey, "left").agg(n.alias("left_rows"))
+    anti = c.join(o, o.o_custkey == c.c_custkey, "left_anti").agg(n.alias("anti_rows"))
+    return inner.join(left, F.lit(True)).join(anti, F.lit(True)).select(F.lit("alpha").alias("probe"), "inner_rows", "left_rows", "anti_rows")
+
+
+@query("SELECT o_orderstatus, o_orderpriority, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderstatus, o_orderpriority)")
+def cube_totals(spark, d):
+    return a.table(spark, d, "orders").cube("o_orderstatus", "o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("o_totalprice"), 2).alias("total"))
