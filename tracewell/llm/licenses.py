@@ -72,7 +72,7 @@ def best_match(segments: DataFrame, idf: DataFrame, vectors: DataFrame) -> DataF
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")))
     norms = each.groupBy("row", "seg").agg(norm.alias("norm"))
     dots = each.join(F.broadcast(vectors.withColumnRenamed("w", "t")), "term").groupBy("row", "seg", "licence").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
-    cosine = dots.join(norms, ["row", "seg"]).withColumn("score", F.col("dot") / F.col("norm"))
+    cosine = dots.join(norms, ["row", "seg"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))  # so that equal lines tie whatever the order of their sums
     best = cosine.groupBy("row", "seg").agg(F.min(F.struct((-F.col("score")).alias("less"), "licence")).alias("best"))
     return best.select("row", "seg", F.col("best.licence").alias("licence"), (-F.col("best.less")).alias("score"))
 
@@ -118,4 +118,23 @@ def query(spark, sf_dir: str) -> DataFrame:
     """documents as a tree of files: source / language / id; its short licence notices are the licence files."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     path = F.concat_ws("/", F.coalesce("source", F.lit("")), F.coalesce("lang", F.lit("")), F.col("doc_id").cast("string"))
-    return scan(docs.select("doc_id", "text", path.alias("path")), keep=["doc_id"])
+    return scan(docs.select("doc_id", "text", path.alias("path")), keep=["doc_id"]).withColumn("score", F.round("score", 6))
+
+
+WORD = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+SQL = rf"""
+WITH t(licence, text) AS (VALUES {", ".join(f"('{n}', '{t}')" for n, t in TEMPLATES)}),
+tt AS (SELECT licence, w, count(*) AS tf FROM (SELECT licence, unnest(regexp_extract_all(lower(text), {WORD})) AS w FROM t) GROUP BY ALL),
+d AS (SELECT doc_id, concat_ws('/', coalesce(source, ''), coalesce(lang, ''), CAST(doc_id AS VARCHAR)) AS path, coalesce(source, '') || '/' || coalesce(lang, '') AS dir, coalesce(text, '') AS text, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
+df AS (SELECT w, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(low, {WORD})) AS w FROM d) WHERE w IN (SELECT w FROM tt) GROUP BY w),
+idf AS (SELECT w, ln((1 + (SELECT count(*) FROM d)) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT DISTINCT w FROM tt) LEFT JOIN df USING (w)),
+tv AS (SELECT licence, w, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY licence)) AS x FROM tt JOIN idf USING (w)),
+l AS (SELECT doc_id, i, parts[i] AS line FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS i FROM (SELECT doc_id, regexp_split_to_array(low, '[\r\n]+') AS parts FROM d))),
+lw AS (SELECT doc_id, i, w, count(*) * coalesce(any_value(idf), 1) AS x FROM (SELECT doc_id, i, unnest(regexp_extract_all(line, {WORD})) AS w FROM l) LEFT JOIN idf USING (w) GROUP BY doc_id, i, w),
+nrm AS (SELECT doc_id, i, sqrt(sum(x * x)) AS n FROM lw GROUP BY doc_id, i),
+cosine AS (SELECT doc_id, licence, max(round(s / n, 9)) AS score FROM (SELECT doc_id, i, licence, sum(lw.x * tv.x) AS s FROM lw JOIN tv USING (w) GROUP BY ALL) JOIN nrm USING (doc_id, i) GROUP BY doc_id, licence HAVING max(round(s / n, 9)) >= {THRESHOLD}),
+own AS (SELECT doc_id, arg_min(licence, (-score, licence)) AS own, max(score) AS score FROM cosine GROUP BY doc_id),
+decl AS (SELECT dir, arg_min(path, (-score, path)) AS licence_from, arg_min(own, (-score, path)) AS near FROM d JOIN own USING (doc_id) WHERE len(regexp_split_to_array(text, '\s+')) <= {SHORT_WORDS} GROUP BY dir)
+SELECT doc_id, path, own, round(score, 6) AS score, coalesce(own, near) AS licence, CASE WHEN own IS NOT NULL THEN 'own' WHEN near IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN own IS NULL THEN licence_from END AS licence_from
+FROM d LEFT JOIN own USING (doc_id) LEFT JOIN decl USING (dir)
+"""
