@@ -21,11 +21,12 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded, materialise, new_path
+from tracewell.llm.common import bounded, frugal, materialise, new_path, to_python
 
 MAGIC = b"\x1f\x8b\x08"
 ARCHIVE_BYTES, SPLIT_BYTES, READ_BYTES = 256 << 20, 8 << 20, 1 << 20
 HEADER_BYTES, PEEK_BYTES = 1 << 16, 512
+MOST_TASKS = 50_000
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 REPORT = "file string, bytes long, records long"
 RECORD = "record_id string, url string, record_type string, refers_to string, payload_bytes long, payload_digest string"
@@ -76,7 +77,7 @@ def write_archives(pages: DataFrame, folder: str, url: str = "url", html: str =
         store, root = fs.FileSystem.from_uri(folder)
         out, done = None, []
         try:
-            for batch in batches:
+            for batch in frugal(batches):
                 for ident, url, html, refers_to in zip(*(batch.column(c) for c in ("page_id", "url", "html", "refers_to")), strict=True):
                     if out is None:
                         store.create_dir(root, recursive=True)
@@ -94,7 +95,7 @@ def write_archives(pages: DataFrame, folder: str, url: str = "url", html: str =
                 out.close()
         yield pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], t) for i, t in enumerate((pa.string(), pa.int64(), pa.int64()))], ["file", "bytes", "records"])
 
-    return materialise(rows.mapInArrow(run, REPORT), "archives")
+    return materialise(to_python(rows).mapInArrow(run, REPORT), "archives")
 
 
 class Window:
@@ -191,10 +192,12 @@ def ident(urn: str | None) -> str | None:
 def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
     """One row per record of the archives (columns file, bytes): RECORD. Bytes and digest are those of the full payload: computed for responses, as recorded for revisits."""
     splits = archives.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
-    splits = splits.repartition(F.xxhash64("file", "start"))
+    # a number of partitions of its own: by their bytes the few rows would all end up in one task
+    tasks = archives.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
+    splits = splits.repartition(min(int(tasks), MOST_TASKS), F.xxhash64("file", "start"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in frugal(batches):
             for name, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 store, path = fs.FileSystem.from_uri(name)
                 rows = []
@@ -209,7 +212,7 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
                 types = [pa.string()] * 4 + [pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [x.split()[0] for x in RECORD.split(", ")])
 
-    return splits.mapInArrow(run, RECORD)
+    return to_python(splits).mapInArrow(run, RECORD)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
