@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,7 @@ WORD_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 #: Rows with a few narrow columns that a broadcast may hold (some tens of MB in each executor).
 BROADCAST_ROWS = 500_000
+ARROW_BYTES = 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -38,6 +41,18 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def to_python(df: DataFrame) -> DataFrame:
+    """df, after asking the session for small Arrow batches: texts go to Python workers ARROW_BYTES at a time, so that neither side holds much more than one text."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    return df
+
+
+def frugal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """batches, with an allocator that gives memory back to the system: an idle worker keeps nothing of the batches it has seen."""
+    pa.set_memory_pool(pa.system_memory_pool())
+    yield from batches
+
+
 def clear_shared(spark: SparkSession) -> None:
     """Deletes the working tables of this session; call it once results are written."""
     jvm = spark.sparkContext._jvm

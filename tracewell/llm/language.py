@@ -9,20 +9,21 @@ bits. The language with the shortest code for the whole text wins.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
+from tracewell.llm.common import frugal, to_python
 from tracewell.llm.markov import UNIFORM_BITS, Trees, gram_counts
 
 ORDER = 4
 #: Documents of each language that the trees are counted on, in expectation; all if there are fewer.
 PER_LANGUAGE = 300
 UNDETERMINED = "und"
+GROUP_BYTES = 1 << 18
 NO_LETTERS = re.compile(r"[\W\d_]+")
 
 
@@ -46,47 +47,66 @@ def train(docs: DataFrame, text: str = "text", label: str = "lang", id_col: str
     return Trees(counts, ORDER) if len(counts) else None
 
 
-PREDICTION = T.StructType([T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("bits_per_byte", T.DoubleType())])
-
-
-def predictor(docs: DataFrame, trees: Trees | None):
-    """A function of a text column that gives a PREDICTION."""
-    model = docs.sparkSession.sparkContext.broadcast(trees)
-
-    @F.pandas_udf(PREDICTION)
-    def predict(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        trees = model.value
-        for texts in batches:
-            data = [clean(x) for x in texts]
-            size = np.array([len(x) for x in data])
-            out = pd.DataFrame({"lang_pred": UNDETERMINED, "score": 0.0, "bits_per_byte": 0.0}, index=range(len(data)), dtype=object)
-            if trees is not None and size.any():
-                bits = trees.lengths(data)
-                best = bits.argmin(axis=1)
-                gap = (bits - bits.min(axis=1, keepdims=True)) / np.sqrt(np.maximum(size, 1))[:, None]
-                some = size > 0
-                out.loc[some, "lang_pred"] = np.array(trees.labels, object)[best][some]
-                out.loc[some, "score"] = (1 / np.exp2(-gap).sum(axis=1))[some]
-                out.loc[some, "bits_per_byte"] = (bits.min(axis=1) / np.maximum(size, 1))[some]
-            yield out.astype({"score": float, "bits_per_byte": float})
-
-    return predict
-
-
-def identify(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
-    """docs with a struct column ``language``: lang_pred, score, bits_per_byte.
+def predictions(trees: Trees | None, texts: Iterable[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """Language, score and bits per byte of each text. Texts are cleaned one at a time and scored in small groups, so memory stays small whatever the batch."""
+    names, scores, rates, group = [], [np.empty(0)], [np.empty(0)], []
+
+    def flush() -> None:
+        size = np.array([len(x) for x in group])
+        if trees is None or not size.any():
+            names.extend([UNDETERMINED] * len(group))
+            scores.append(np.zeros(len(group)))
+            rates.append(np.zeros(len(group)))
+        else:
+            bits, n = trees.lengths(group), np.maximum(size, 1)
+            least = bits.min(axis=1)
+            names.extend(trees.labels[j] if k else UNDETERMINED for j, k in zip(bits.argmin(axis=1), size, strict=True))
+            scores.append(np.where(size > 0, 1 / np.exp2(-(bits - least[:, None]) / np.sqrt(n)[:, None]).sum(axis=1), 0))
+            rates.append(np.where(size > 0, least / n, 0))
+        group.clear()
+
+    held = 0
+    for x in texts:
+        group.append(clean(x))
+        held += len(group[-1])
+        if held >= GROUP_BYTES:
+            flush()
+            held = 0
+    if group:
+        flush()
+    return names, np.concatenate(scores), np.concatenate(rates)
+
+
+def identify(docs: DataFrame, trees: Trees | None, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, lang_pred, score, bits_per_byte) for each row of docs; other columns are not looked at.
 
     score is the winner's share when each code length is divided by the square root of the text's bytes. A text that is null or has no letter is
     ``und`` with score 0; so is every text if nothing could be learned. Of equal code lengths the first language in order wins.
     """
-    return docs.withColumn("language", predictor(docs, trees)(F.col(text)))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
+    model = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frugal(batches):
+            names, scores, rates = predictions(model.value, (x.as_py() for x in batch.column(1)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(scores), pa.array(rates)], ["doc_id", "lang_pred", "score", "bits_per_byte"])
+
+    return to_python(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, bits_per_byte double")
 
 
 def keep_identified(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
     """docs without those rejected: ``und``, or texts that the best tree codes no shorter than plain bytes (scripts that no learned language uses)."""
-    return identify(docs, trees, text).where((F.col("language.lang_pred") != UNDETERMINED) & (F.col("language.bits_per_byte") < UNIFORM_BITS)).drop("language")
+    at = docs.columns.index(text)
+    model = docs.sparkSession.sparkContext.broadcast(trees)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frugal(batches):
+            names, _, rates = predictions(model.value, (x.as_py() for x in batch.column(at)))
+            yield batch.filter(pa.array((np.array(names, object) != UNDETERMINED) & (rates < UNIFORM_BITS), pa.bool_()))
+
+    return to_python(docs).mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return identify(docs.select("doc_id", "text"), train(docs)).select("doc_id", held_out().alias("held_out"), "language.*")
+    return identify(docs, train(docs)).withColumn("held_out", held_out())

@@ -10,7 +10,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-PIECE = 1 << 20
+from tracewell.llm.common import frugal, to_python
+
+PIECE = 1 << 18
 UNIFORM_BITS = 8.0
 
 
@@ -159,7 +161,7 @@ def gram_counts(rows: DataFrame, order: int, prepare: Callable[[str], bytes]) ->
     """(label, gram, n) of the rows' columns label and text: counts are summed in each batch, then over all."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in frugal(batches):
             parts: dict[str, list[np.ndarray]] = {}
             for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 if data := prepare(text):
@@ -168,4 +170,4 @@ def gram_counts(rows: DataFrame, order: int, prepare: Callable[[str], bytes]) ->
                 grams, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array([label] * len(grams)), pa.array(grams.view(np.int64)), pa.array(n)], ["label", "gram", "n"])
 
-    return rows.select("label", "text").mapInArrow(run, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))
+    return to_python(rows.select("label", "text")).mapInArrow(run, "label string, gram long, n long").groupBy("label", "gram").agg(F.sum("n").alias("n"))

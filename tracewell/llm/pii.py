@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import materialise
+from tracewell.llm.common import frugal, materialise, to_python
 
 KINDS = ("email", "ip", "card", "phone")
 OUTSIDE = len(KINDS)
@@ -239,7 +239,7 @@ def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> SemiCr
     sample = docs.where(F.col(text).isNotNull() & (F.pmod(order, F.lit(1 << 30)) < share * (1 << 30))).select(order.alias("order"), F.col(text).alias("text"))
 
     def islands(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in frugal(batches):
             rows = []
             for order, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 spans = [(a, b, k) for k, found in enumerate(base_spans(text)) for a, b in found]
@@ -252,7 +252,7 @@ def train(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> SemiCr
                         rows.append((order, m[0], text[a - 1 : a], text[b : b + 1], [list(x) for x in inside][:8]))
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int64(), pa.string(), pa.string(), pa.string(), pa.list_(pa.list_(pa.int32()))))], ["order", "island", "before", "after", "spans"])
 
-    found = sample.mapInArrow(islands, "order long, island string, before string, after string, spans array<array<int>>")
+    found = to_python(sample).mapInArrow(islands, "order long, island string, before string, after string, spans array<array<int>>")
     found = materialise(found, "islands")
     rows = [r for some in ("size(spans) > 0", "size(spans) = 0") for r in found.where(some).orderBy("order", "island").limit(SAMPLE_ISLANDS // 2).collect()]
     chosen, left = [], {True: TRAIN_ISLANDS, False: TRAIN_ISLANDS}
@@ -306,7 +306,7 @@ def find_pii(docs: DataFrame, model: SemiCrf, text: str = "text", id_col: str =
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         crf = SemiCrf()
         crf.weights, crf.moves = kept.value
-        for batch in batches:
+        for batch in frugal(batches):
             base, spans, counts = [], [], []
             for x in batch.column(1):
                 text = x.as_py() or ""
@@ -318,7 +318,7 @@ def find_pii(docs: DataFrame, model: SemiCrf, text: str = "text", id_col: str =
             columns = [pa.array([c[i] for c in counts], pa.int64()) for i in range(len(KINDS))]
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns, pa.array(base, pa.string()), pa.array(spans, pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base", "spans"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
+    return to_python(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, n_email long, n_ip long, n_card long, n_phone long, base string, spans string")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -18,10 +18,12 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import discard, materialise
+from tracewell.llm.common import discard, frugal, materialise, to_python
 from tracewell.llm.components import components
 
 SHINGLE, SEED, DISTANCE, TILE = 3, 42, 3, 2048
+#: Fingerprints of more than one row in so many are joined back by a broadcast of their own.
+HOT = 4096
 WIDTHS = (13, 13, 13, 13, 12)
 CHUNK = 1 << 16
 
@@ -49,10 +51,10 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text).cast("binary").alias("raw"))
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in frugal(batches):
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([fingerprint(x.as_py()) for x in batch.column(1)], pa.int64())], ["doc_id", "fingerprint"])
 
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint long")
+    return to_python(rows).mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, fingerprint long")
 
 
 def block_keys(fp: str) -> Column:
@@ -97,7 +99,7 @@ def close_links(fps: DataFrame, distance: int = DISTANCE, tile: int = TILE) -> D
             pairs = np.array(found, np.uint64).reshape(-1, 2).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy())], ["a", "b"])
 
-        for batch in batches:
+        for batch in frugal(batches):
             rows = np.column_stack([c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns])
             rows = np.concatenate([*tail, rows])
             open_at = int(np.flatnonzero((rows[:, :3] == rows[-1, :3]).all(axis=1))[0])
@@ -117,13 +119,15 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
     rows of one fingerprint. A null doc_id is never the smallest, unless no other is there.
     """
     fps = materialise(fingerprints(docs, text, id_col), "fingerprints")
-    nodes = fps.groupBy("fingerprint").agg(F.min("doc_id").alias("least"))
+    nodes = fps.groupBy("fingerprint").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n"))
     roots = materialise(components(close_links(fps)), "roots")
     linked = roots.join(nodes, roots.node == nodes.fingerprint)
     least = linked.groupBy("root").agg(F.min("least").alias("reached"))
     reached = roots.join(least, "root").select(F.col("node").alias("fingerprint"), "reached")
-    ids = nodes.join(reached, "fingerprint", "left").select("fingerprint", F.coalesce("reached", "least").alias("component_id"))
-    return fps.join(ids, "fingerprint").select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
+    ids = materialise(nodes.join(reached, "fingerprint", "left").select("fingerprint", F.coalesce("reached", "least").alias("component_id"), "n"), "ids")
+    hot = F.broadcast(ids.where(F.col("n") * HOT > fps.count()).drop("n"))  # fewer than HOT rows
+    rest = fps.join(hot, "fingerprint", "left_anti").join(ids.drop("n"), "fingerprint")
+    return fps.join(hot, "fingerprint").unionByName(rest).select("doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
