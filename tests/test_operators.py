@@ -190,3 +190,65 @@ def test_context_vectors(spark):
     vec = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [2.0, 2.0])], "word string, vec array<double>")
     got = {r.word: (list(r.vec), r.n) for r in summaries.context_vectors(docs, vec, 1).collect()}
     assert got["b"] == ([3.0, 2.0], 2) and got["a"] == ([2.0, 3.0], 2)
+
+
+def test_whole_seeds_and_windows(spark, tmp_path):
+    """Closures from every node, queues, triage and degrees over all test windows, against brute force on a small table."""
+    import datetime
+    import json
+    from collections import defaultdict
+
+    from tracewell.plans import catalogue, more
+
+    kinds = ["view", "click", "purchase", "signup", "error"]
+    rows = [(i, datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=(i * 37) % 720), (i * 7) % 11, kinds[i % 5], float((i * 53) % 400), json.dumps({"k": (i * 5) % 13})) for i in range(240)]
+    spark.createDataFrame(rows, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    d = str(tmp_path)
+    e = catalogue.a.losses(spark, d).collect()
+    test = [r for r in e if r.split == "test"]
+
+    def closure(edges, start, hops=1000):
+        seen, front = {start: 0}, {start}
+        for hop in range(1, hops + 1):
+            front = {y for x, y in edges if x in front} - seen.keys()
+            seen |= dict.fromkeys(front, hop)
+        return seen
+
+    days = defaultdict(set)
+    for r in e:
+        days[r.day].add((r.src, r.dst))
+    ends = {day: {x for p in ps for x in p} for day, ps in days.items()}
+    ways = {day: {"f": ps, "b": {(y, x) for x, y in ps}} for day, ps in days.items()}
+    want = {k: {(day, s, n, h) for day, w in ways.items() for s in ends[day] for n, h in closure(w[k], s).items()} for k in "fb"}
+    assert {tuple(r) for r in catalogue.hop_counts_all(spark, d).select("day", "seed", "node", "hops").collect()} == want["f"]
+    assert {tuple(r) for r in catalogue.descendants_all(spark, d).collect()} == {x[:3] for x in want["f"]}
+    assert {tuple(r) for r in catalogue.ancestors_all(spark, d).collect()} == {x[:3] for x in want["b"]}
+    assert {tuple(r) for r in catalogue.n_hop_all(spark, d).collect()} == {(day, s, n) for day, w in ways.items() for s in ends[day] for n in closure(w["f"] | w["b"], s, 2)}
+
+    windows_ = {r.tw for r in test}
+    of = defaultdict(set)
+    for r in test:
+        of[r.src].add(r.tw)
+        of[r.dst].add(r.tw)
+    idf = {n: round(math.log(len(windows_) / (len(ws) + 1)), 6) for n, ws in of.items()}
+    assert {r.node: r.idf for r in catalogue.idf_test(spark, d).collect()} == pytest.approx(idf)
+    pairs = [(x, y) for n, ws in of.items() if idf[n] > 1 for x in ws for y in ws if x < y]
+    assert {(r.a, r.b): r.shared for r in catalogue.rare_shared_nodes_test(spark, d).collect()} == {p: pairs.count(p) for p in pairs}
+    assert {r.tw for r in catalogue.queues(spark, d).collect()} == {r.tw for r in catalogue.queue_predictions(spark, d).collect()} == windows_
+
+    score = defaultdict(float)
+    for r in test:
+        for n in (r.src, r.dst):
+            score[r.tw, n] = max(score[r.tw, n], r.loss)
+    parts, kept = set(), set()
+    for tw, poi in [k for k, v in score.items() if v > 300]:
+        ps = {(r.src, r.dst) for r in test if r.tw == tw}
+        up = closure({(y, x) for x, y in ps}, poi).keys()
+        into = {y for x, y in ps if x != y and x in up and y in up}
+        found = {en: [n for n in closure(ps, en) if n in up] for en in up - into - {poi}}
+        parts |= {(tw, poi, en, n) for en, ns in found.items() for n in ns}
+        mean = {en: sum(score[tw, n] for n in ns) / len(ns) for en, ns in found.items()}
+        kept |= {(tw, poi, n) for en, ns in found.items() if mean[en] == max(mean.values()) for n in ns} | {(tw, poi, poi)}
+    assert {tuple(r) for r in catalogue.backward_component_flagged(spark, d).select("tw", "poi", "entry", "node").collect()} == parts
+    assert {tuple(r) for r in catalogue.triage(spark, d).select("tw", "poi", "node").collect()} == kept
+    assert {(r.day, r.node) for r in more.degree_scaled_days(spark, d).collect()} == {(day, n) for day, ns in ends.items() for n in ns}

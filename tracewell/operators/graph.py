@@ -6,6 +6,8 @@ the checkpoint folder, so cycles end and lineage stays short. Seeds are a column
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,13 +29,13 @@ def roots(edges: DataFrame, *by: str) -> DataFrame:
     return out.join(into, [*by, "node"], "left").where("first_in IS NULL OR first_out < first_in").select(*by, "node")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, *by: str, backward: bool = False, max_hops: int = 64) -> DataFrame:
-    """(by, seed, node, hops): all nodes that can be reached from each seed along edges of the same ``by`` group (or against them), the seed too with 0 hops."""
+def reach(edges: DataFrame, seeds: DataFrame, *by: str, backward: bool = False, max_hops: int | None = 64) -> DataFrame:
+    """(by, seed, node, hops): all nodes that can be reached from each seed along edges of the same ``by`` group (or against them), the seed too with 0 hops. Without max_hops until nothing new is found."""
     a, b = ("dst", "src") if backward else ("src", "dst")
     step = written(edges.select(*by, F.col(a).alias("node"), F.col(b).alias("next")).distinct(), "steps")
     seen = written(seeds.select(*by, F.col("node").alias("seed"), "node", F.lit(0).alias("hops")).distinct(), "reached")
     front, parts = seen, [seen]
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         new = front.join(step, [*by, "node"]).select(*by, "seed", F.col("next").alias("node"), F.lit(hop).alias("hops")).distinct()
         front = written(new.join(seen.select(*by, "seed", "node"), [*by, "seed", "node"], "left_anti").select(*seen.columns), "front")
         if front.isEmpty():
@@ -118,8 +120,9 @@ def min_max(rows: DataFrame, column: str, *by: str) -> DataFrame:
 
 
 def ranked_entries(parts: DataFrame, scores: DataFrame, *by: str) -> DataFrame:
-    """(by, poi, node): the nodes of the entries with the highest mean node score, ties included, and the point of interest itself."""
-    mean = parts.join(scores.select("node", "score"), "node", "left").groupBy(*by, "poi", "entry").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("mean"))
+    """(by, poi, node): the nodes of the entries with the highest mean node score, ties included, and the point of interest itself. Scores may be by the same columns, or one for each node."""
+    key = [*(c for c in by if c in scores.columns), "node"]
+    mean = parts.join(scores.select(*key, "score"), key, "left").groupBy(*by, "poi", "entry").agg(F.avg(F.coalesce("score", F.lit(0.0))).alias("mean"))
     best = mean.withColumn("r", F.rank().over(W.partitionBy(*by, "poi").orderBy(F.desc("mean")))).where("r = 1").select(*by, "poi", "entry")
     return parts.join(best, [*by, "poi", "entry"], "left_semi").select(*by, "poi", "node").unionByName(parts.select(*by, "poi", F.col("poi").alias("node"))).distinct()
 

@@ -527,8 +527,24 @@ def rare_shared_nodes(spark, d):
     return q.related_windows(m, q.idf(m).where("idf > 1"))
 
 
+def test_members(spark, d):
+    """(tw, node) of all windows of the test split."""
+    return a.losses(spark, d).where("split = 'test'").select("tw", F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
+@query()
+def idf_test(spark, d):
+    return q.idf(test_members(spark, d))
+
+
+@query()
+def rare_shared_nodes_test(spark, d):
+    m = test_members(spark, d)
+    return q.related_windows(m, q.idf(m).where("idf > 1"))
+
+
 def window_queues(spark, d):
-    m = late_members(spark, d)
+    m = test_members(spark, d)
     return q.queues(m, q.related_windows(m, q.idf(m).where("idf > 1.2")))
 
 
@@ -597,6 +613,37 @@ def hop_counts(spark, d):
     return graph.reach(e, e.where("src % 10 = 3").select("day", F.col("src").alias("node")), "day", max_hops=4)
 
 
+# the same from every node; the queries above are held against SQL from one seed in ten
+
+
+def all_nodes(e):
+    return e.select("day", F.explode(F.array("src", "dst")).alias("node")).distinct()
+
+
+@query()
+def descendants_all(spark, d):
+    e = a.prov(spark, d)
+    return graph.reach(e, all_nodes(e), "day").select("day", "seed", "node")
+
+
+@query()
+def ancestors_all(spark, d):
+    e = a.prov(spark, d)
+    return graph.reach(e, all_nodes(e), "day", backward=True).select("day", "seed", "node")
+
+
+@query()
+def n_hop_all(spark, d):
+    e = a.prov(spark, d)
+    return graph.n_hop(e, all_nodes(e), 2, "day")
+
+
+@query()
+def hop_counts_all(spark, d):
+    e = a.prov(spark, d)
+    return graph.reach(e, all_nodes(e), "day", max_hops=None)
+
+
 ACYC = a.PROV + ", up AS (SELECT * FROM prov WHERE (op = 'WRITE' OR op = 'READ') AND src < dst)"
 
 
@@ -634,11 +681,26 @@ def backward_component(spark, d):
     return graph.entry_components(e, e.where("dst % 50 = 3").select("day", F.col("dst").alias("node")).distinct(), "day")
 
 
+def window_results(spark, d):
+    """(tw, node, score, y_hat) of the nodes of each test window."""
+    return scoring.reduce_losses(test_ends(spark, d), "tw", "node").withColumn("y_hat", (F.col("score") > 300).cast("int"))
+
+
+def flagged_components(spark, d):
+    e = a.losses(spark, d).where("split = 'test'")
+    return graph.entry_components(e, window_results(spark, d).where("y_hat = 1").select("tw", "node"), "tw")
+
+
+@query()
+def backward_component_flagged(spark, d):
+    return flagged_components(spark, d)
+
+
 @query()
 def triage(spark, d):
-    e = a.prov(spark, d).where("day >= 24")
-    parts = graph.entry_components(e, e.where("dst % 50 = 3").select("day", F.col("dst").alias("node")).distinct(), "day")
-    return graph.ranked_entries(parts, results(spark, d), "day")
+    scores = window_results(spark, d)
+    pois = scores.where("y_hat = 1").select("tw", F.col("node").alias("poi"), "node")  # those without entries too
+    return graph.ranked_entries(flagged_components(spark, d), scores, "tw").union(pois).distinct()
 
 
 @query(WITH + a.PROV + ", b AS (SELECT day, src AS node, dst AS neighbour, event_uuid AS e_id, t FROM prov UNION ALL SELECT day, dst, src, event_uuid, t FROM prov) SELECT day, node, neighbour, e_id FROM (SELECT *, row_number() OVER (PARTITION BY day, node ORDER BY t DESC, e_id DESC, neighbour) AS r FROM b) WHERE r <= 5")

@@ -104,6 +104,12 @@ def degree_scaled(spark, d):
     return graph.min_max(graph.degree_scores(day27(spark, d)).select("node", "score"), "score").select("node", F.round("score", 5).alias("score"))
 
 
+@query()
+def degree_scaled_days(spark, d):
+    scores = graph.degree_scores(a.prov(spark, d), "day").select("day", "node", "score")
+    return graph.min_max(scores, "score", "day").select("day", "node", F.round("score", 5).alias("score"))
+
+
 @query(WITH + a.PROV + ",\n" + a.NODES + " SELECT node_id, CASE node_type WHEN 'subject' THEN 1 WHEN 'file' THEN 2 ELSE 3 END AS type_id, CASE node_type WHEN 'subject' THEN '1,0,0' WHEN 'file' THEN '0,1,0' ELSE '0,0,1' END AS one_hot FROM nodes")
 def type_one_hot(spark, d):
     i = F.when(F.col("node_type") == "subject", 1).when(F.col("node_type") == "file", 2).otherwise(3)
