@@ -43,6 +43,22 @@ def test_pii_table(docs):
     assert pii.find_pii(docs([]), pii.SemiCrf()).count() == 0
 
 
+def test_entities_across_long_islands():
+    """An entity is found wherever it lies in an island of thousands of tokens, as with all features at once."""
+    model = pii.SemiCrf()
+    names = {x: i for i, x in enumerate(pii.NAMES)}
+    model.weights[names["octets ok"], 1] = 50
+    model.weights[names["before word"], 1] = -100
+    for shift in (3, 5):  # the first address across token 512
+        text = "7 " * (500 // 2 + shift) + "1.2.3.4 " + "7 " * 252 + "5.6.7.8 " + "7 " * 800 + "9"
+        found = pii.added_spans(text, [[], [], [], []], model)
+        assert [text[s:e] for s, e in found[1]] == ["1.2.3.4", "5.6.7.8"] and not found[0] + found[2] + found[3]
+        (island,) = [m[0] for m in pii.ISLAND.finditer(text)]
+        cuts = pii.tokens(island)
+        whole = model.decode([pii.segment_features(island, cuts, "", "")], len(cuts) - 1)
+        assert [(cuts[s], cuts[e]) for s, e, _ in whole] == found[1]
+
+
 def base_secrets(t):
     assign = re.compile(secrets.ASSIGN)
     o = [(x.start(), 0, x.end()) for x in assign.finditer(t) if len(x[2]) >= 6]

@@ -27,6 +27,8 @@ LONGEST = 14
 #: The sample: documents looked at, islands taken from one, islands that come to the driver, islands trained on (as many without an entity), tokens in one.
 SAMPLE_DOCS, PER_DOC, SAMPLE_ISLANDS, TRAIN_ISLANDS, TRAIN_TOKENS = 20_000, 10, 2000, 400, 24
 EPOCHS, RATE, L2 = 60, 0.3, 1e-3
+#: Tokens of an island whose features are held at a time.
+PIECE = 512
 #: An added span must beat leaving its tokens outside by this log-odds.
 MARGIN = 3.0
 
@@ -106,14 +108,15 @@ def tokens(island: str) -> list[int]:
     return [*(m.start() for m in TOKEN.finditer(island)), len(island)]
 
 
-def segment_features(text: str, cuts: list[int], before: str, after: str) -> np.ndarray:
-    """[end - 1, length - 1, feature] of all candidate segments."""
+def segment_features(text: str, cuts: list[int], before: str, after: str, first: int = 0, last: int | None = None) -> np.ndarray:
+    """[end - 1 - first, length - 1, feature] of all candidate segments that end after token ``first`` and by token ``last``."""
     n = len(cuts) - 1
-    out = np.zeros((n, min(LONGEST, n), len(NAMES)), np.float32)
-    for end in range(1, n + 1):
+    last = n if last is None else last
+    out = np.zeros((last - first, min(LONGEST, n), len(NAMES)), np.float32)
+    for end in range(first + 1, last + 1):
         for length in range(1, min(LONGEST, end) + 1):
             a, b = cuts[end - length], cuts[end]
-            out[end - 1, length - 1] = features(text[a:b], text[a - 1] if a else before, text[b] if b < len(text) else after)
+            out[end - 1 - first, length - 1] = features(text[a:b], text[a - 1] if a else before, text[b] if b < len(text) else after)
     return out
 
 
@@ -183,25 +186,32 @@ class SemiCrf:
                 w += RATE * g / np.sqrt(push_)
         return self
 
-    def decode(self, phi: np.ndarray) -> list[tuple[int, int, int]]:
-        """The best segmentation's entities (first token, end, type) that beat outside by MARGIN."""
-        s, n = self.scores(phi), len(phi)
+    def decode(self, parts: Iterable[np.ndarray], n: int) -> list[tuple[int, int, int]]:
+        """The best segmentation's entities (first token, end, type) that beat outside by MARGIN. parts: segment features of all n tokens, some tokens at a time."""
         best = np.full((n + 1, OUTSIDE + 1), -np.inf)
-        back = np.zeros((n + 1, OUTSIDE + 1, 2), np.int64)
+        back = np.zeros((n + 1, OUTSIDE + 1, 2), np.int16)
+        gain = np.zeros((n + 1, OUTSIDE + 1))  # the score of the segment chosen
+        alone = np.zeros(n)
         best[0, OUTSIDE] = 0
-        for end in range(1, n + 1):
-            for k in range(1, min(LONGEST, end) + 1):
-                came = best[end - k][:, None] + self.moves
-                score = s[end - 1, k - 1] + came.max(0)
-                up = score > best[end]
-                best[end][up] = score[up]
-                back[end][up] = np.stack([np.full(OUTSIDE + 1, k), came.argmax(0)], 1)[up]
+        end = 0
+        for phi in parts:
+            s = self.scores(phi)
+            alone[end : end + len(s)] = s[:, 0, OUTSIDE]
+            for row in s:
+                end += 1
+                for k in range(1, min(LONGEST, end) + 1):
+                    came = best[end - k][:, None] + self.moves
+                    score = row[k - 1] + came.max(0)
+                    up = score > best[end]
+                    best[end][up] = score[up]
+                    gain[end][up] = row[k - 1][up]
+                    back[end][up] = np.stack([np.full(OUTSIDE + 1, k), came.argmax(0)], 1)[up]
         found, end, kind = [], n, int(best[n].argmax())
         while end > 0:
             k, last = (int(x) for x in back[end, kind])
             if kind != OUTSIDE:
-                out = s[end - k : end, 0, OUTSIDE].sum() + self.moves[last, OUTSIDE] + (k - 1) * self.moves[OUTSIDE, OUTSIDE]
-                if s[end - 1, k - 1, kind] + self.moves[last, kind] - out >= MARGIN:
+                out = alone[end - k : end].sum() + self.moves[last, OUTSIDE] + (k - 1) * self.moves[OUTSIDE, OUTSIDE]
+                if gain[end, kind] + self.moves[last, kind] - out >= MARGIN:
                     found.append((end - k, end, kind))
             end, kind = end - k, last
         return found[::-1]
@@ -275,19 +285,18 @@ def added_spans(text: str, base: list[list[Span]], model: SemiCrf) -> list[list[
     for m in ISLAND.finditer(text):
         a, b = m.span()
         cuts = tokens(m[0])
-        for piece in range(0, len(cuts) - 1, 512):  # very long islands in pieces
-            part = [c for c in cuts[piece : piece + 513]]
-            inner = m[0][part[0] : part[-1]]
-            base_at = a + part[0]
-            phi = segment_features(inner, [c - part[0] for c in part], text[base_at - 1 : base_at], text[a + part[-1] : a + part[-1] + 1])
-            for first, end, kind in model.decode(phi):
-                s, e = a + part[first], a + part[end]
-                while at and (at >= len(taken) or taken[at][0] >= s):
-                    at -= 1
-                while at < len(taken) and taken[at][1] <= s:
-                    at += 1
-                if at >= len(taken) or taken[at][0] >= e:
-                    out[kind].append((s, e))
+        n = len(cuts) - 1
+        before, after = text[a - 1 : a], text[b : b + 1]
+        # features of PIECE tokens at a time, however long the island; scores run on from one to the next
+        parts = (segment_features(m[0], cuts, before, after, first, min(n, first + PIECE)) for first in range(0, n, PIECE))
+        for first, end, kind in model.decode(parts, n):
+            s, e = a + cuts[first], a + cuts[end]
+            while at and (at >= len(taken) or taken[at][0] >= s):
+                at -= 1
+            while at < len(taken) and taken[at][1] <= s:
+                at += 1
+            if at >= len(taken) or taken[at][0] >= e:
+                out[kind].append((s, e))
     return out
 
 
