@@ -125,3 +125,11 @@ def test_components_of_chains_stars_and_cycles(spark):
     links = [(i, i + 1) for i in range(20)] + [(100, i) for i in range(101, 140)] + [(200, 201), (201, 202), (202, 200), (5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {i: 0 for i in range(21)} | {i: 100 for i in range(100, 140)} | {200: 200, 201: 200, 202: 200}
+
+
+def test_near_dedup_decides_by_row(docs, text):
+    """An id with a near copy and an unrelated text loses the copy only."""
+    rows = [(1, text(1, 80), "en", "s"), (2, text(1, 80), "en", "s"), (2, text(2, 80), "en", "s"), (3, text(1, 80), "en", "s"), (4, text(3, 80), "en", "s"), (None, text(4, 80), "en", "s")]
+    kept = simhash.near_dedup(docs(rows))
+    assert kept.columns == docs(rows).columns
+    assert sorted(((r.doc_id, r.text) for r in kept.collect()), key=str) == sorted([(r[0], r[1]) for r in (rows[0], rows[2], rows[4], rows[5])], key=str)

@@ -35,6 +35,17 @@ def test_round_trip_at_any_split(spark):
         assert got == expect(rows)
 
 
+def test_ids_with_several_payloads_and_long_urls(spark):
+    """Each payload is written, and each row gives one record."""
+    rows = [(1, "u", "first"), (2, "u", "second"), (3, "u", "first"), (3, "u", "its own"), (4, "u", "first"), (4, "u", "second"), (5, "http://h/" + "%" * 40_000, "long")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = warc.read_archives(warc.write_archives(pages, new_path(spark, "test-warc"))).collect()
+    digest = lambda x: base64.b32encode(hashlib.sha1(x.encode()).digest()).decode()
+    first = {h: min(i for i, _, x in rows if x == h) for _, _, h in rows}
+    want = [(str(i), u, digest(h), "response" if first[h] == i else "revisit", None if first[h] == i else str(first[h])) for i, u, h in rows]
+    assert sorted(((r.record_id, r.url, r.payload_digest, r.record_type, r.refers_to) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_least_bytes_and_empty(spark):
     rows = [(1, "u", "ab"), (2, "u", "ab"), (3, "u", "longer text"), (4, "u", "longer text")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")

@@ -17,8 +17,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tracewell.llm.common import discard, frugal, materialise, to_python
+from tracewell.llm.common import bounded, discard, frugal, materialise, to_python
 from tracewell.llm.components import components
 
 SHINGLE, SEED, DISTANCE, TILE = 3, 42, 3, 2048
@@ -131,10 +132,30 @@ def near_groups(docs: DataFrame, text: str = "text", id_col: str = "doc_id") ->
 
 
 def near_dedup(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """The rows of docs whose doc_id is its component's; of rows that repeat such an id, all."""
-    groups = near_groups(docs, text, id_col)
-    gone = materialise(groups.where("doc_id != component_id").select(F.col("doc_id").alias(id_col)).distinct(), "near-copies")
-    return discard(docs, gone, id_col)
+    """The rows of docs whose doc_id is its component's; of rows that repeat such an id, all. Rows of one id and other texts are decided one by one."""
+    groups = near_groups(docs, text, id_col).withColumn("gone", F.col("doc_id") != F.col("component_id"))
+    by_id = groups.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.max("gone").alias("gone"), F.min("gone").alias("whole"))
+    by_id = materialise(by_id.where("gone"), "near-copies")
+    gone = by_id.where("whole").select(F.col("doc_id").alias(id_col))
+    mixed = materialise(by_id.where("NOT whole").select("doc_id"), "mixed-ids")
+    if mixed.isEmpty():
+        return discard(docs, gone, id_col)
+    kept = materialise(groups.where("NOT gone").join(bounded(mixed), "doc_id", "left_semi").select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__kept")).distinct(), "mixed-kept")
+    rows = marked(docs.join(bounded(mixed.select(F.col("doc_id").alias("__id"))), F.col(id_col) == F.col("__id"), "left_semi"), text)
+    rows = rows.join(bounded(kept), (F.col(id_col) == F.col("__id")) & (F.col("__fingerprint") == F.col("__kept")), "left_semi").drop("__fingerprint")
+    return discard(docs, by_id.select(F.col("doc_id").alias(id_col)), id_col).unionByName(rows)
+
+
+def marked(docs: DataFrame, text: str) -> DataFrame:
+    """docs with the fingerprint of each row in 16 hex digits, __fingerprint."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in frugal(batches):
+            found = [format(fingerprint(x.as_py()) & (1 << 64) - 1, "016x") for x in batch.column(at).cast(pa.binary())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.string())], [*batch.schema.names, "__fingerprint"])
+
+    return to_python(docs).mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("__fingerprint", T.StringType())]))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

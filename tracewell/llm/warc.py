@@ -18,14 +18,14 @@ from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.llm.common import bounded, frugal, materialise, new_path, to_python
 
 MAGIC = b"\x1f\x8b\x08"
 ARCHIVE_BYTES, SPLIT_BYTES, READ_BYTES = 256 << 20, 8 << 20, 1 << 20
-HEADER_BYTES, PEEK_BYTES = 1 << 16, 512
+PEEK_BYTES = 512
 MOST_TASKS = 50_000
 PROFILE = "http://netpreserve.org/warc/1.0/revisit/identical-payload-digest"
 REPORT = "file string, bytes long, records long"
@@ -55,13 +55,18 @@ def record(ident: object, url: str | None, payload: bytes, refers_to: object, da
     return pack.compress(text.encode("utf-8", "replace") + block + b"\r\n\r\n") + pack.flush()
 
 
+def payload(html: Column) -> list[Column]:
+    """Digest and bytes of a payload; null is empty."""
+    text = F.coalesce(html, F.lit(""))
+    return [F.unhex(F.sha1(text)).alias("digest"), F.octet_length(text).alias("bytes")]
+
+
 def revisits(pages: DataFrame, html: str = "html", id_col: str = "page_id", least: int = 0) -> DataFrame:
-    """(page_id, refers_to) of pages whose payload has at least ``least`` bytes and is that of a page with a smaller id. Hot payloads are reduced by partial minima and joined from a small table of groups."""
-    text = F.coalesce(F.col(html), F.lit(""))
-    narrow = materialise(pages.select(F.col(id_col).alias("page_id"), F.unhex(F.sha1(text)).alias("digest"), F.octet_length(text).alias("bytes")), "payloads")
+    """(page_id, digest, bytes, refers_to) of payloads with at least ``least`` bytes that a page with a smaller id has too. Hot payloads are reduced by partial minima and joined from a small table of groups."""
+    narrow = materialise(pages.select(F.col(id_col).alias("page_id"), *payload(F.col(html))), "payloads")
     groups = narrow.where(F.col("bytes") >= least).groupBy("digest", "bytes").agg(F.min("page_id").alias("refers_to"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
     found = narrow.join(bounded(materialise(groups, "groups")), ["digest", "bytes"]).where("page_id != refers_to")
-    return materialise(found.select("page_id", "refers_to").distinct(), "revisits")
+    return materialise(found.select("page_id", "digest", "bytes", "refers_to").distinct(), "revisits")
 
 
 def write_archives(pages: DataFrame, folder: str, url: str = "url", html: str = "html", id_col: str = "page_id", least: int = 0, date: str = "2024-01-01T00:00:00Z", archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
@@ -71,7 +76,8 @@ def write_archives(pages: DataFrame, folder: str, url: str = "url", html: str =
     responses too.
     """
     first = revisits(pages, html, id_col, least)
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("binary").alias("html")).join(bounded(first), "page_id", "left")
+    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("binary").alias("html"), *payload(F.col(html)))
+    rows = rows.join(bounded(first), ["page_id", "digest", "bytes"], "left").drop("digest", "bytes")  # an id may come with several payloads
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -153,7 +159,7 @@ def fields(head: bytes) -> dict[str, str]:
 
 def parse(whole: bytes) -> tuple[dict[str, str], bytes, bytes] | None:
     """Header, HTTP header and payload of a record; None if its length isn't what its header says."""
-    cut = whole.find(b"\r\n\r\n", 0, HEADER_BYTES)
+    cut = whole.find(b"\r\n\r\n")
     head = fields(whole[:cut]) if cut > 0 else {}
     if not head.get("content-length", "").isdigit() or len(whole) != cut + 4 + int(head["content-length"]) + 4:
         return None
