@@ -252,3 +252,8 @@ def test_whole_seeds_and_windows(spark, tmp_path):
     assert {tuple(r) for r in catalogue.backward_component_flagged(spark, d).select("tw", "poi", "entry", "node").collect()} == parts
     assert {tuple(r) for r in catalogue.triage(spark, d).select("tw", "poi", "node").collect()} == kept
     assert {(r.day, r.node) for r in more.degree_scaled_days(spark, d).collect()} == {(day, n) for day, ns in ends.items() for n in ns}
+
+
+def test_closures_of_long_chains(spark):
+    e = edges(spark, [(f"n{i}", f"n{i + 1}", i, "X") for i in range(66)])
+    assert graph.reach(e, spark.createDataFrame([("n0",)], "node string")).count() == 67

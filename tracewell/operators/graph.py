@@ -29,7 +29,7 @@ def roots(edges: DataFrame, *by: str) -> DataFrame:
     return out.join(into, [*by, "node"], "left").where("first_in IS NULL OR first_out < first_in").select(*by, "node")
 
 
-def reach(edges: DataFrame, seeds: DataFrame, *by: str, backward: bool = False, max_hops: int | None = 64) -> DataFrame:
+def reach(edges: DataFrame, seeds: DataFrame, *by: str, backward: bool = False, max_hops: int | None = None) -> DataFrame:
     """(by, seed, node, hops): all nodes that can be reached from each seed along edges of the same ``by`` group (or against them), the seed too with 0 hops. Without max_hops until nothing new is found."""
     a, b = ("dst", "src") if backward else ("src", "dst")
     step = written(edges.select(*by, F.col(a).alias("node"), F.col(b).alias("next")).distinct(), "steps")
