@@ -1,4 +1,4 @@
-"""Working tables of iterative operators."""
+"""Working tables of operators that need more than one pass, in a folder that the driver and all executors see."""
 
 from __future__ import annotations
 
@@ -9,18 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; on a local master without it, a temporary folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir, or what setCheckpointDir was given. Where neither is set, a local master gets a temporary folder; any other is refused."""
+    sc = spark.sparkContext
+    where = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not where:
-        if not spark.sparkContext.master.startswith("local["):
+        if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="tracewell-")
-        spark.conf.set("spark.checkpoint.dir", where)
+        sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="tracewell-"))  # the session remembers it
+        where = sc.getCheckpointDir()
     return where.rstrip("/")
 
 
+def new_path(spark: SparkSession, label: str) -> str:
+    return f"{folder(spark)}/tracewell/{label}-{uuid.uuid4().hex}"
+
+
 def written(df: DataFrame, label: str) -> DataFrame:
-    """df as a Parquet table in the shared folder, read again: what an iteration builds on is stored once and survives executors."""
-    spark = df.sparkSession
-    df.write.parquet(path := f"{folder(spark)}/tracewell/{label}-{uuid.uuid4().hex}")
-    return spark.read.schema(df.schema).parquet(path)
+    """df as a Parquet table in the shared folder, read again: lineage ends there, what an iteration builds on is stored once, and a lost executor costs no more than its own tasks."""
+    df.write.parquet(path := new_path(df.sparkSession, label))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
