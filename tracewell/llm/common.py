@@ -2,48 +2,36 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tracewell.operators.storage import folder as shared_dir
+from tracewell.operators.storage import new_path, written
+
+materialise = written
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
 WORD_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
-#: Rows with a few narrow columns that a broadcast may hold (some tens of MB in each executor).
-BROADCAST_ROWS = 500_000
+#: What a broadcast may hold: both bounds are checked against the table itself.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 64 << 20
+#: A sieve has so many blocks of so many 64-bit words: 16 MB, whatever goes into it.
+SIEVE_BLOCKS, SIEVE_WORDS = 4096, 512
 ARROW_BYTES = 4 << 20
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors see: spark.checkpoint.dir, or, on a local master without it, a temporary folder."""
-    where = spark.conf.get("spark.checkpoint.dir", None)
-    if not where:
-        if not spark.sparkContext.master.startswith("local["):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        where = tempfile.mkdtemp(prefix="tracewell-")
-        spark.conf.set("spark.checkpoint.dir", where)
-    return where.rstrip("/")
-
-
-def new_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_dir(spark)}/tracewell/{label}-{uuid.uuid4().hex}"
-
-
-def materialise(df: DataFrame, label: str) -> DataFrame:
-    """Writes df as a Parquet table in the shared folder and reads it again: lineage ends there, a lost executor costs no more than its own tasks, and each later pass reads only its columns."""
-    spark = df.sparkSession
-    df.write.parquet(path := new_path(spark, label))
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def to_python(df: DataFrame) -> DataFrame:
-    """df, after asking the session for small Arrow batches: texts go to Python workers ARROW_BYTES at a time, so that neither side holds much more than one text."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
+    """df, after asking the session for small Arrow batches: texts go to Python workers ARROW_BYTES at a time, so that neither side holds much more than one text. A
+    smaller setting of the session's own stays. The setting is read when the plan runs, so it can't be taken back here."""
+    conf, name = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    own = (conf.get(name, None) or "").rstrip("bB")
+    if not own.isdigit() or not 0 < int(own) <= ARROW_BYTES:
+        conf.set(name, str(ARROW_BYTES))
     return df
 
 
@@ -60,9 +48,27 @@ def clear_shared(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def bounded(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most so many rows, else as it is (a shuffled join, whose hot keys the adaptive skew join splits). df should be a written table: then the count comes from footers."""
-    return F.broadcast(df) if df.count() <= rows else df
+def _bytes(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.StringType, T.BinaryType)):
+        return F.coalesce(F.octet_length(value), F.lit(0)).cast("long") + 16
+    if isinstance(kind, T.ArrayType):
+        return F.coalesce(F.aggregate(value, F.lit(16).cast("long"), lambda n, x: n + _bytes(x, kind.elementType)), F.lit(16).cast("long"))
+    if isinstance(kind, T.StructType):
+        return sum((_bytes(value[f.name], f.dataType) for f in kind.fields), F.lit(16).cast("long"))
+    return F.lit(8).cast("long")
+
+
+def fits(df: DataFrame, rows: int | None = None) -> bool:
+    """Whether df, a written table, is within both bounds of a broadcast. Rows are counted from footers first; bytes are summed over the values only if there are few rows."""
+    if df.count() > (BROADCAST_ROWS if rows is None else rows):
+        return False
+    size = F.sum(sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in df.schema.fields), F.lit(16).cast("long")))
+    return (df.agg(size).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def bounded(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it fits, else as it is (a shuffled join, whose hot keys the adaptive skew join splits)."""
+    return F.broadcast(df) if fits(df, rows) else df
 
 
 def lower_ascii(text: Column) -> Column:
@@ -87,7 +93,40 @@ def list_sha256(items: Column) -> Column:
     return F.sha2(F.concat_ws(",", items), 256)
 
 
-def discard(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id is in ids (a written table of distinct ids)."""
-    ids = bounded(ids.select(F.col(id_col).alias("__gone")))
-    return docs.join(ids, F.col(id_col).eqNullSafe(F.col("__gone")) if ids.where("__gone IS NULL").limit(1).count() else F.col(id_col) == F.col("__gone"), "left_anti")
+def _place(*keys: Column) -> tuple[Column, Column, Column]:
+    """Block, word and bit of a key in a sieve. Equal keys have equal places, null too."""
+    h = F.xxhash64(F.lit("sieve"), *keys)
+    return F.pmod(h, F.lit(SIEVE_BLOCKS)).cast("int"), F.pmod(F.shiftright(h, 16), F.lit(SIEVE_WORDS)).cast("int"), F.expr("shiftleft(1L, cast(pmod(shiftright(__h, 40), 64) as int))")
+
+
+def sieve(keys: DataFrame) -> DataFrame:
+    """A Bloom filter of bounded size over all columns of keys: a row of SIEVE_WORDS words for each of SIEVE_BLOCKS blocks."""
+    h = F.xxhash64(F.lit("sieve"), *keys.columns)
+    block, word, bit = _place(*map(F.col, keys.columns))
+    own = keys.select(h.alias("__h"), block.alias("block"), word.alias("word")).select("block", "word", bit.alias("bits"))
+    blank = keys.sparkSession.range(SIEVE_BLOCKS * SIEVE_WORDS).select((F.col("id") % SIEVE_BLOCKS).cast("int").alias("block"), F.expr(f"cast(id div {SIEVE_BLOCKS} as int)").alias("word"), F.lit(0).cast("long").alias("bits"))
+    words = own.unionByName(blank).groupBy("block", "word").agg(F.bit_or("bits").alias("bits")).groupBy("block").agg(F.array_sort(F.collect_list(F.struct("word", "bits"))).alias("words"))
+    return written(words.select("block", F.transform("words", lambda w: w["bits"]).alias("words")), "sieve")
+
+
+def sifted(rows: DataFrame, keys: DataFrame, on: list[Column]) -> tuple[DataFrame, DataFrame]:
+    """rows in two parts: those whose key may be in keys (all that are, and a few others), and those whose key is not. Nothing is shuffled; rows is read once for each part."""
+    block, word, bit = _place(*on)
+    marked = rows.withColumn("__h", F.xxhash64(F.lit("sieve"), *on)).withColumn("__block", block).withColumn("__word", word).withColumn("__bit", bit)
+    marked = marked.join(F.broadcast(sieve(keys)), F.col("__block") == F.col("block"))
+    hit = F.get("words", F.col("__word")).bitwiseAND(F.col("__bit")) != 0
+    return marked.where(hit).select(rows.columns), marked.where(~hit).select(rows.columns)
+
+
+def discard(docs: DataFrame, ids: DataFrame, id_col: str = "doc_id", rows: int | None = None) -> DataFrame:
+    """docs without the rows whose id is in ids (a written table of distinct ids; null ids count as equal).
+
+    Few ids are broadcast. Where they are too many, a Bloom filter of bounded size is, and only the rows that it can't clear are shuffled with their texts.
+    """
+    gone = ids.select(F.col(id_col).alias("__gone"))
+    same = F.col(id_col).eqNullSafe(F.col("__gone")) if not gone.where("__gone IS NULL").isEmpty() else F.col(id_col) == F.col("__gone")
+    if fits(gone, rows):
+        return docs.join(F.broadcast(gone), same, "left_anti")
+    kind = docs.schema[id_col].dataType.simpleString()
+    suspects, clear = sifted(docs, gone.select(F.col("__gone").cast(kind)), [F.col(id_col)])
+    return clear.unionByName(suspects.join(gone, same, "left_anti"))

@@ -21,7 +21,7 @@ from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import bounded, frugal, materialise, new_path, to_python
+from tracewell.llm.common import bounded, fits, frugal, materialise, new_path, sifted, to_python
 
 MAGIC = b"\x1f\x8b\x08"
 ARCHIVE_BYTES, SPLIT_BYTES, READ_BYTES = 256 << 20, 8 << 20, 1 << 20
@@ -77,7 +77,13 @@ def write_archives(pages: DataFrame, folder: str, url: str = "url", html: str =
     """
     first = revisits(pages, html, id_col, least)
     rows = pages.select(F.col(id_col).alias("page_id"), F.col(url).alias("url"), F.col(html).cast("binary").alias("html"), *payload(F.col(html)))
-    rows = rows.join(bounded(first), ["page_id", "digest", "bytes"], "left").drop("digest", "bytes")  # an id may come with several payloads
+    key = ["page_id", "digest", "bytes"]  # an id may come with several payloads
+    if fits(first):
+        rows = rows.join(F.broadcast(first), key, "left")
+    else:  # only pages that may be revisits are shuffled
+        suspects, clear = sifted(rows, first.select(*key), [F.col(c) for c in key])
+        rows = suspects.join(first, key, "left").unionByName(clear.withColumn("refers_to", F.lit(None).cast(first.schema["refers_to"].dataType)))
+    rows = rows.select("page_id", "url", "html", "refers_to")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -200,7 +206,9 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
     splits = archives.where("bytes > 0").select("file", "bytes", F.explode(F.sequence(F.lit(0).cast("long"), F.col("bytes") - 1, F.lit(split_bytes).cast("long"))).alias("start"))
     # a number of partitions of its own: by their bytes the few rows would all end up in one task
     tasks = archives.agg(F.sum(F.ceil(F.col("bytes") / split_bytes))).first()[0] or 1
-    splits = splits.repartition(min(int(tasks), MOST_TASKS), F.xxhash64("file", "start"))
+    tasks = min(int(tasks), MOST_TASKS)
+    numbered = splits.withColumn("deal", F.pmod(F.monotonically_increasing_id(), F.lit(tasks)).cast("int"))  # the table of archives is small: neighbours go to different tasks
+    splits = numbered.repartitionByRange(tasks, "deal").drop("deal")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in frugal(batches):
@@ -224,4 +232,5 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
 def query(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     archives = write_archives(pages, new_path(spark, "warc"))
-    return read_archives(archives).select(F.col("record_id").cast("long").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast("long").alias("refers_to"))
+    kind = pages.schema["page_id"].dataType
+    return read_archives(archives).select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
