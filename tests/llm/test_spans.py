@@ -53,10 +53,10 @@ def test_entities_across_long_islands():
         text = "7 " * (500 // 2 + shift) + "1.2.3.4 " + "7 " * 252 + "5.6.7.8 " + "7 " * 800 + "9"
         found = pii.added_spans(text, [[], [], [], []], model)
         assert [text[s:e] for s, e in found[1]] == ["1.2.3.4", "5.6.7.8"] and not found[0] + found[2] + found[3]
-        (island,) = [m[0] for m in pii.ISLAND.finditer(text)]
-        cuts = pii.tokens(island)
-        whole = model.decode([pii.segment_features(island, cuts, "", "")], len(cuts) - 1)
-        assert [(cuts[s], cuts[e]) for s, e, _ in whole] == found[1]
+        ((a, b),) = pii.islands(text)
+        cuts = pii.tokens(text[a:b])
+        whole = model.decode([pii.segment_features(text[a:b], cuts, "", "")], len(cuts) - 1)
+        assert [(cuts[s], cuts[e]) for s, e, _, _ in whole] == found[1]
 
 
 def base_secrets(t):
@@ -90,11 +90,47 @@ def test_licences(spark):
         (None, "All rights reserved."), (None, ""), ("a/x.py", "code only"), ("long/f", "filler words here\n" * 20_000 + "Licensed under CC BY-NC 4.0."),
     ]
     table = spark.createDataFrame([(p, t, "k", 5) for p, t in files], "path string, text string, licence string, row int")
-    got = sorted(((r.path, r.licence, r.origin, r.licence_from) for r in licenses.scan(table, short_words=0).collect()), key=str)
+    got = sorted(((r.path, r.licence, r.origin, r.licence_from) for r in licenses.scan(table, file_threshold=2.0).collect()), key=str)
     want = [("a/LICENSE", "MIT", "own", None), ("a/x.py", "MIT", "inherited", "a/LICENSE"), ("a/x.py", "MIT", "inherited", "a/LICENSE"), ("a/b/y.py", "Apache-2.0", "own", None), ("a/b/c/z.py", "GPL-3.0", "inherited", "a/b/COPYING"), ("q.txt", None, None, None), ("a/b/COPYING", "GPL-3.0", "own", None), (None, "all-rights-reserved", "own", None), (None, None, None, None), ("long/f", "CC-BY-NC-4.0", "own", None)]
     assert got == sorted(want, key=str)
     assert licenses.scan(table.limit(0)).count() == 0
 
 
+GPL_HEADER = """/*
+ * frob.c -- frobnicates
+ * Copyright (C) 2020 Somebody
+ *
+ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or
+ * (at your option) any later version.
+ *
+ * This program is distributed in the hope that it will be useful,
+ * but WITHOUT ANY WARRANTY; without even the implied warranty of
+ * MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+ * GNU General Public License for more details.
+ */
+int main() { return 0; }
+"""
+
+
+def test_whole_texts_and_wrapped_headers(spark):
+    """Full texts of licence files and standard headers over several comment lines are known; their licences are inherited from the nearest directory."""
+    import textwrap
+
+    full = {n: t for n, t in licenses.TEMPLATES if len(t) > 400}
+    wrapped = lambda t: "\n".join(textwrap.wrap(t, 70))
+    mit = "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + wrapped(full["MIT"]).replace("conditions:\n", "conditions:\n\n")
+    files = [
+        ("m/LICENSE", mit), ("m/a.py", "import x"), ("b2/LICENSE.txt", "Copyright 2020 X\n\n" + wrapped(full["BSD-2-Clause"])), ("b3/COPYING", "Copyright 2020 X\n\n" + wrapped(full["BSD-3-Clause"])), ("g/frob.c", GPL_HEADER),
+        ("ap/x.py", "\n".join("# " + x for x in textwrap.wrap(full["Apache-2.0"], 60)) + "\nimport os\n"), ("g/LICENSE", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\n" + "Everyone is permitted to copy and distribute verbatim copies of this document. " * 40), ("g/deep/er/y.c", "int y;"), ("m/mostly", "Released under the MIT License. See me."),
+    ] + [(f"z/{i}", f"some words of file {i} about the use of software and license questions in general") for i in range(40)]
+    got = {r.path: (r.licence, r.origin, r.licence_from) for r in licenses.scan(spark.createDataFrame(files, "path string, text string")).collect()}
+    want = {"m/LICENSE": "MIT", "b2/LICENSE.txt": "BSD-2-Clause", "b3/COPYING": "BSD-3-Clause", "g/frob.c": "GPL-3.0", "ap/x.py": "Apache-2.0", "g/LICENSE": "GPL-3.0", "m/mostly": "MIT"}
+    assert {k: got[k][0] for k in want} == want
+    assert got["m/a.py"] == ("MIT", "inherited", "m/LICENSE") and got["g/deep/er/y.c"] == ("GPL-3.0", "inherited", "g/LICENSE")
+    assert all(got[f"z/{i}"] == (None, None, None) for i in range(40))
+
+
 def test_hash_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
