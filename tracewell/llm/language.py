@@ -16,12 +16,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.common import frugal, to_python
+from tracewell.llm.common import bounded, frugal, materialise, to_python
 from tracewell.llm.markov import UNIFORM_BITS, Trees, gram_counts
 
 ORDER = 4
-#: Documents of each language that the trees are counted on, in expectation; all if there are fewer.
-PER_LANGUAGE = 300
+#: The sample that trees are counted on: documents of each language, in expectation (all if there are fewer), of all languages together, and characters of one at most (longer texts are identified, but not learned from).
+PER_LANGUAGE, SAMPLE_DOCS, LONGEST = 300, 20_000, 50_000
 UNDETERMINED = "und"
 GROUP_BYTES = 1 << 18
 NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -39,10 +39,11 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> Trees | None:
     """Trees from labelled rows with an id and a text that aren't held out: all of a language, or a sample by hash of ``per_language`` in expectation. None if there are no such rows."""
-    known = docs.where(F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    sizes = known.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    known = docs.where((F.char_length(text) <= LONGEST) & F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
+    sizes = materialise(known.groupBy(label).agg(F.count(F.lit(1)).alias("__n")), "languages")
+    per_language = min(per_language, SAMPLE_DOCS / max(1, sizes.count()))
     share = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.join(F.broadcast(sizes), label).where(share * F.col("__n") < per_language).select(F.col(label).alias("label"), F.col(text).alias("text"))
+    rows = known.join(bounded(sizes), label).where(share * F.col("__n") < per_language).select(F.col(label).alias("label"), F.col(text).alias("text"))
     counts = gram_counts(rows, ORDER, clean).toPandas()  # bounded by the sample
     return Trees(counts, ORDER) if len(counts) else None
 

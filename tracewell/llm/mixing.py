@@ -11,6 +11,8 @@ a few draws are then turned round to close that gap.
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -19,8 +21,8 @@ from tracewell.llm.common import bounded, materialise
 
 WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 TOLERANCE, STEPS = 1e-7, 60
-#: Equal (source, size) pairs are dealt to groups of about so many documents.
-GROUP = 2000
+#: Equal (source, size) pairs are dealt to groups of about so many documents, and so many groups of a pair share a subtotal of the running sum.
+GROUP, BLOCK = 2000, 1000
 #: Turns of single draws end when each source is this near its target, or after so many.
 NEAR, ROUNDS = 0.002, 8
 
@@ -57,9 +59,21 @@ def newton(histogram: DataFrame, sources: DataFrame, cap: float = CAP) -> DataFr
         state = materialise(now, "dual")
         if (state.agg(F.max("miss")).first()[0] or 0.0) <= TOLERANCE:
             break
+    else:
+        warnings.warn(f"after {STEPS} steps the rates of some source miss its target by more than {TOLERANCE}", stacklevel=2)
     return state.select("sid", "lam", "mean")
 
 
+def summed_before(groups: DataFrame) -> DataFrame:
+    """groups with the sum of x over those before them in their source, by size and part. In two levels: no task sees more than a size's BLOCK groups, or a source's subtotals."""
+    groups = groups.withColumn("block", F.floor(F.col("part") / BLOCK).cast("int"))
+    upto = lambda w: F.coalesce(F.sum("x").over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0))
+    totals = groups.groupBy("sid", "size", "block").agg(F.sum("x").alias("x"))
+    totals = materialise(totals.select("sid", "size", "block", upto(W.partitionBy("sid").orderBy("size", "block")).alias("base")), "subtotals")
+    within = groups.withColumn("inner", upto(W.partitionBy("sid", "size", "block").orderBy("part")))
+    return within.join(bounded(totals), ["sid", "size", "block"]).withColumn("before", F.col("base") + F.col("inner")).drop("base", "inner", "block", "x")
+
+
 def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id", weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """One row per row of docs: doc_id, size, source_size, target, copies, taken.
 
@@ -77,8 +91,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     rate = F.when(F.col("size") == 0, 1.0).when(F.col("lam").isNull(), cap).otherwise(F.least(F.lit(cap), F.exp(F.least(F.col("lam") * F.col("size") / F.col("mean"), F.lit(700.0)))))
     groups = dealt.groupBy("sid", "size", "part").agg(F.count(F.lit(1)).alias("n")).join(bounded(dual), "sid", "left")
     groups = groups.withColumn("rate", rate).withColumn("whole", F.floor("rate")).withColumn("rest", F.col("rate") - F.col("whole"))
-    before = F.coalesce(F.sum(F.col("n") * F.col("rest")).over(W.partitionBy("sid").orderBy("size", "part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0.0)) + 0.5
-    groups = materialise(groups.withColumn("before", before).select("sid", "size", "part", "whole", "rest", "before"), "rates")
+    groups = materialise(summed_before(groups.withColumn("x", F.col("n") * F.col("rest"))).select("sid", "size", "part", "whole", "rest", (F.col("before") + 0.5).alias("before")), "rates")
     k = F.row_number().over(W.partitionBy("sid", "size", "part").orderBy(F.xxhash64("doc_id"), "doc_id"))
     drawn = dealt.join(bounded(groups), ["sid", "size", "part"]).withColumn("k", k)
     extra = F.floor(F.col("before") + F.col("rest") * F.col("k")) - F.floor(F.col("before") + F.col("rest") * (F.col("k") - 1))
@@ -109,8 +122,12 @@ def settle(drawn: DataFrame, rounds: int = ROUNDS) -> DataFrame:
         plan = sizes.withColumn("take", F.least("n", F.floor((F.col("gap") - larger) / F.col("size")))).where("take > 0").select("sid", "size", "take")
         plan = materialise(plan, "turns")
         if plan.count():
-            rank = F.row_number().over(W.partitionBy("sid", "size").orderBy("part", "k"))
-            new = able.join(bounded(plan), ["sid", "size"]).withColumn("rank", rank).where("rank <= take").select(*key)
+            fit = able.join(bounded(plan), ["sid", "size"])
+            parts = fit.groupBy("sid", "size", "part").agg(F.count(F.lit(1)).alias("n"))  # a row for each group of documents
+            ahead = F.coalesce(F.sum("n").over(W.partitionBy("sid", "size").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+            parts = materialise(parts.select("sid", "size", "part", ahead.alias("ahead")), "ahead")
+            rank = F.col("ahead") + F.row_number().over(W.partitionBy("sid", "size", "part").orderBy("k"))
+            new = fit.join(bounded(parts), ["sid", "size", "part"]).withColumn("rank", rank).where("rank <= take").select(*key)
         else:
             after = F.abs(F.col("size") - F.col("gap"))
             new = able.where(after < F.col("gap")).groupBy("sid").agg(F.min(F.struct(after.alias("after"), "size", "part", "k")).alias("best")).select("sid", "best.size", "best.part", "best.k")
