@@ -56,7 +56,7 @@ def test_entities_across_long_islands():
         ((a, b),) = pii.islands(text)
         cuts = pii.tokens(text[a:b])
         whole = model.decode([pii.segment_features(text[a:b], cuts, "", "")], len(cuts) - 1)
-        assert [(cuts[s], cuts[e]) for s, e, _, _ in whole] == found[1]
+        assert [(cuts[s], cuts[e]) for s, e, _, gain in whole if gain > model.margin] == found[1]
 
 
 def base_secrets(t):
