@@ -58,17 +58,19 @@ def norm_stats(rows: DataFrame, vec: str) -> DataFrame:
     return rows.agg(F.round(F.avg(n), 6).alias("mean"), F.round(F.stddev_pop(n), 6).alias("std"), F.round(F.min(n), 6).alias("min"), F.round(F.max(n), 6).alias("max"))
 
 
-def knn_scores(train: DataFrame, queries: DataFrame, k: int = 10, vec: str = "embedding", key: str = "vec_id") -> DataFrame:
-    """(key, score): mean distance of each query to its k nearest training vectors over the training vectors' own mean. A stated query set against all rows: vectors are dealt
-    to blocks, each pair of a query and a block keeps its k nearest, and blocks are merged."""
-    a = queries.select(F.col(key).alias("q"), F.col(vec).alias("qv"))
-    b = train.select(F.col(key).alias("r"), F.col(vec).alias("rv"), F.pmod(F.xxhash64(key), F.lit(16)).alias("block"))
-    met = a.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(15).cast("long")))).join(b, "block").where("q != r")
+def knn_scores(train: DataFrame, queries: DataFrame, k: int = 10, vec: str = "embedding", key: str = "vec_id", block: int = 4096) -> DataFrame:
+    """(key, score): mean distance of each query to its k nearest training vectors other than itself. A stated query set against all rows: both are dealt to blocks of about ``block`` rows, however many there are; each pair of blocks keeps the k
+    nearest of each of its queries, and these are merged."""
+    blocks, parts = max(1, -(-train.count() // block)), max(1, -(-queries.count() // block))
+    deal = lambda n: F.pmod(F.xxhash64(key), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    a = queries.select(F.col(key).alias("q"), F.col(vec).alias("qv"), deal(parts).alias("part"), every(blocks).alias("block"))
+    b = train.select(F.col(key).alias("r"), F.col(vec).alias("rv"), deal(blocks).alias("block"), every(parts).alias("part"))
     d = F.sqrt(F.aggregate(F.zip_with("qv", "rv", lambda x, y: (x - y).cast("double") * (x - y)), F.lit(0.0), lambda s, x: s + x))
-    near = met.select("q", "block", "r", d.alias("d"))
-    first = near.withColumn("n", F.row_number().over(W.partitionBy("q", "block").orderBy("d", "r"))).where(F.col("n") <= k)
-    best = first.withColumn("n", F.row_number().over(W.partitionBy("q").orderBy("d", "r"))).where(F.col("n") <= k)
-    return best.groupBy(F.col("q").alias(key)).agg(F.round(F.avg("d"), 5).alias("score"))
+    nearest = lambda rows: F.slice(F.array_sort(rows), 1, k)
+    first = a.join(b, ["part", "block"]).where("q != r").groupBy("q", "block").agg(nearest(F.collect_list(F.struct(d.alias("d"), "r"))).alias("near"))
+    best = first.groupBy("q").agg(nearest(F.flatten(F.collect_list("near"))).alias("near"))
+    return best.select(F.col("q").alias(key), F.round(F.aggregate("near", F.lit(0.0), lambda s, x: s + x["d"]) / F.size("near"), 5).alias("score"))
 
 
 def host_counts(rows: DataFrame, *columns: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewell.operators.running import numbered
+
 # Parts of labels of nodes that are not worth a queue.
 KEYWORDS = [":", "/dev/pts", "salt-minion.log", "null", "usr", "proc", "firefox", "tmp", "thunderbird", "bin/", "/data/replay_logdb", "/stat", "/boot", "qt-opensource-linux-x64", "/eraseme", "675"]
 LEGACY_KEYWORDS = [":", "null", "/dev/pts", "salt-minion.log", "675", "usr", "proc", "/.cache/mozilla/", "tmp", "thunderbird", "/bin/", "/sbin/sysctl", "/data/replay_logdb/", "/home/admin/eraseme", "/stat"]
@@ -95,7 +97,7 @@ def mimicry(events: DataFrame, processes: DataFrame, files: DataFrame, templates
     spark = events.sparkSession
     span = events.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
     pick = lambda salt, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), n)
-    at = lambda rows: rows.select("node", (F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed), "node"), "node")) - 1).cast("long").alias("r"))
+    at = lambda rows: numbered(rows.select("node", F.xxhash64(F.lit(seed), "node").alias("h")), [], ["h", "node"], "r").select("node", (F.col("r") - 1).alias("r"))
     np_, nf = processes.count(), files.count()
     tries = spark.range(quota).select("id", pick("p", F.lit(max(np_, 1))).alias("p"), pick("f", F.lit(max(nf, 1))).alias("f"), pick("k", F.lit(len(templates))).cast("int").alias("k"))
     rows = tries.join(at(processes).select(F.col("node").alias("src"), F.col("r").alias("p")), "p").join(at(files).select(F.col("node").alias("dst"), F.col("r").alias("f")), "f").join(F.broadcast(span), F.lit(True))

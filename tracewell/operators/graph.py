@@ -6,12 +6,14 @@ the checkpoint folder, so cycles end and lineage stays short. Seeds are a column
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewell.operators.running import numbered
 from tracewell.operators.storage import written
 
 
@@ -64,27 +66,26 @@ def entry_components(edges: DataFrame, pois: DataFrame, *by: str, backward: bool
     return entries.withColumnRenamed("node", "entry").join(down, [*by, "entry"]).join(up, [*by, "poi", "node"], "left_semi").select(*by, "poi", "entry", "node")
 
 
-def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_hops: int = 16) -> DataFrame:
+def shortest_paths(edges: DataFrame, sources: DataFrame, targets: DataFrame, max_hops: int | None = None) -> DataFrame:
     """(source, target, hops): lengths of shortest paths between the given nodes."""
     return reach(edges, sources, max_hops=max_hops).select(F.col("seed").alias("source"), F.col("node").alias("target"), "hops").join(targets.select(F.col("node").alias("target")).distinct(), "target", "left_semi").select("source", "target", "hops")
 
 
-def temporal_trace(edges: DataFrame, seeds: DataFrame, backward: bool = True, max_hops: int = 32) -> DataFrame:
-    """(seed, hop, node, t): the one chain back from each seed (node, t): always the latest edge into the node before the time reached, or forward the earliest edge out of it after."""
+def temporal_trace(edges: DataFrame, seeds: DataFrame, backward: bool = True, max_hops: int | None = None) -> DataFrame:
+    """(seed, hop, node, t): the one chain back from each seed (node, t): always the latest edge into the node before the time reached, or forward the earliest edge out of it after. Times only fall (or rise), so chains end; max_hops ends them sooner."""
     at, other, agg, cond = ("dst", "src", F.max, "e_t < t") if backward else ("src", "dst", F.min, "e_t > t")
     ends = written(edges.select(F.col(at).alias("node"), F.col(other).alias("to"), F.col("t").alias("e_t")), "ends")
     front = written(seeds.select(F.col("node").alias("seed"), F.lit(0).alias("hop"), "node", "t"), "trace")
     parts = [front]
-    for hop in range(1, max_hops + 1):
+    for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         met = front.join(ends, "node").where(cond).groupBy("seed").agg(agg(F.struct("e_t", "to")).alias("e"))
         front = written(met.select("seed", F.lit(hop).alias("hop"), F.col("e.to").alias("node"), F.col("e.e_t").alias("t")), "trace")
         if front.isEmpty():
             break
         parts.append(front)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        if len(parts) == 16:  # one table for many, so that long chains don't make long plans
+            parts = [written(reduce(DataFrame.unionByName, parts), "trace")]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def versioned(edges: DataFrame, *by: str) -> DataFrame:
@@ -93,8 +94,7 @@ def versioned(edges: DataFrame, *by: str) -> DataFrame:
     An arrival bumps its node iff the node was seen in an earlier edge or is the edge's source; versions are running
     counts of bumps per node, one for the arrival itself in the target's and none in the source's.
     """
-    order = W.partitionBy(*by).orderBy("t", "event_uuid")
-    e = edges.select(*by, "src", "dst", "t", "event_uuid").withColumn("i", F.row_number().over(order))
+    e = written(numbered(edges.select(*by, "src", "dst", "t", "event_uuid"), [*by], ["t", "event_uuid"], "i"), "numbered")
     ends = e.select(*by, "i", F.col("src").alias("node"), F.lit(0).alias("arrival"), (F.col("src") == F.col("dst")).alias("loop")).unionByName(e.select(*by, "i", F.col("dst").alias("node"), F.lit(1).alias("arrival"), (F.col("src") == F.col("dst")).alias("loop")))
     seen = F.min("i").over(W.partitionBy(*by, "node"))
     bump = ((F.col("arrival") == 1) & ((seen < F.col("i")) | F.col("loop"))).cast("int")
@@ -106,6 +106,20 @@ def versioned(edges: DataFrame, *by: str) -> DataFrame:
     return moves.withColumn("kind", F.lit("edge")).unionByName(ties.withColumn("kind", F.lit("next")))
 
 
+def components(pairs: DataFrame) -> DataFrame:
+    """(node, root): the smallest node that links (a, b) reach. Each round every node takes the least root among its neighbours and that root's own root, until nothing changes."""
+    links = written(pairs.select("a", "b").union(pairs.select("b", "a")).distinct(), "links")
+    label = written(links.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("root")), "labels")
+    while True:
+        near = links.join(label.select(F.col("node").alias("b"), "root"), "b").groupBy(F.col("a").alias("node")).agg(F.min("root").alias("near"))
+        new = label.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("old"))
+        jump = new.join(label.select(F.col("node").alias("root"), F.col("root").alias("further")), "root", "left")
+        now = written(jump.select("node", F.least("root", F.coalesce("further", "root")).alias("root"), "old"), "labels")
+        if now.where("root != old").isEmpty():
+            return now.select("node", "root")
+        label = now.select("node", "root")
+
+
 def degree_scores(edges: DataFrame, *by: str) -> DataFrame:
     """Out-degree over in-degree of each node; 0 without incoming edges."""
     ends = edges.select(*by, F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit(1).alias("o"), F.lit(0).alias("i")), F.struct(F.col("dst").alias("node"), F.lit(0).alias("o"), F.lit(1).alias("i")))).alias("e")).select(*by, "e.*")
@@ -127,11 +141,11 @@ def ranked_entries(parts: DataFrame, scores: DataFrame, *by: str) -> DataFrame:
     return parts.join(best, [*by, "poi", "entry"], "left_semi").select(*by, "poi", "node").unionByName(parts.select(*by, "poi", F.col("poi").alias("node"))).distinct()
 
 
-def acyclic(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def acyclic(edges: DataFrame) -> DataFrame:
     """Distinct edges that lie on no cycle: pairs without self loops whose target can't reach back. Peels nodes without incoming or outgoing edges first, so closures run on the cyclic core only."""
     pairs = written(edges.select("src", "dst").where("src != dst").distinct(), "pairs")
     core = pairs
-    for _ in range(max_rounds):
+    while True:
         n = core.count()
         core = written(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "core")
         if core.count() == n:
@@ -177,12 +191,14 @@ def walks(edges: DataFrame, length: int, per_node: int, seed: int = 0, temporal:
 def synthetic_attacks(edges: DataFrame, processes: DataFrame, files: DataFrame, per_process: int = 20, seed: int = 0) -> DataFrame:
     """OPEN, READ and WRITE edges from each process to files it never touched, at most ``per_process``, chosen by hash rank.
 
-    Each process looks at a hash-chosen stretch of the file list instead of all pairs; what it touched is left out by an anti join.
+    Each process looks at a hash-chosen stretch of the file list instead of all pairs; what it touched is left out by an anti join. The stretch is as long as what it touched
+    and what it needs together, so it always holds enough fresh files if there are any.
     """
-    ranked = files.select(F.col("node").alias("file"), (F.row_number().over(W.orderBy(F.xxhash64(F.lit(seed), "node"))) - 1).alias("r"))
+    ranked = numbered(files.select(F.col("node").alias("file"), F.xxhash64(F.lit(seed), "node").alias("h")), [], ["h", "file"], "r").select("file", (F.col("r") - 1).alias("r"))
     total = files.count()
-    tries = min(total, 4 * per_process)
-    picks = processes.select("node", F.explode(F.sequence(F.lit(0), F.lit(max(tries - 1, 0)))).alias("k")).withColumn("r", F.pmod(F.xxhash64(F.lit(seed), "node") % max(total, 1) + F.col("k"), F.lit(max(total, 1))))
+    touched = edges.select(F.col("src").alias("node"), F.col("dst").alias("file")).union(edges.select("dst", "src")).distinct().join(files.select(F.col("node").alias("file")), "file", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    tries = F.least(F.lit(total), F.coalesce("d", F.lit(0)) + per_process)
+    picks = processes.join(touched, "node", "left").where(tries > 0).select("node", F.explode(F.sequence(F.lit(0).cast("long"), tries - 1)).alias("k")).withColumn("r", F.pmod(F.xxhash64(F.lit(seed), "node") % max(total, 1) + F.col("k"), F.lit(max(total, 1))))
     known = edges.select(F.col("src").alias("node"), F.col("dst").alias("file")).union(edges.select("dst", "src")).distinct()
     fresh = picks.join(ranked.withColumn("r", F.col("r").cast("long")), "r").join(known, ["node", "file"], "left_anti")
     kept = fresh.withColumn("n", F.row_number().over(W.partitionBy("node").orderBy("k"))).where(F.col("n") <= per_process)

@@ -6,6 +6,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.operators.graph import components
+from tracewell.operators.running import numbered
+from tracewell.operators.storage import written
+
 
 def idf(members: DataFrame, item: str = "node", window: str = "tw") -> DataFrame:
     """(item, df, idf): ln(windows / (df + 1))."""
@@ -21,17 +25,25 @@ def related_windows(members: DataFrame, rare: DataFrame) -> DataFrame:
 
 
 def queues(windows: DataFrame, related: DataFrame) -> DataFrame:
-    """(queue, tw): in order, each window joins the first queue that has a related window, or opens one. The assignment depends on the one before, so one task folds over windows; it gets a row per window and related pair, no events."""
-    rows = windows.select("tw").distinct().select("tw", F.lit(None).cast("long").alias("other")).unionByName(related.select(F.col("b").alias("tw"), F.col("a").alias("other")))
+    """(queue, tw): in order, each window joins the first queue that has a related window, or opens one; queues are numbered in the order of their first windows.
+
+    An assignment depends on those before it, but on related windows only: each connected component of related windows is folded by itself, and sees a row for each of its windows and pairs. Windows without
+    relations open queues of their own without a fold.
+    """
+    parts = components(related).select(F.col("node").alias("tw"), "root")
+    rows = related.select(F.col("b").alias("tw"), F.col("a").alias("other")).unionByName(parts.select("tw", F.lit(None).cast("long").alias("other")))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        of: dict[int, int] = {}
+        of: dict[int, int] = {}  # the first window of each window's queue
         for tw, part in pdf.groupby("tw", sort=True):
             known = [of[o] for o in part["other"].dropna().astype("int64") if o in of]
-            of[tw] = min(known) if known else (max(of.values(), default=-1) + 1)
-        return pd.DataFrame({"queue": list(of.values()), "tw": list(of)})
+            of[tw] = min(known) if known else tw
+        return pd.DataFrame({"first": list(of.values()), "tw": list(of)})
 
-    return rows.withColumn("all", F.lit(0)).groupBy("all").applyInPandas(fold, "queue long, tw long")
+    joined = written(rows.join(parts, "tw").groupBy("root").applyInPandas(fold, "first long, tw long"), "queues")
+    members = joined.unionByName(windows.select("tw").distinct().join(joined.select("tw"), "tw", "left_anti").select(F.col("tw").alias("first"), "tw"))
+    numbers = numbered(members.select("first").distinct(), [], ["first"], "queue")
+    return members.join(numbers, "first").select((F.col("queue") - 1).alias("queue"), "tw")
 
 
 def queue_scores(members: DataFrame, losses: DataFrame) -> DataFrame:

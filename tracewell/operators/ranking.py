@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewell.operators.running import trapezoids
 
 BUCKETS = 64
 
@@ -54,9 +55,7 @@ def recall_curve(results: DataFrame) -> DataFrame:
 
 
 def area(curve: DataFrame, x: str, y: str, divisor: float = 100.0) -> DataFrame:
-    w = W.orderBy(x)
-    step = (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
-    return curve.select(step.alias("step")).agg(F.round(F.coalesce(F.sum("step"), F.lit(0.0)) / divisor, 6).alias("area"))
+    return trapezoids(curve, x, y).select(F.round(F.col("area") / divisor, 6).alias("area"))
 
 
 def top_scores(results: DataFrame, k: int, y: int) -> DataFrame:

@@ -52,10 +52,10 @@ def collapse_eligible(edges: DataFrame, eligible: DataFrame, *window: str) -> Da
 
 def temporal_features(collapsed: DataFrame, *window: str) -> DataFrame:
     """first, last (scaled to the window's range of times) and log count of collapsed edges."""
-    by = W.partitionBy(*window)
-    low, high = F.min("first_t").over(by), F.max("last_t").over(by)
-    reach = F.when(high - low < 1e-6, 1.0).otherwise((high - low).cast("double"))
-    return collapsed.select(*window, *KEY, ((F.col("first_t") - low) / reach).alias("f_first"), ((F.col("last_t") - low) / reach).alias("f_last"), (F.log1p("n") / 10).alias("f_count"))
+    ends = collapsed.groupBy(*window).agg(F.min("first_t").alias("__low"), F.max("last_t").alias("__high"))
+    low, width = F.col("__low"), F.col("__high") - F.col("__low")
+    reach = F.when(width < 1e-6, 1.0).otherwise(width.cast("double"))
+    return collapsed.join(ends, list(window)).select(*window, *KEY, ((F.col("first_t") - low) / reach).alias("f_first"), ((F.col("last_t") - low) / reach).alias("f_last"), (F.log1p("n") / 10).alias("f_count"))
 
 
 def reduction_stats(edges: DataFrame, collapsed: DataFrame, *window: str) -> DataFrame:
@@ -72,8 +72,8 @@ def split_totals(stats: DataFrame, split: str = "split") -> DataFrame:
 
 def min_time_diffs(edges: DataFrame) -> DataFrame:
     """Edges fused by their attributes: least and greatest distance to the first time of their destination."""
-    first = F.min("t").over(W.partitionBy("dst"))
-    return edges.withColumn("d", F.col("t") - first).groupBy(*KEY).agg(F.min("d").alias("min_d"), F.max("d").alias("max_d"), F.count(F.lit(1)).alias("n"))
+    first = edges.groupBy("dst").agg(F.min("t").alias("first"))
+    return edges.join(first, "dst").withColumn("d", F.col("t") - F.col("first")).groupBy(*KEY).agg(F.min("d").alias("min_d"), F.max("d").alias("max_d"), F.count(F.lit(1)).alias("n"))
 
 
 def moments(values: DataFrame, column: str, *key: str) -> DataFrame:
@@ -87,18 +87,18 @@ def moments(values: DataFrame, column: str, *key: str) -> DataFrame:
 
 def fourier(values: DataFrame, column: str, frequencies: int, *key: str) -> DataFrame:
     """Mean cosine and sine of the values scaled to their range, for each frequency: the empirical characteristic function."""
-    by = W.partitionBy(*key)
-    low, reach = F.min(column).over(by), F.max(column).over(by) - F.min(column).over(by)
-    scaled = values.withColumn("x", (F.col(column) - low) / F.when(reach == 0, 1.0).otherwise(reach.cast("double")))
+    ends = values.groupBy(*key).agg(F.min(column).alias("__low"), F.max(column).alias("__high"))
+    reach = F.col("__high") - F.col("__low")
+    scaled = values.join(ends, list(key)).withColumn("x", (F.col(column) - F.col("__low")) / F.when(reach == 0, 1.0).otherwise(reach.cast("double")))
     cols = [g(f(2 * 3.141592653589793 * k * F.col("x"))).alias(f"{name}{k}") for k in range(1, frequencies + 1) for name, f, g in (("cos", F.cos, F.avg), ("sin", F.sin, F.avg))]
     return scaled.groupBy(*key).agg(*cols)
 
 
 def kde_at(values: DataFrame, column: str, nodes: list[float], *key: str) -> DataFrame:
     """Gaussian density estimates at mean + node * std for each key, with Scott's bandwidth n^(-1/5) times the sample deviation."""
-    by = W.partitionBy(*key)
     x = F.col(column).cast("double")
-    placed = values.select(*key, x.alias("x"), F.avg(x).over(by).alias("m"), F.stddev_samp(x).over(by).alias("s"), F.count(F.lit(1)).over(by).alias("n")).where("n > 1 AND s > 0")
+    stats = values.groupBy(*key).agg(F.avg(x).alias("m"), F.stddev_samp(x).alias("s"), F.count(F.lit(1)).alias("n")).where("n > 1 AND s > 0")
+    placed = values.select(*key, x.alias("x")).join(stats, list(key))
     h = F.pow("n", F.lit(-0.2)) * F.col("s")
     z = lambda node: (F.col("m") + node * F.col("s") - F.col("x")) / h
     return placed.groupBy(*key).agg(*(F.avg(F.exp(-0.5 * z(v) * z(v)) / (h * 2.5066282746310002)).alias(f"kde{i}") for i, v in enumerate(nodes)))
@@ -106,10 +106,11 @@ def kde_at(values: DataFrame, column: str, nodes: list[float], *key: str) -> Dat
 
 def scaled(values: DataFrame, column: str, *key: str) -> DataFrame:
     """Min-max, standard and max-abs scaling within each key."""
-    by, x = W.partitionBy(*key), F.col(column).cast("double")
-    low, high, m, s, top = F.min(x).over(by), F.max(x).over(by), F.avg(x).over(by), F.stddev_pop(x).over(by), F.max(F.abs(x)).over(by)
+    x, c = F.col(column).cast("double"), F.col
+    stats = values.groupBy(*key).agg(F.min(x).alias("__low"), F.max(x).alias("__high"), F.avg(x).alias("__m"), F.stddev_pop(x).alias("__s"), F.max(F.abs(x)).alias("__top"))
     safe = lambda d: F.when(d == 0, 1.0).otherwise(d)
-    return values.withColumn("min_max", (x - low) / safe(high - low)).withColumn("standard", (x - m) / safe(s)).withColumn("max_abs", x / safe(top))
+    out = values.join(stats, list(key)).withColumn("min_max", (x - c("__low")) / safe(c("__high") - c("__low"))).withColumn("standard", (x - c("__m")) / safe(c("__s"))).withColumn("max_abs", x / safe(c("__top")))
+    return out.drop("__low", "__high", "__m", "__s", "__top")
 
 
 def sample_long(events: DataFrame, n: int, seed: int, *key: str) -> DataFrame:

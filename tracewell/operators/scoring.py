@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewell.operators.running import running
+
 EPS = 1e-12
 THRESHOLDS = {"max_val_loss": lambda x: F.max(x), "mean_val_loss": lambda x: F.avg(x), "90_percent_val_loss": lambda x: F.percentile(x, F.lit(0.9))}
 FIXED_THRESHOLDS = {"threatrace": 1.5, "flash": 0.53}
@@ -48,18 +50,17 @@ def confusion(rows: DataFrame, y: Column, y_hat: Column, *by: str) -> DataFrame:
 
 
 def score_groups(rows: DataFrame, score: str, y: str) -> DataFrame:
-    """(score, pos, n, tp_up, n_up): counts per distinct score and of all scores at or above. Only distinct scores meet in the global window."""
+    """(score, pos, n, tp_up, n_up): counts per distinct score and of all scores at or above."""
     g = rows.groupBy(F.col(score).alias("score")).agg(F.sum(y).alias("pos"), F.count(F.lit(1)).alias("n"))
-    up = W.orderBy(F.desc("score")).rowsBetween(W.unboundedPreceding, 0)
-    return g.withColumn("tp_up", F.sum("pos").over(up)).withColumn("n_up", F.sum("n").over(up))
+    return running(g, [], [F.desc("score")], tp_up=F.col("pos"), n_up=F.col("n"))
 
 
 def roc_auc(rows: DataFrame, score: str, y: str) -> DataFrame:
     """Area under the ROC curve as the rank statistic; ties count half."""
     g = score_groups(rows, score, y).withColumn("neg", F.col("n") - F.col("pos"))
-    below = F.sum("neg").over(W.orderBy("score").rowsBetween(W.unboundedPreceding, -1))
-    parts = g.withColumn("won", F.col("pos") * (F.coalesce(below, F.lit(0)) + F.col("neg") / 2))
-    return parts.agg(F.round(F.sum("won") / (F.sum("pos") * F.sum("neg")), 6).alias("auc"))
+    lost = F.sum(F.col("pos") * (F.col("n_up") - F.col("tp_up") - F.col("neg") / 2))  # negatives above, and half of equal ones
+    every = F.sum("pos") * F.sum("neg")
+    return g.agg(F.round((every - lost) / every, 6).alias("auc"))
 
 
 def average_precision(rows: DataFrame, score: str, y: str) -> DataFrame:
@@ -75,8 +76,12 @@ def classified(rows: DataFrame) -> DataFrame:
 
 def window_anomalies(losses: DataFrame, factor: float = 1.5) -> DataFrame:
     """Per window: threshold mean + factor * deviation, edges above it, their mean loss, their nodes and distinct edges."""
-    by = W.partitionBy("tw")
-    rows = losses.withColumn("threshold", F.avg("loss").over(by) + factor * F.stddev_pop("loss").over(by))
+    levels = losses.groupBy("tw").agg((F.avg("loss") + factor * F.stddev_pop("loss")).alias("threshold"))
+    return over_threshold(losses.join(levels, "tw"))
+
+
+def over_threshold(rows: DataFrame) -> DataFrame:
+    """The same with column threshold given. Windows without an edge above have zeros."""
     over = F.col("loss") > F.col("threshold")
     hot = rows.where(over)
     stats = rows.groupBy("tw").agg(F.round(F.first("threshold"), 6).alias("threshold"), F.count_if(over).alias("n"), F.round(F.coalesce(F.avg(F.when(over, F.col("loss"))), F.lit(0.0)), 6).alias("mean_loss"))

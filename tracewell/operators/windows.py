@@ -7,6 +7,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewell.operators.running import numbered
+from tracewell.operators.storage import written
+
 ORDER = ("t", "event_uuid")
 
 
@@ -17,8 +20,7 @@ def quantised_windows(events: DataFrame, block: int = 1024, size_ns: int = 900_0
     start plus the size, or with the last block; the next one starts where it ended. Only the fold over blocks is sequential: it sees one
     row per block, and its result (a row per window) is joined back on block numbers.
     """
-    key = W.partitionBy(by).orderBy(*ORDER)
-    placed = events.withColumn("block", F.floor((F.row_number().over(key) - 1) / block).cast("int"))
+    placed = written(numbered(events, [by], [*ORDER], "block").withColumn("block", F.floor((F.col("block") - 1) / block).cast("int")), "blocks")
     blocks = placed.groupBy(by, "block").agg(F.min("t").alias("first_t"), F.max("t").alias("last_t"))
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -34,7 +36,8 @@ def quantised_windows(events: DataFrame, block: int = 1024, size_ns: int = 900_0
 
     kind = events.schema[by].dataType.simpleString()
     windows = blocks.groupBy(by).applyInPandas(fold, f"block int, tw int, start_ns long, end_ns long, {by} {kind}")
-    return placed.join(windows, [by, "block"]).drop("block")
+    windows = written(windows, "windows")  # a row for each block
+    return placed.join(F.broadcast(windows) if windows.count() < 1_000_000 else windows, [by, "block"]).drop("block")
 
 
 def fixed_windows(events: DataFrame, size_ns: int) -> DataFrame:
@@ -49,15 +52,14 @@ def fuse_runs(edges: DataFrame, *window: str) -> DataFrame:
 
 def row_batches(edges: DataFrame, size: int, *by: str) -> DataFrame:
     """edges with a batch number: ``size`` consecutive edges of each group, the last batch may be short."""
-    return edges.withColumn("batch", F.floor((F.row_number().over(W.partitionBy(*by).orderBy(*ORDER)) - 1) / size).cast("int"))
+    return numbered(edges, [*by], [*ORDER], "batch").withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("int"))
 
 
 def minute_batches(edges: DataFrame, slide_ns: int, length_ns: int, *by: str) -> DataFrame:
     """Tumbling batches from the first event's slot on; events after a batch's length are left out."""
-    first = F.min("t").over(W.partitionBy(*by))
-    start = F.floor(first / slide_ns) * slide_ns
-    placed = edges.withColumn("batch", F.floor((F.col("t") - start) / slide_ns)).withColumn("__from", start + F.col("batch") * slide_ns)
-    return placed.where(F.col("t") < F.col("__from") + length_ns).drop("__from")
+    starts = edges.groupBy(*by).agg((F.floor(F.min("t") / slide_ns) * slide_ns).alias("__start"))
+    placed = edges.join(starts, list(by)).withColumn("batch", F.floor((F.col("t") - F.col("__start")) / slide_ns))
+    return placed.where(F.col("t") < F.col("__start") + F.col("batch") * slide_ns + length_ns).drop("__start")
 
 
 def pair_batches(edges: DataFrame, by: str) -> DataFrame:
