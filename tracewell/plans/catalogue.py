@@ -509,29 +509,25 @@ def largest_jump(spark, d):
 
 # rare nodes and queues
 
-IDF = WITH + a.LOSSES + ", m AS (SELECT DISTINCT tw, unnest([src, dst]) AS node FROM losses WHERE day >= 27), i AS (SELECT node, count(DISTINCT tw) AS df, round(ln((SELECT count(DISTINCT tw) FROM m) / (count(DISTINCT tw) + 1)), 6) AS idf FROM m GROUP BY node)"
+IDF = WITH + a.LOSSES + ", m AS (SELECT DISTINCT tw, unnest([src, dst]) AS node FROM losses WHERE split = 'test'), i AS (SELECT node, count(DISTINCT tw) AS df, round(ln((SELECT count(DISTINCT tw) FROM m) / (count(DISTINCT tw) + 1)), 6) AS idf FROM m GROUP BY node)"
 
 
-def late_members(spark, d):
-    return a.losses(spark, d).where("day >= 27").select("tw", F.explode(F.array("src", "dst")).alias("node")).distinct()
+def test_members(spark, d):
+    """(tw, node) of all windows of the test split."""
+    return a.losses(spark, d).where("split = 'test'").select("tw", F.explode(F.array("src", "dst")).alias("node")).distinct()
 
 
 @query(IDF + " SELECT * FROM i")
 def idf(spark, d):
-    return q.idf(late_members(spark, d))
+    return q.idf(test_members(spark, d))
 
 
 @query(IDF + ", r AS (SELECT m.* FROM m JOIN i USING (node) WHERE idf > 1) SELECT x.tw AS a, y.tw AS b, count(*) AS shared FROM r x JOIN r y ON x.node = y.node AND x.tw < y.tw GROUP BY ALL")
 def rare_shared_nodes(spark, d):
-    m = late_members(spark, d)
+    m = test_members(spark, d)
     return q.related_windows(m, q.idf(m).where("idf > 1"))
 
 
-def test_members(spark, d):
-    """(tw, node) of all windows of the test split."""
-    return a.losses(spark, d).where("split = 'test'").select("tw", F.explode(F.array("src", "dst")).alias("node")).distinct()
-
-
 @query()
 def idf_test(spark, d):
     return q.idf(test_members(spark, d))
@@ -584,36 +580,36 @@ def degree_scores(spark, d):
     return graph.degree_scores(a.prov(spark, d), "day")
 
 
-CLOSURE = ", reach(day, seed, node) AS (SELECT DISTINCT day, {a}, {a} FROM prov WHERE {a} % 10 = 3 UNION SELECT r.day, r.seed, e.{b} FROM reach r JOIN prov e ON e.day = r.day AND e.{a} = r.node)"
+CLOSURE = ", reach(day, seed, node) AS (SELECT DISTINCT day, {a}, {a} FROM prov WHERE {a} % 20 = 0 UNION SELECT r.day, r.seed, e.{b} FROM reach r JOIN prov e ON e.day = r.day AND e.{a} = r.node)"
 
 
 @query(WITH + a.PROV + CLOSURE.format(a="src", b="dst") + " SELECT day, seed, node FROM reach")
 def descendants(spark, d):
     e = a.prov(spark, d)
-    return graph.reach(e, e.where("src % 10 = 3").select("day", F.col("src").alias("node")), "day").select("day", "seed", "node")
+    return graph.reach(e, e.where("src % 20 = 0").select("day", F.col("src").alias("node")), "day").select("day", "seed", "node")
 
 
 @query(WITH + a.PROV + CLOSURE.format(a="dst", b="src") + " SELECT day, seed, node FROM reach")
 def ancestors(spark, d):
     e = a.prov(spark, d)
-    return graph.reach(e, e.where("dst % 10 = 3").select("day", F.col("dst").alias("node")), "day", backward=True).select("day", "seed", "node")
+    return graph.reach(e, e.where("dst % 20 = 0").select("day", F.col("dst").alias("node")), "day", backward=True).select("day", "seed", "node")
 
 
-@query(WITH + a.PROV + ", b AS (SELECT day, src, dst FROM prov UNION SELECT day, dst, src FROM prov), h1 AS (SELECT day, src AS seed, dst AS node FROM b WHERE src % 10 = 3), h2 AS (SELECT h.day, seed, b.dst FROM h1 h JOIN b ON b.day = h.day AND b.src = h.node) SELECT day, seed, node FROM (SELECT DISTINCT day, src AS seed, src AS node FROM b WHERE src % 10 = 3 UNION SELECT * FROM h1 UNION SELECT * FROM h2)")
+@query(WITH + a.PROV + ", b AS (SELECT day, src, dst FROM prov UNION SELECT day, dst, src FROM prov), h1 AS (SELECT day, src AS seed, dst AS node FROM b WHERE src % 20 = 0), h2 AS (SELECT h.day, seed, b.dst FROM h1 h JOIN b ON b.day = h.day AND b.src = h.node) SELECT day, seed, node FROM (SELECT DISTINCT day, src AS seed, src AS node FROM b WHERE src % 20 = 0 UNION SELECT * FROM h1 UNION SELECT * FROM h2)")
 def n_hop(spark, d):
     e = a.prov(spark, d)
-    seeds = e.select("day", F.explode(F.array("src", "dst")).alias("node")).where("node % 10 = 3").distinct()
+    seeds = e.select("day", F.explode(F.array("src", "dst")).alias("node")).where("node % 20 = 0").distinct()
     return graph.n_hop(e, seeds, 2, "day")
 
 
-@query(WITH + a.PROV + """, hops(day, seed, node, hops) AS (SELECT DISTINCT day, src, src, 0 FROM prov WHERE src % 10 = 3 UNION SELECT h.day, h.seed, e.dst, h.hops + 1 FROM hops h JOIN prov e ON e.day = h.day AND e.src = h.node WHERE h.hops < 4)
+@query(WITH + a.PROV + """, hops(day, seed, node, hops) AS (SELECT DISTINCT day, src, src, 0 FROM prov WHERE src % 20 = 0 UNION SELECT h.day, h.seed, e.dst, h.hops + 1 FROM hops h JOIN prov e ON e.day = h.day AND e.src = h.node WHERE h.hops < 4)
 SELECT day, seed, node, min(hops) AS hops FROM hops GROUP BY day, seed, node""")
 def hop_counts(spark, d):
     e = a.prov(spark, d)
-    return graph.reach(e, e.where("src % 10 = 3").select("day", F.col("src").alias("node")), "day", max_hops=4)
+    return graph.reach(e, e.where("src % 20 = 0").select("day", F.col("src").alias("node")), "day", max_hops=4)
 
 
-# the same from every node; the queries above are held against SQL from one seed in ten
+# the same from every node; the queries above take as seeds every node whose id is divisible by 20
 
 
 def all_nodes(e):
@@ -647,12 +643,12 @@ def hop_counts_all(spark, d):
 ACYC = a.PROV + ", up AS (SELECT * FROM prov WHERE (op = 'WRITE' OR op = 'READ') AND src < dst)"
 
 
-@query(WITH + a.PROV + """, f AS (SELECT dst AS node, src, t FROM prov), trace(seed, hop, node, t) AS (SELECT DISTINCT dst, 0, dst, CAST(""" + str(DAY27) + """ AS BIGINT) FROM prov WHERE dst % 10 = 3
+@query(WITH + a.PROV + """, f AS (SELECT dst AS node, src, t FROM prov), trace(seed, hop, node, t) AS (SELECT DISTINCT dst, 0, dst, CAST(""" + str(DAY27) + """ AS BIGINT) FROM prov WHERE dst % 20 = 0
 UNION ALL SELECT seed, hop + 1, n, e_t FROM (SELECT tr.seed, tr.hop, f.src AS n, f.t AS e_t, row_number() OVER (PARTITION BY tr.seed ORDER BY f.t DESC, f.src DESC) AS r FROM trace tr JOIN f ON f.node = tr.node AND f.t < tr.t WHERE tr.hop < 8) WHERE r = 1)
 SELECT * FROM trace""")
 def temporal_backward(spark, d):
     e = a.prov(spark, d)
-    seeds = e.where("dst % 10 = 3").select(F.col("dst").alias("node"), F.lit(DAY27).cast("long").alias("t")).distinct()
+    seeds = e.where("dst % 20 = 0").select(F.col("dst").alias("node"), F.lit(DAY27).cast("long").alias("t")).distinct()
     return graph.temporal_trace(e, seeds, max_hops=8)
 
 
@@ -672,13 +668,13 @@ def pseudo_graph(spark, d):
     return graph.pseudo_graph(a.prov(spark, d), 0.5, "day")
 
 
-@query(WITH + a.PROV + """, e AS (SELECT DISTINCT day, src, dst FROM prov WHERE src <> dst), up(day, poi, node) AS (SELECT DISTINCT day, dst, dst FROM e WHERE dst % 50 = 3 UNION SELECT u.day, poi, e.src FROM up u JOIN e ON e.day = u.day AND e.dst = u.node),
+@query(WITH + a.PROV + """, e AS (SELECT DISTINCT day, src, dst FROM prov WHERE src <> dst), up(day, poi, node) AS (SELECT DISTINCT day, dst, dst FROM e WHERE dst % 20 = 0 UNION SELECT u.day, poi, e.src FROM up u JOIN e ON e.day = u.day AND e.dst = u.node),
 entries AS (SELECT * FROM up u WHERE node <> poi AND NOT EXISTS (SELECT 1 FROM e JOIN up p ON p.day = e.day AND p.node = e.src AND p.poi = u.poi WHERE e.day = u.day AND e.dst = u.node)),
 down(day, entry, node) AS (SELECT DISTINCT day, node, node FROM entries UNION SELECT dn.day, entry, e.dst FROM down dn JOIN e ON e.day = dn.day AND e.src = dn.node)
 SELECT en.day, en.poi, en.node AS entry, dn.node FROM entries en JOIN down dn ON dn.day = en.day AND dn.entry = en.node JOIN up ON up.day = en.day AND up.poi = en.poi AND up.node = dn.node""")
 def backward_component(spark, d):
     e = a.prov(spark, d)
-    return graph.entry_components(e, e.where("dst % 50 = 3").select("day", F.col("dst").alias("node")).distinct(), "day")
+    return graph.entry_components(e, e.where("dst % 20 = 0").select("day", F.col("dst").alias("node")).distinct(), "day")
 
 
 def window_results(spark, d):

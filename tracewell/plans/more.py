@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text
 from tracewell.operators import features, filters, graph, labels, reduction, scoring, windows
-from tracewell.plans.catalogue import RESULTS, WITH, day27, query, results, test_ends
+from tracewell.plans.catalogue import RESULTS, WITH, query, results, test_ends
 from tracewell.sources import adapters as a
 
 CONTAINS = " OR ".join(f"contains(label, '{k}')" for k in filters.KEYWORDS)
@@ -92,19 +92,22 @@ def split_nodes(spark, d):
     return a.losses(spark, d).select("split", F.explode(F.array("src", "dst")).alias("node")).distinct().groupBy("split").agg(F.count(F.lit(1)).alias("nodes"))
 
 
-@query(WITH + a.LOSSES + " SELECT node FROM (SELECT unnest([src, dst]) AS node FROM losses WHERE day = 30) EXCEPT SELECT unnest([src, dst]) FROM losses WHERE day = 29")
+@query(WITH + a.LOSSES + " SELECT unnest([src, dst]) AS node FROM losses WHERE split = 'test' EXCEPT SELECT unnest([src, dst]) FROM losses WHERE split <> 'test'")
 def new_nodes(spark, d):
-    e = a.losses(spark, d).select("day", F.explode(F.array("src", "dst")).alias("node"))
-    return e.where("day = 30").select("node").distinct().join(e.where("day = 29").select("node").distinct(), "node", "left_anti")
+    e = a.losses(spark, d).select("split", F.explode(F.array("src", "dst")).alias("node"))
+    return e.where("split = 'test'").select("node").distinct().join(e.where("split != 'test'").select("node").distinct(), "node", "left_anti")
 
 
-@query(WITH + a.PROV + """, n AS (SELECT node, sum(o) / nullif(sum(i), 0) AS s FROM (SELECT src AS node, 1 AS o, 0 AS i FROM prov WHERE day = 27 UNION ALL SELECT dst, 0, 1 FROM prov WHERE day = 27) GROUP BY node), r AS (SELECT node, round(coalesce(s, 0), 6) AS s FROM n)
-SELECT node, round((s - min(s) OVER ()) / nullif(max(s) OVER () - min(s) OVER (), 0), 5) AS score FROM r""")
+SCALED = WITH + a.PROV + """, n AS (SELECT day, node, sum(o) / nullif(sum(i), 0) AS s FROM (SELECT day, src AS node, 1 AS o, 0 AS i FROM prov UNION ALL SELECT day, dst, 0, 1 FROM prov) GROUP BY day, node), r AS (SELECT day, node, round(coalesce(s, 0), 6) AS s FROM n)
+SELECT day, node, round(coalesce((s - min(s) OVER (PARTITION BY day)) / nullif(max(s) OVER (PARTITION BY day) - min(s) OVER (PARTITION BY day), 0), 0), 5) AS score FROM r"""
+
+
+@query(SCALED)
 def degree_scaled(spark, d):
-    return graph.min_max(graph.degree_scores(day27(spark, d)).select("node", "score"), "score").select("node", F.round("score", 5).alias("score"))
+    return degree_scaled_days(spark, d)
 
 
-@query()
+@query(SCALED)
 def degree_scaled_days(spark, d):
     scores = graph.degree_scores(a.prov(spark, d), "day").select("day", "node", "score")
     return graph.min_max(scores, "score", "day").select("day", "node", F.round("score", 5).alias("score"))
