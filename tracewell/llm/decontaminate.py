@@ -92,10 +92,10 @@ def seed_hits(index: DataFrame, sizes: DataFrame, seeds: DataFrame) -> DataFrame
     return materialise(look_up(index, sizes, points).join(bounded(points), "tid").select("row", "item", "p", (F.col("pos") - F.col("p")).alias("delta")), "hits")
 
 
-def meeting(hits: DataFrame, seeds: DataFrame, place: Column, *by: str) -> DataFrame:
-    """(row, item, place, by): places where all rarest terms of some window meet."""
-    met = hits.withColumn("place", place).join(bounded(seeds.select("item", "start", "p", "k")), ["item", "p"])
-    return met.groupBy("row", "item", "place", "start", "k").agg(F.count_distinct("p").alias("n")).where("n = k").select("row", "item", "place", *by).distinct()
+def meeting(hits: DataFrame, seeds: DataFrame) -> DataFrame:
+    """(row, item, place): diagonals on which all rarest terms of some window meet."""
+    met = hits.withColumnRenamed("delta", "place").join(bounded(seeds.select("item", "start", "p", "k")), ["item", "p"])
+    return met.groupBy("row", "item", "place", "start", "k").agg(F.count_distinct("p").alias("n")).where("n = k").select("row", "item", "place").distinct()
 
 
 def postings_of(index: DataFrame, sizes: DataFrame, terms: DataFrame, places: DataFrame) -> DataFrame:
@@ -125,10 +125,21 @@ def drift(window: int, slack: int) -> int:
 
 
 def near_places(hits: DataFrame, seeds: DataFrame, window: int, slack: int) -> DataFrame:
-    """(row, item, place, start): windows whose rarest terms lie on diagonals no further apart than a chain can drift. A place k holds the diagonals from k to k + 2 drifts, so any chain is whole in one."""
+    """(row, item, place, start): windows whose rarest terms follow each other on diagonals that drift no faster than a chain can. A place k holds the diagonals from k to k + 2 drifts, so any chain is whole in one."""
     reach = drift(window, slack)
     both = F.explode(F.array(F.floor(F.col("delta") / reach), F.floor(F.col("delta") / reach) - 1))
-    return meeting(hits, seeds, both, "start")
+    met = hits.withColumn("place", both).join(bounded(seeds.select("item", "start", "p", "k")), ["item", "p"])
+    key = ["row", "item", "place", "start", "k"]
+    lists = met.groupBy(*key, "p").agg(F.collect_set("delta").alias("at")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("p", "at"))).alias("lists")).where(F.size("lists") == F.col("k"))
+
+    def step(chains: Column, term: Column) -> Column:
+        fits = lambda d: F.exists(chains, lambda c: (d >= c["delta"]) & (d - c["delta"] <= slack * (term["p"] - c["p"])))
+        return F.transform(F.filter(term["at"], fits), lambda d: F.struct(term["p"].alias("p"), d.alias("delta")))
+
+    head = F.get("lists", F.lit(0))
+    first = F.transform(head["at"], lambda d: F.struct(head["p"].alias("p"), d.alias("delta")))
+    chained_ = F.aggregate(F.slice("lists", F.lit(2), F.size("lists")), first, step)
+    return lists.where(F.size(chained_) > 0).select("row", "item", "place", "start").distinct()
 
 
 def chained(narrow: DataFrame, terms: DataFrame, places: DataFrame, window: int, slack: int) -> DataFrame:
@@ -172,7 +183,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", id_col:
     sizes = list_sizes(index)
     seeds = rarest(terms, sizes, window)
     hits = seed_hits(index, sizes, seeds)
-    found = materialise(meeting(hits, seeds, F.col("delta")), "diagonals")
+    found = materialise(meeting(hits, seeds), "diagonals")
     places = found if slack is None else materialise(near_places(hits, seeds, window, slack), "places")
     narrow = postings_of(index, sizes, terms, places)
     runs = materialise(phrase_runs(matches(narrow, terms, found), terms, window), "runs")
