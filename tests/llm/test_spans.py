@@ -90,7 +90,7 @@ def test_licences(spark):
         (None, "All rights reserved."), (None, ""), ("a/x.py", "code only"), ("long/f", "filler words here\n" * 20_000 + "Licensed under CC BY-NC 4.0."),
     ]
     table = spark.createDataFrame([(p, t, "k", 5) for p, t in files], "path string, text string, licence string, row int")
-    got = sorted(((r.path, r.licence, r.origin, r.licence_from) for r in licenses.scan(table, file_threshold=2.0).collect()), key=str)
+    got = sorted(((r.path, r.licence, r.origin, r.licence_from) for r in licenses.scan(table, file_share=2.0).collect()), key=str)
     want = [("a/LICENSE", "MIT", "own", None), ("a/x.py", "MIT", "inherited", "a/LICENSE"), ("a/x.py", "MIT", "inherited", "a/LICENSE"), ("a/b/y.py", "Apache-2.0", "own", None), ("a/b/c/z.py", "GPL-3.0", "inherited", "a/b/COPYING"), ("q.txt", None, None, None), ("a/b/COPYING", "GPL-3.0", "own", None), (None, "all-rights-reserved", "own", None), (None, None, None, None), ("long/f", "CC-BY-NC-4.0", "own", None)]
     assert got == sorted(want, key=str)
     assert licenses.scan(table.limit(0)).count() == 0

@@ -1,8 +1,8 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Comment marks are stripped; then single lines, paragraphs of several lines, the leading comment block and the whole text are compared
-with each template. Document frequencies are counted over all files. By Cauchy-Schwarz a segment can only reach the
-threshold if it has one of the template's heaviest terms, so segments without any are left out exactly, before vectors are built; the
+Comment marks are stripped; then single lines, paragraphs of several lines, the leading comment block and, of files named as licence files, the whole text
+are compared with each template. A term weighs 1 + ln(tf), times its idf; document frequencies are counted over all files. By Cauchy-Schwarz a segment can only reach the
+threshold if it has one of each template's rarest terms, so many that the others are too light; segments without any are left out exactly, before vectors are built. The
 frequencies of the other words of those that remain are counted over all files too. A file without a licence of its own takes that of the
 nearest directory above it that holds a licence file, found by joining its ancestor paths with those directories.
 """
@@ -18,8 +18,8 @@ from pyspark.sql import functions as F
 from tracewell.llm.common import bounded, materialise, words
 
 THRESHOLD = 0.6
-#: A file is a licence file of its directory if it is named like one, or if its whole text is this close to the template of its licence.
-FILE_THRESHOLD = 0.25
+#: A file is a licence file of its directory if it is named like one, or if this share of its words is in one segment that declares a licence.
+FILE_SHARE = 0.25
 NAMED = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)([._-][^/]*)?$"
 #: What starts a line of a comment and isn't part of its text, and a comment block at the beginning of a text. Java's ^ would know other ends of lines without (?d).
 MARK = r"[ \t]*(?://+!?|#+|/?\*+/?|--+|;+|%+|<!--+)?[ \t]*"
@@ -104,32 +104,32 @@ def weights_of(files: DataFrame, text: str, total: int, known: DataFrame, wanted
 
 
 def template_vectors(spark: SparkSession, idf: DataFrame) -> DataFrame:
-    """(template, licence, term, w): unit vectors."""
+    """(template, licence, term, idf, w): unit vectors."""
     table = spark.createDataFrame([(i, *t) for i, t in enumerate(TEMPLATES)], "template int, licence string, text string")
     tf = table.select("template", "licence", F.explode(words(F.col("text"))).alias("term")).groupBy("template", "licence", "term").agg(F.count(F.lit(1)).alias("tf"))
-    raw = tf.join(idf, "term").withColumn("w", F.col("tf") * F.col("idf"))
-    return raw.select("template", "licence", "term", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("template")))).alias("w"))
+    raw = tf.join(idf, "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    return raw.select("template", "licence", "term", "idf", (F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy("template")))).alias("w"))
 
 
 def strong_terms(vectors: DataFrame, threshold: float) -> list[str]:
-    """The terms of which a segment must have one to reach the threshold with any template: of each template the heaviest, until the rest is lighter than the threshold. Bounded by the vocabulary."""
-    lighter = F.sum(F.col("w") * F.col("w")).over(W.partitionBy("template").orderBy("w", "term").rowsBetween(W.unboundedPreceding, 0))
+    """The terms of which a segment must have one to reach the threshold with any template: of each template the rarest, until the rest is lighter than the threshold. Bounded by the vocabulary."""
+    lighter = F.sum(F.col("w") * F.col("w")).over(W.partitionBy("template").orderBy("idf", "term").rowsBetween(W.unboundedPreceding, 0))
     return [r.term for r in vectors.withColumn("rest", F.sqrt(lighter)).where(F.col("rest") >= threshold * 0.999999).select("term").distinct().collect()]
 
 
 def term_counts(segments: DataFrame) -> DataFrame:
-    """Writes and returns (row, seg, whole, term, tf)."""
-    return materialise(segments.select("row", "seg", "whole", F.explode("tokens").alias("term")).groupBy("row", "seg", "whole", "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
+    """Writes and returns (row, seg, term, tf)."""
+    return materialise(segments.select("row", "seg", F.explode("tokens").alias("term")).groupBy("row", "seg", "term").agg(F.count(F.lit(1)).alias("tf")), "term-counts")
 
 
 def best_match(counts: DataFrame, idf: DataFrame, vectors: DataFrame) -> DataFrame:
-    """(row, seg, whole, licence, score): of each segment the licence of the template with the highest cosine, the first by name of equal ones."""
-    each = counts.join(bounded(idf), "term").withColumn("w", F.col("tf") * F.col("idf"))
-    norms = each.groupBy("row", "seg").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    dots = each.join(F.broadcast(vectors.withColumnRenamed("w", "t")), "term").groupBy("row", "seg", "whole", "template", "licence").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
+    """(row, seg, words, licence, score): of each segment the licence of the template with the highest cosine, the first by name of equal ones."""
+    each = counts.join(bounded(idf), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    norms = each.groupBy("row", "seg").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"), F.sum("tf").alias("words"))
+    dots = each.join(F.broadcast(vectors.select("template", "licence", "term", F.col("w").alias("t"))), "term").groupBy("row", "seg", "template", "licence").agg(F.sum(F.col("w") * F.col("t")).alias("dot"))
     cosine = dots.join(norms, ["row", "seg"]).withColumn("score", F.round(F.col("dot") / F.col("norm"), 9))  # so that equal lines tie whatever the order of their sums
-    best = cosine.groupBy("row", "seg", "whole").agg(F.min(F.struct((-F.col("score")).alias("less"), "licence")).alias("best"))
-    return best.select("row", "seg", "whole", F.col("best.licence").alias("licence"), (-F.col("best.less")).alias("score"))
+    best = cosine.groupBy("row", "seg", "words").agg(F.min(F.struct((-F.col("score")).alias("less"), "licence")).alias("best"))
+    return best.select("row", "seg", "words", F.col("best.licence").alias("licence"), (-F.col("best.less")).alias("score"))
 
 
 def directories(path: Column) -> Column:
@@ -143,7 +143,7 @@ def stripped(text: Column) -> Column:
     return F.regexp_replace(text, F.lit("(?md)^" + MARK), F.lit(""))
 
 
-def scan(files: DataFrame, path: str = "path", text: str = "text", keep: list[str] = (), threshold: float = THRESHOLD, file_threshold: float = FILE_THRESHOLD) -> DataFrame:
+def scan(files: DataFrame, path: str = "path", text: str = "text", keep: list[str] = (), threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
     """One row per row of files: the columns of ``keep``, path, own (its own licence or null), score, licence, origin ('own', 'inherited' or null), licence_from (path of the licence file inherited from).
 
     A file's own licence is that of its best segment (of its whole text, too, if it is named as a licence file); ties go to the first name. Directories with several
@@ -159,18 +159,17 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", keep: list[st
     rows = files.select(F.monotonically_increasing_id().alias("row"), *keep, F.col(path).alias("path"), named.alias("named"), F.when(F.lower(t).rlike(loose), t).alias("t"))
     plain = rows.withColumn("plain", stripped(F.col("t"))).withColumn("header", stripped(F.regexp_extract("t", HEADER, 0)))
     parts = F.concat(F.split("plain", "[\r\n]+"), F.filter(F.array_append(F.split("plain", PARAGRAPH), F.col("header")), lambda s: s.contains("\n")))
-    cut = plain.select("row", *keep, "path", "named", "plain", F.filter(parts, lambda s: F.lower(s).rlike(loose)).alias("parts"))
-    lines = materialise(cut.select("row", *keep, "path", "named", F.when(F.size("parts") > 0, F.array_append("parts", F.col("plain"))).alias("cut")), "lines")
-    segments = lines.where("cut IS NOT NULL").select("row", F.size("cut").alias("n"), F.posexplode("cut").alias("seg", "s"))
-    segments = segments.select("row", "seg", (F.col("seg") == F.col("n") - 1).alias("whole"), words(F.col("s")).alias("tokens")).where(F.arrays_overlap("tokens", strong))
-    counts = term_counts(segments)
+    cut = F.filter(F.when(F.col("named"), F.array_append(parts, F.col("plain"))).otherwise(parts), lambda s: F.lower(s).rlike(loose))
+    cut = plain.select("row", *keep, "path", "named", "plain", cut.alias("cut"))
+    lines = materialise(cut.select("row", *keep, "path", "named", F.when(F.size("cut") > 0, F.size(words(F.col("plain")))).alias("n_words"), "cut"), "lines")
+    segments = lines.where(F.size("cut") > 0).select("row", F.posexplode("cut").alias("seg", "s"))
+    counts = term_counts(segments.select("row", "seg", words(F.col("s")).alias("tokens")).where(F.arrays_overlap("tokens", strong)))
     idf = materialise(weights_of(files, text, total, known, counts), "all-idf")
-    best = materialise(best_match(counts, idf, vectors), "best")
-    eligible = best.where(F.col("score") >= threshold).join(lines.select("row", "named"), "row").where("named OR NOT whole")
-    own = eligible.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("less"), "licence")).alias("best")).select("row", F.col("best.licence").alias("own"), (-F.col("best.less")).alias("score"))
-    near = best.where(F.col("whole") & (F.col("score") >= file_threshold)).select("row", F.lit(True).alias("near"))
-    own = materialise(own.join(near, "row", "left").withColumn("near", F.coalesce("near", F.lit(False))), "own")
-    base = lines.drop("cut").join(bounded(own), "row", "left")
+    best = best_match(counts, idf, vectors).where(F.col("score") >= threshold).join(lines.select("row", "n_words"), "row")
+    most = (F.max("words") >= file_share * F.first("n_words")).alias("near")
+    own = best.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("less"), "licence")).alias("best"), most)
+    own = materialise(own.select("row", F.col("best.licence").alias("own"), (-F.col("best.less")).alias("score"), "near"), "own")
+    base = lines.drop("cut", "n_words").join(bounded(own), "row", "left")
     above = F.element_at(directories(F.col("path")), -1)
     declared = base.where(F.col("own").isNotNull() & F.col("path").isNotNull() & (F.col("named") | F.col("near"))).groupBy(above.alias("dir")).agg(F.min(F.struct((~F.col("named")).alias("unnamed"), (-F.col("score")).alias("less"), "path", "own")).alias("best"))
     declared = materialise(declared.select("dir", F.col("best.path").alias("licence_from"), F.col("best.own").alias("inherited")), "declared")
@@ -201,15 +200,15 @@ tt AS (SELECT template, licence, w, count(*) AS tf FROM (SELECT template, licenc
 d AS (SELECT doc_id, concat_ws('/', coalesce(source, ''), coalesce(lang, ''), CAST(doc_id AS VARCHAR)) AS path, coalesce(source, '') || '/' || coalesce(lang, '') AS dir, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
 df AS (SELECT w, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp_extract_all(low, {WORD})) AS w FROM d) GROUP BY w),
 idf AS (SELECT w, ln((1 + (SELECT count(*) FROM d)) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT w FROM tt UNION SELECT w FROM df) LEFT JOIN df USING (w)),
-tv AS (SELECT template, licence, w, tf * idf / sqrt(sum(tf * idf * tf * idf) OVER (PARTITION BY template)) AS x FROM tt JOIN idf USING (w)),
+tv AS (SELECT template, licence, w, (1 + ln(tf)) * idf / sqrt(sum((1 + ln(tf)) * idf * (1 + ln(tf)) * idf) OVER (PARTITION BY template)) AS x FROM tt JOIN idf USING (w)),
 p AS (SELECT doc_id, low, regexp_replace(low, '(?m)^{MARK}', '', 'g') AS plain, regexp_replace(regexp_extract(low, '{HEADER}', 0), '(?m)^{MARK}', '', 'g') AS header FROM d),
-segs AS (SELECT doc_id, false AS whole, unnest(list_concat(regexp_split_to_array(plain, '[\r\n]+'), list_filter(list_append(regexp_split_to_array(plain, '{PARAGRAPH}'), header), lambda s: contains(s, chr(10))))) AS s FROM p UNION ALL SELECT doc_id, true, plain FROM p),
-l AS (SELECT doc_id, whole, row_number() OVER () AS i, s FROM segs),
-lw AS (SELECT doc_id, whole, i, w, count(*) * any_value(idf) AS x FROM (SELECT doc_id, whole, i, unnest(regexp_extract_all(s, {WORD})) AS w FROM l) JOIN idf USING (w) GROUP BY doc_id, whole, i, w),
-nrm AS (SELECT i, sqrt(sum(x * x)) AS n FROM lw GROUP BY i),
-cosine AS (SELECT doc_id, whole, licence, round(s / n, 9) AS score FROM (SELECT doc_id, whole, i, template, licence, sum(lw.x * tv.x) AS s FROM lw JOIN tv USING (w) GROUP BY ALL) JOIN nrm USING (i)),
-own AS (SELECT doc_id, arg_min(licence, (-score, licence)) AS own, max(score) AS score FROM cosine WHERE NOT whole AND score >= {THRESHOLD} GROUP BY doc_id),
-decl AS (SELECT dir, arg_min(path, (-score, path)) AS licence_from, arg_min(own, (-score, path)) AS near FROM d JOIN own USING (doc_id) WHERE doc_id IN (SELECT doc_id FROM cosine WHERE whole AND score >= {FILE_THRESHOLD}) GROUP BY dir)
+segs AS (SELECT doc_id, unnest(list_concat(regexp_split_to_array(plain, '[\r\n]+'), list_filter(list_append(regexp_split_to_array(plain, '{PARAGRAPH}'), header), lambda s: contains(s, chr(10))))) AS s FROM p),
+l AS (SELECT doc_id, row_number() OVER () AS i, s FROM segs),
+lw AS (SELECT doc_id, i, w, count(*) AS tf, (1 + ln(count(*))) * any_value(idf) AS x FROM (SELECT doc_id, i, unnest(regexp_extract_all(s, {WORD})) AS w FROM l) JOIN idf USING (w) GROUP BY doc_id, i, w),
+nrm AS (SELECT i, sqrt(sum(x * x)) AS n, sum(tf) AS words FROM lw GROUP BY i),
+cosine AS (SELECT doc_id, licence, words, round(s / n, 9) AS score FROM (SELECT doc_id, i, template, licence, sum(lw.x * tv.x) AS s FROM lw JOIN tv USING (w) GROUP BY ALL) JOIN nrm USING (i) WHERE round(s / n, 9) >= {THRESHOLD}),
+own AS (SELECT doc_id, arg_min(licence, (-score, licence)) AS own, max(score) AS score, max(words) AS words FROM cosine GROUP BY doc_id),
+decl AS (SELECT dir, arg_min(path, (-score, path)) AS licence_from, arg_min(own, (-score, path)) AS near FROM d JOIN own USING (doc_id) JOIN p USING (doc_id) WHERE words >= {FILE_SHARE} * len(regexp_extract_all(plain, {WORD})) GROUP BY dir)
 SELECT doc_id, path, own, round(score, 6) AS score, coalesce(own, near) AS licence, CASE WHEN own IS NOT NULL THEN 'own' WHEN near IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN own IS NULL THEN licence_from END AS licence_from
 FROM d LEFT JOIN own USING (doc_id) LEFT JOIN decl USING (dir)
 """
