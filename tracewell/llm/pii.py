@@ -203,9 +203,10 @@ class SemiCrf:
         self.margin = 0.0
 
     def scores(self, phi: np.ndarray) -> np.ndarray:
-        s = (phi @ self.weights.astype(np.float32)).astype(np.float64)
+        real = phi[..., 0] != 0  # every candidate has the bias
+        s = np.full((*phi.shape[:-1], OUTSIDE + 1), -np.inf)
+        s[real] = phi[real] @ self.weights.astype(np.float32)
         s[..., 1:, OUTSIDE] = -np.inf
-        s[phi[..., 0] == 0] = -np.inf  # no candidate: every one has the bias
         return s
 
     def ahead(self, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -240,7 +241,8 @@ class SemiCrf:
                     moves += np.nan_to_num(np.exp(ends[:, start, :, None] + self.moves + step[:, None, :] - total[:, None, None])).sum(0)
                     here = logsum(self.moves[None] + step[:, None, :], 2)
                 behind[:, start] = np.where((size == start)[:, None], 0.0, here)
-        return total, phi.reshape(-1, phi.shape[-1]).T.astype(np.float64) @ share.reshape(-1, OUTSIDE + 1), moves
+        real = phi[..., 0] != 0
+        return total, (phi[real].T @ share[real].astype(np.float32)).astype(np.float64), moves
 
     def fit(self, islands: list[tuple[np.ndarray, list[tuple[int, int, int]]]]) -> SemiCrf:
         """islands: segment features and the true segments (end, length, type). Maximises the conditional log-likelihood by AdaGrad; all islands are padded to one length and go through the recursions together."""
