@@ -113,7 +113,7 @@ def scaled(values: DataFrame, column: str, *key: str) -> DataFrame:
     return out.drop("__low", "__high", "__m", "__s", "__top")
 
 
-def sample_long(events: DataFrame, n: int, seed: int, *key: str) -> DataFrame:
-    """At most n events of each key, chosen by a seeded hash, in time order."""
-    rank = F.row_number().over(W.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed), "event_uuid"), "event_uuid"))
+def sample_long(events: DataFrame, n: int, seed: int, *key: str, by: str = "event_uuid") -> DataFrame:
+    """At most n events of each key, chosen by a seeded hash of ``by``: long series are sampled before they are summarised."""
+    rank = F.row_number().over(W.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed), by), by))
     return events.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r")

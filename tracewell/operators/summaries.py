@@ -198,11 +198,11 @@ def corpus(edges: DataFrame, labels: DataFrame, tokens) -> DataFrame:
     return own.join(near, own.node == near.src, "left").select("node", F.concat("words", F.coalesce("more", F.array().cast("array<string>"))).alias("words"))
 
 
-def word_vectors(documents: DataFrame, dims: int = 16, seed: int = 0, window: int = 5):
-    """A fitted word2vec model over column words."""
+def word_vectors(documents: DataFrame, dims: int = 16, seed: int = 0, window: int = 5, partitions: int | None = None):
+    """A fitted word2vec model over column words, trained in as many partitions as shuffles have, or as many as asked for."""
     from pyspark.ml.feature import Word2Vec
 
-    return Word2Vec(vectorSize=dims, minCount=1, seed=seed, windowSize=window, maxIter=1, numPartitions=1, inputCol="words", outputCol="vec").fit(documents)
+    return Word2Vec(vectorSize=dims, minCount=1, seed=seed, windowSize=window, maxIter=1, numPartitions=partitions or int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions")), inputCol="words", outputCol="vec").fit(documents)
 
 
 def context_vectors(documents: DataFrame, vectors: DataFrame, reach: int = 5) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -816,21 +817,29 @@ def host_counts(spark, d):
 # summaries of series
 
 
+#: Gaps of one edge that summaries look at: longer series are sampled, as summaries of single edges are made in one call.
+SERIES = 2000
+
+
+def sampled_gaps(spark, d):
+    g = windows.gaps(a.prov(spark, d), "src", "op").withColumn("gap", F.col("gap") / 1e9)
+    return reduction.sample_long(g, SERIES, 0, "src", "op", by="t")
+
+
 @query()
 def gap_mixtures(spark, d):
-    m = summaries.mixtures(gap_seconds(spark, d), "gap", "src", "op")
-    return m.select("src", "op", "n", F.size("mixture").alias("components"), F.round(F.get("mixture", F.lit(0))["mean"], 3).alias("first_mean"))
+    m = summaries.mixtures(sampled_gaps(spark, d), "gap", "src", "op")
+    return m.select("src", "op", "n", F.posexplode("mixture").alias("component", "c")).select("src", "op", "n", "component", F.round("c.mean", 3).alias("mean"), F.round("c.var", 3).alias("var"), F.round("c.weight", 6).alias("weight"))
 
 
 @query()
 def mixture_storage(spark, d):
-    return summaries.storage(summaries.mixtures(gap_seconds(spark, d), "gap", "src", "op"))
+    return summaries.storage(summaries.mixtures(sampled_gaps(spark, d), "gap", "src", "op"))
 
 
 @query()
 def stream_clusters(spark, d):
-    g = windows.gaps(a.prov(spark, d), "src", "op").withColumn("gap", F.col("gap") / 1e9)
-    return summaries.stream_clusters(g, "gap", "src", "op")
+    return summaries.stream_clusters(sampled_gaps(spark, d), "gap", "src", "op")
 
 
 KS = GAPS.replace("(PARTITION BY src, op ORDER BY t, event_uuid)) / 1e9 AS gap FROM prov)", "(PARTITION BY src, op ORDER BY t, event_uuid)) / 1e9 AS gap, day FROM prov)")
@@ -848,14 +857,13 @@ def gap_drift(spark, d):
 def corpus_vectors(spark, d):
     e = a.prov(spark, d)
     c = summaries.corpus(e, a.nodes(e), text.path_tokens)
-    v = summaries.word_vectors(c, dims=8).getVectors()
-    return v.select("word", F.size(F.transform(F.split(F.col("vector").cast("string"), ","), lambda x: x)).alias("dims"))
+    return summaries.word_vectors(c, dims=8).getVectors().select("word", vector_to_array("vector").alias("vector"))
 
 
 @query()
 def hashed_labels(spark, d):
     n = a.nodes(a.prov(spark, d))
-    return n.select("node_id", text.hashed(text.prefixes(F.col("label"), "/"), 16).alias("vec")).select("node_id", F.size("vec").alias("dims"), F.round(features.norm("vec"), 6).alias("norm"))
+    return n.select("node_id", text.hashed(text.prefixes(F.col("label"), "/"), 16).alias("vec")).select("node_id", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
 
 
 @query("SELECT 'alpha' AS probe, x.n AS inner_rows, y.n AS left_rows, z.n AS anti_rows FROM (SELECT count(*) AS n FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING') x, (SELECT count(*) AS n FROM customer LEFT JOIN orders ON o_custkey = c_custkey) y, (SELECT count(*) AS n FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)) z")
