@@ -529,12 +529,12 @@ def rare_shared_nodes(spark, d):
     return q.related_windows(m, q.idf(m).where("idf > 1"))
 
 
-@query()
+@query(IDF + " SELECT * FROM i")
 def idf_test(spark, d):
     return q.idf(test_members(spark, d))
 
 
-@query()
+@query(IDF + ", r AS (SELECT m.* FROM m JOIN i USING (node) WHERE idf > 1) SELECT x.tw AS a, y.tw AS b, count(*) AS shared FROM r x JOIN r y ON x.node = y.node AND x.tw < y.tw GROUP BY ALL")
 def rare_shared_nodes_test(spark, d):
     m = test_members(spark, d)
     return q.related_windows(m, q.idf(m).where("idf > 1"))
@@ -596,7 +596,10 @@ def ancestors(spark, d):
     return graph.reach(e, e.where("dst % 20 = 0").select("day", F.col("dst").alias("node")), "day", backward=True).select("day", "seed", "node")
 
 
-@query(WITH + a.PROV + ", b AS (SELECT day, src, dst FROM prov UNION SELECT day, dst, src FROM prov), h1 AS (SELECT day, src AS seed, dst AS node FROM b WHERE src % 20 = 0), h2 AS (SELECT h.day, seed, b.dst FROM h1 h JOIN b ON b.day = h.day AND b.src = h.node) SELECT day, seed, node FROM (SELECT DISTINCT day, src AS seed, src AS node FROM b WHERE src % 20 = 0 UNION SELECT * FROM h1 UNION SELECT * FROM h2)")
+N_HOP = WITH + a.PROV + ", b AS (SELECT day, src, dst FROM prov UNION SELECT day, dst, src FROM prov), h1 AS (SELECT day, src AS seed, dst AS node FROM b {0}), h2 AS (SELECT h.day, seed, b.dst FROM h1 h JOIN b ON b.day = h.day AND b.src = h.node) SELECT day, seed, node FROM (SELECT DISTINCT day, src AS seed, src AS node FROM b {0} UNION SELECT * FROM h1 UNION SELECT * FROM h2)"
+
+
+@query(N_HOP.replace("{0}", "WHERE src % 20 = 0"))
 def n_hop(spark, d):
     e = a.prov(spark, d)
     seeds = e.select("day", F.explode(F.array("src", "dst")).alias("node")).where("node % 20 = 0").distinct()
@@ -629,7 +632,7 @@ def ancestors_all(spark, d):
     return graph.reach(e, all_nodes(e), "day", backward=True).select("day", "seed", "node")
 
 
-@query()
+@query(N_HOP.replace("{0}", ""))
 def n_hop_all(spark, d):
     e = a.prov(spark, d)
     return graph.n_hop(e, all_nodes(e), 2, "day")
