@@ -13,7 +13,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
 
     A large star hangs the larger neighbours of a node on its smallest neighbour, a small star does so with the
     smaller ones. The table never has more rows than links; hubs are reduced by partial minima, and the join that
-    gives each link its hub's minimum is split by the adaptive skew join. Steps go on until no link changes.
+    gives each link its hub's minimum is split by the adaptive skew join. Steps go on until no link changes. Links with a null end, and from a node to itself, are
+    no links; repeated ones count once; without links there are no rows.
     """
     state = links.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("hi"), F.least(a, b).alias("lo")).distinct()
     state, before = materialise(state, "links"), None

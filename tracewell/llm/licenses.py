@@ -153,23 +153,24 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", keep: list[st
     known = materialise(weights(files, text, total), "idf")
     vectors = materialise(template_vectors(spark, known), "vectors")
     heavy = sorted(strong_terms(vectors, threshold))
-    strong, loose = F.array(*map(F.lit, heavy)), "|".join(map(re.escape, heavy))
+    strong = F.array(*map(F.lit, heavy))
+    has = lambda s: F.arrays_overlap(words(s), strong)
     t = F.coalesce(F.col(text), F.lit(""))
     named = F.coalesce(F.col(path).rlike(NAMED), F.lit(False))
-    rows = files.select(F.monotonically_increasing_id().alias("row"), *keep, F.col(path).alias("path"), named.alias("named"), F.when(F.lower(t).rlike(loose), t).alias("t"))
-    plain = rows.withColumn("plain", stripped(F.col("t"))).withColumn("header", stripped(F.regexp_extract("t", HEADER, 0)))
+    rows = files.select(F.monotonically_increasing_id().alias("row"), *keep, F.col(path).alias("path"), named.alias("named"), F.when(has(t), t).alias("t"))
+    lines = materialise(rows, "lines")  # texts of the few rows that may declare a licence
+    plain = lines.where("t IS NOT NULL").withColumn("plain", stripped(F.col("t"))).withColumn("header", stripped(F.regexp_extract("t", HEADER, 0)))
     parts = F.concat(F.split("plain", "[\r\n]+"), F.filter(F.array_append(F.split("plain", PARAGRAPH), F.col("header")), lambda s: s.contains("\n")))
-    cut = F.filter(F.when(F.col("named"), F.array_append(parts, F.col("plain"))).otherwise(parts), lambda s: F.lower(s).rlike(loose))
-    cut = plain.select("row", *keep, "path", "named", "plain", cut.alias("cut"))
-    lines = materialise(cut.select("row", *keep, "path", "named", F.when(F.size("cut") > 0, F.size(words(F.col("plain")))).alias("n_words"), "cut"), "lines")
-    segments = lines.where(F.size("cut") > 0).select("row", F.posexplode("cut").alias("seg", "s"))
-    counts = term_counts(segments.select("row", "seg", words(F.col("s")).alias("tokens")).where(F.arrays_overlap("tokens", strong)))
+    plain = plain.select("row", "named", "plain", F.when(F.col("named"), F.array_append(parts, F.col("plain"))).otherwise(parts).alias("cut"))
+    cut = materialise(plain.select("row", F.size(words(F.col("plain"))).alias("n_words"), F.filter("cut", has).alias("cut")).where(F.size("cut") > 0), "segments")
+    segments = cut.select("row", F.posexplode("cut").alias("seg", "s"))
+    counts = term_counts(segments.select("row", "seg", words(F.col("s")).alias("tokens")))
     idf = materialise(weights_of(files, text, total, known, counts), "all-idf")
-    best = best_match(counts, idf, vectors).where(F.col("score") >= threshold).join(lines.select("row", "n_words"), "row")
+    best = best_match(counts, idf, vectors).where(F.col("score") >= threshold).join(cut.select("row", "n_words"), "row")
     most = (F.max("words") >= file_share * F.first("n_words")).alias("near")
     own = best.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("less"), "licence")).alias("best"), most)
     own = materialise(own.select("row", F.col("best.licence").alias("own"), (-F.col("best.less")).alias("score"), "near"), "own")
-    base = lines.drop("cut", "n_words").join(bounded(own), "row", "left")
+    base = lines.drop("t").join(bounded(own), "row", "left")
     above = F.element_at(directories(F.col("path")), -1)
     declared = base.where(F.col("own").isNotNull() & F.col("path").isNotNull() & (F.col("named") | F.col("near"))).groupBy(above.alias("dir")).agg(F.min(F.struct((~F.col("named")).alias("unnamed"), (-F.col("score")).alias("less"), "path", "own")).alias("best"))
     declared = materialise(declared.select("dir", F.col("best.path").alias("licence_from"), F.col("best.own").alias("inherited")), "declared")

@@ -139,7 +139,7 @@ def settle(drawn: DataFrame, rounds: int = ROUNDS) -> DataFrame:
 
 
 def mixture(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id") -> DataFrame:
-    """docs with each row as often as the mix takes it; column ``copy`` (in place of one of that name) numbers its copies from 1. Rows that repeat an id get the most copies that one of them draws."""
+    """docs with each row as often as the mix takes it; column ``copy`` (in place of one of that name) numbers its copies from 1. Rows that repeat an id, or have none, get the most copies that one of them draws; an empty table stays empty."""
     drawn = mix(docs, text, source, id_col).groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
     rows = docs.join(bounded(materialise(drawn.where("__copies > 0"), "copies")), F.col(id_col).eqNullSafe(F.col("__id")))
     return rows.withColumn("copy", F.explode(F.sequence(F.lit(1), "__copies"))).drop("__id", "__copies")
