@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracewell.llm import decontaminate, exact_dedup, language, licenses, mixing, pii, secrets, simhash, urls, warc
+from tracewell.llm import decontaminate, exact_dedup, fim, language, licenses, mixing, pii, quality, secrets, simhash, urls, warc, whitening
 
 MODULES = {
     "op6_licenses": licenses,
@@ -19,6 +19,9 @@ MODULES = {
     "op2_decontaminate": decontaminate,
     "op4_simhash": simhash,
     "op8_exact_dedup": exact_dedup,
+    "op11_whitening": whitening,
+    "op12_quality": quality,
+    "op13_fim": fim,
 }
 
 
