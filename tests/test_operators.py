@@ -155,36 +155,18 @@ def test_times_round_trip(spark):
     assert spark.range(1).select(times.from_gmt_minus_4(F.lit("2019-09-25T10:00:00.12-04:00")).alias("t")).first().t == 1_569_420_000_012_000_000
 
 
-def test_mixtures_and_streams(spark):
+def test_streams(spark):
     import numpy as np
 
     rng = np.random.default_rng(0)
     x = np.concatenate([rng.normal(10, 1, 80), rng.normal(100, 2, 40)])
     rng.shuffle(x)
     rows = spark.createDataFrame([(1, float(v), i) for i, v in enumerate(x)], "k int, x double, t long")
-    m = summaries.mixtures(rows, "x", "k").first()
-    assert [round(c["mean"] / 10) for c in m.mixture] == [1, 10] and sum(c["weight"] for c in m.mixture) == pytest.approx(1)
-    fitted = summaries.mixtures(rows, "x", "k")
-    assert summaries.average_nll(rows, fitted, "x", "k").first().nll < 4
-    assert summaries.multimodal(fitted).count() == 1
-    kept = fitted.select(summaries.truncated("mixture", 0.5).alias("m")).first().m
-    assert len(kept) == 1 and kept[0]["weight"] == pytest.approx(1)
     means = [r["mean"] for r in summaries.stream_clusters(rows, "x", "k").collect()]
     assert min(abs(v - 10) for v in means) < 3 and min(abs(v - 100) for v in means) < 5
     assert summaries.ks_drift(rows.where("x < 50"), rows.where("x > 50"), "x", "k").first().ks == pytest.approx(1.0)
 
 
-def test_exact_kmeans():
-    import itertools
-
-    import numpy as np
-
-    x = np.sort(np.random.default_rng(2).normal(size=9))
-    best = min(sum(((p - p.mean()) ** 2).sum() for p in np.split(x, c)) for c in itertools.combinations(range(1, 9), 2))
-    labels_ = summaries.kmeans_1d(x, 3)
-    assert sum(((x[labels_ == k] - x[labels_ == k].mean()) ** 2).sum() for k in range(3)) == pytest.approx(best)
-
-
 def test_context_vectors(spark):
     docs = spark.createDataFrame([(["a", "b", "c"],), (["a", "c"],)], "words array<string>")
     vec = spark.createDataFrame([("a", [1.0, 0.0]), ("b", [0.0, 1.0]), ("c", [2.0, 2.0])], "word string, vec array<double>")

@@ -14,7 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.operators.running import numbered
-from tracewell.operators.storage import written
+from tracewell.operators.storage import bounded, written
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -32,10 +32,11 @@ def roots(edges: DataFrame, *by: str) -> DataFrame:
 
 
 def reach(edges: DataFrame, seeds: DataFrame, *by: str, backward: bool = False, max_hops: int | None = None) -> DataFrame:
-    """(by, seed, node, hops): all nodes that can be reached from each seed along edges of the same ``by`` group (or against them), the seed too with 0 hops. Without max_hops until nothing new is found."""
+    """(by, seed, node, hops): all nodes that can be reached from each seed along edges of the same ``by`` group (or against them), the seed too with 0 hops. Without max_hops until nothing new is found. A column ``seed`` of seeds, if there is one, names several nodes that start together."""
     a, b = ("dst", "src") if backward else ("src", "dst")
     step = written(edges.select(*by, F.col(a).alias("node"), F.col(b).alias("next")).distinct(), "steps")
-    seen = written(seeds.select(*by, F.col("node").alias("seed"), "node", F.lit(0).alias("hops")).distinct(), "reached")
+    name = "seed" if "seed" in seeds.columns else "node"
+    seen = written(seeds.select(*by, F.col(name).alias("seed"), "node", F.lit(0).alias("hops")).distinct(), "reached")
     front, parts = seen, [seen]
     for hop in count(1) if max_hops is None else range(1, max_hops + 1):
         new = front.join(step, [*by, "node"]).select(*by, "seed", F.col("next").alias("node"), F.lit(hop).alias("hops")).distinct()
@@ -128,9 +129,12 @@ def degree_scores(edges: DataFrame, *by: str) -> DataFrame:
 
 
 def min_max(rows: DataFrame, column: str, *by: str) -> DataFrame:
-    w = W.partitionBy(*by)
-    low, high = F.min(column).over(w), F.max(column).over(w)
-    return rows.withColumn(column, F.when(high == low, 0.0).otherwise((F.col(column) - low) / (high - low)))
+    """rows with column scaled to [0, 1] within each group (no nulls there), 0 where there is no range. An aggregate and a join: a hot group stays spread."""
+    rows = written(rows, "rows")
+    ends = written(rows.groupBy(*by).agg(F.min(column).alias("__low"), F.max(column).alias("__high")), "ends")
+    low, high = F.col("__low"), F.col("__high")
+    scaled = rows.join(bounded(ends), list(by)) if by else rows.join(F.broadcast(ends), F.lit(True))
+    return scaled.withColumn(column, F.when(high == low, 0.0).otherwise((F.col(column) - low) / (high - low))).select(rows.columns)
 
 
 def ranked_entries(parts: DataFrame, scores: DataFrame, *by: str) -> DataFrame:
@@ -141,19 +145,61 @@ def ranked_entries(parts: DataFrame, scores: DataFrame, *by: str) -> DataFrame:
     return parts.join(best, [*by, "poi", "entry"], "left_semi").select(*by, "poi", "node").unionByName(parts.select(*by, "poi", F.col("poi").alias("node"))).distinct()
 
 
+def trimmed(pairs: DataFrame) -> DataFrame:
+    """pairs (src, dst) without those whose source has no incoming or whose target has no outgoing pair, again and again while that takes a twentieth of them: what is left holds all cycles."""
+    n = pairs.count()
+    while n:
+        for _ in range(3):
+            ins, outs = pairs.select(F.col("dst").alias("src")).distinct(), pairs.select(F.col("src").alias("dst")).distinct()
+            pairs = pairs.join(ins, "src", "left_semi").join(outs, "dst", "left_semi").select("src", "dst")
+        pairs = written(pairs, "core")
+        before, n = n, pairs.count()
+        if n > 0.95 * before:
+            break
+    return pairs
+
+
+def strong_components(edges: DataFrame) -> DataFrame:
+    """(node, component): for each node on a cycle through other nodes, the least node of its strongly connected component. A row for each node, never pairs.
+
+    Forward-backward colouring: after trimming, each node takes the least node that reaches it as its colour; a colour's own node is in a component
+    with all nodes of the colour that reach it. Components found go, and so do edges between colours, until nothing is left. Nodes may be structs, so that many graphs go at once.
+    """
+    core = trimmed(written(edges.select("src", "dst").where("src != dst").distinct(), "pairs"))
+    found = []
+    while not core.isEmpty():
+        colour = written(core.select(F.col("src").alias("node")).union(core.select("dst")).distinct().withColumn("colour", F.col("node")), "colours")
+        while True:
+            now = colour.withColumn("old", F.col("colour"))
+            for _ in range(3):
+                near = core.join(now.select(F.col("node").alias("src"), "colour"), "src").groupBy(F.col("dst").alias("node")).agg(F.min("colour").alias("near"))
+                now = now.join(near, "node", "left").select("node", F.least("colour", "near").alias("colour"), "old")
+            now = written(now, "colours")
+            colour = now.select("node", "colour")
+            if now.where("colour != old").isEmpty():
+                break
+        ends = core.join(colour.withColumnRenamed("node", "src"), "src").join(colour.select(F.col("node").alias("dst"), F.col("colour").alias("other")), "dst")
+        inner = written(ends.where("colour = other").select("colour", "src", "dst"), "inner")
+        own = reach(inner, colour.where("node = colour"), "colour", backward=True).select("node", F.col("seed").alias("component"))
+        own = written(own, "components")
+        found.append(own)
+        gone = own.select("node")
+        rest = inner.select("src", "dst").join(gone.withColumnRenamed("node", "src"), "src", "left_anti").join(gone.withColumnRenamed("node", "dst"), "dst", "left_anti")
+        core = trimmed(written(rest.select("src", "dst"), "core"))
+    if not found:
+        kind = edges.schema["src"].dataType
+        return edges.select(F.col("src").alias("node"), F.col("src").cast(kind).alias("component")).where("false")
+    every = written(reduce(DataFrame.unionByName, found), "components")
+    several = every.groupBy("component").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("component")
+    return every.join(several, "component").select("node", "component")
+
+
 def acyclic(edges: DataFrame) -> DataFrame:
-    """Distinct edges that lie on no cycle: pairs without self loops whose target can't reach back. Peels nodes without incoming or outgoing edges first, so closures run on the cyclic core only."""
+    """Distinct edges that lie on no cycle: pairs without self loops whose ends are not in one strongly connected component."""
     pairs = written(edges.select("src", "dst").where("src != dst").distinct(), "pairs")
-    core = pairs
-    while True:
-        n = core.count()
-        core = written(core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"), "core")
-        if core.count() == n:
-            break
-    if core.isEmpty():
-        return pairs
-    back = reach(core, core.select(F.col("dst").alias("node")).distinct()).select(F.col("seed").alias("dst"), F.col("node").alias("src")).where("src != dst")
-    return pairs.join(back, ["src", "dst"], "left_anti")
+    parts = written(strong_components(pairs), "components")
+    ends = pairs.join(parts.select(F.col("node").alias("src"), F.col("component").alias("a")), "src", "left").join(parts.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst", "left")
+    return ends.where("a IS NULL OR b IS NULL OR a != b").select("src", "dst")
 
 
 def pseudo_graph(edges: DataFrame, share: float = 0.5, *by: str) -> DataFrame:

@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.graph import components
-from tracewell.operators.running import numbered
+from tracewell.operators.running import numbered, running
 from tracewell.operators.storage import written
 
 
@@ -19,29 +17,36 @@ def idf(members: DataFrame, item: str = "node", window: str = "tw") -> DataFrame
 
 
 def related_windows(members: DataFrame, rare: DataFrame) -> DataFrame:
-    """(a, b, shared): pairs of windows, a < b, with the number of rare nodes in both. Rare nodes are in few windows by definition, so the join on them stays near linear."""
+    """(a, b, shared): pairs of windows, a < b, with the number of rare nodes in both. A node in w windows gives w(w-1)/2 pairs before they are counted: what is called rare should be in few windows. ``chained_windows`` does without."""
     rows = members.select("tw", "node").distinct().join(rare.select("node"), "node", "left_semi")
     return rows.select("node", F.col("tw").alias("a")).join(rows.select("node", F.col("tw").alias("b")), "node").where("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"))
 
 
+def chained_windows(members: DataFrame, rare: DataFrame) -> DataFrame:
+    """(a, b): each window with the window before it that has one of its rare nodes. A row for each rare node and window at most; for queues as good as all related pairs, since a window's queue is never later than that of a related window before it."""
+    rows = members.select("tw", "node").distinct().join(rare.select("node"), "node", "left_semi")
+    before = running(rows, ["node"], ["tw"], "max", True, a=F.col("tw"))
+    return before.where("a IS NOT NULL").select("a", F.col("tw").alias("b")).distinct()
+
+
 def queues(windows: DataFrame, related: DataFrame) -> DataFrame:
-    """(queue, tw): in order, each window joins the first queue that has a related window, or opens one; queues are numbered in the order of their first windows.
+    """(queue, tw): in order, each window joins the first queue that has a related window before it, or opens one; queues are numbered in the order of their first windows.
 
-    An assignment depends on those before it, but on related windows only: each connected component of related windows is folded by itself, and sees a row for each of its windows and pairs. Windows without
-    relations open queues of their own without a fold.
+    A window's queue is that of the earliest window which it reaches along pairs (a, b), a < b, going back. Labels are iterated: each round every window takes the least label among
+    its earlier related windows and the label of its own label, until nothing changes. No group is folded anywhere.
     """
-    parts = components(related).select(F.col("node").alias("tw"), "root")
-    rows = related.select(F.col("b").alias("tw"), F.col("a").alias("other")).unionByName(parts.select("tw", F.lit(None).cast("long").alias("other")))
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        of: dict[int, int] = {}  # the first window of each window's queue
-        for tw, part in pdf.groupby("tw", sort=True):
-            known = [of[o] for o in part["other"].dropna().astype("int64") if o in of]
-            of[tw] = min(known) if known else tw
-        return pd.DataFrame({"first": list(of.values()), "tw": list(of)})
-
-    joined = written(rows.join(parts, "tw").groupBy("root").applyInPandas(fold, "first long, tw long"), "queues")
-    members = joined.unionByName(windows.select("tw").distinct().join(joined.select("tw"), "tw", "left_anti").select(F.col("tw").alias("first"), "tw"))
+    links = written(related.select("a", "b").distinct(), "links")
+    label = written(links.groupBy(F.col("b").alias("tw")).agg(F.min("a").alias("first")), "labels")
+    while True:
+        near = links.join(label.select(F.col("tw").alias("a"), "first"), "a").groupBy(F.col("b").alias("tw")).agg(F.min("first").alias("near"))
+        new = label.join(near, "tw", "left").select("tw", F.least("first", "near").alias("first"), F.col("first").alias("old"))
+        jump = new.join(label.select(F.col("tw").alias("first"), F.col("first").alias("further")), "first", "left")
+        now = written(jump.select("tw", F.least("first", "further").alias("first"), "old"), "labels")
+        label = now.select("tw", "first")
+        if now.where("first != old").isEmpty():
+            break
+    members = windows.select("tw").distinct().join(label, "tw", "left").select(F.coalesce("first", "tw").alias("first"), "tw")
+    members = written(members, "queues")
     numbers = numbered(members.select("first").distinct(), [], ["first"], "queue")
     return members.join(numbers, "first").select((F.col("queue") - 1).alias("queue"), "tw")
 

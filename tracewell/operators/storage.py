@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def folder(spark: SparkSession) -> str:
@@ -28,3 +29,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
     """df as a Parquet table in the shared folder, read again: lineage ends there, what an iteration builds on is stored once, and a lost executor costs no more than its own tasks."""
     df.write.parquet(path := new_path(df.sparkSession, label))
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: What a broadcast may hold: rows, and bytes of the table's files.
+BROADCAST_ROWS, BROADCAST_BYTES = 500_000, 8 << 20
+
+
+def fits(table: DataFrame) -> bool:
+    """Whether a written table of narrow rows is within both bounds."""
+    return int(table._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= BROADCAST_BYTES and table.count() <= BROADCAST_ROWS
+
+
+def bounded(table: DataFrame, fit: bool | None = None) -> DataFrame:
+    """table with a broadcast hint if it fits (or is known to); else as it is, for a shuffled join, whose hot keys the adaptive skew join splits."""
+    return F.broadcast(table) if (fits(table) if fit is None else fit) else table

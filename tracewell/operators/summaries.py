@@ -1,4 +1,4 @@
-"""Summaries of edges' time series: mixtures, clusters of streams, drift. Grouped functions see one edge's series, which ``reduction.sample_long`` bounds first."""
+"""Summaries of edges' time series: clusters of streams, drift; words around nodes. The stream clustering sees one edge's series, which ``reduction.sample_long`` bounds first."""
 
 from __future__ import annotations
 
@@ -10,105 +10,6 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.storage import written
 
-MIXTURE = "array<struct<mean:double,var:double,weight:double>>"
-
-
-def kmeans_1d(x: np.ndarray, k: int) -> np.ndarray:
-    """Exact labels of k clusters of sorted values by dynamic programming over prefix sums."""
-    n = len(x)
-    s, q = np.concatenate([[0], np.cumsum(x)]), np.concatenate([[0], np.cumsum(x * x)])
-    cost = lambda i, j: q[j] - q[i] - (s[j] - s[i]) ** 2 / np.maximum(j - i, 1)
-    best, cuts = np.array([cost(0, j) for j in range(n + 1)]), []
-    for _ in range(1, k):
-        new, at = np.full(n + 1, np.inf), np.zeros(n + 1, int)
-        for j in range(1, n + 1):
-            i = np.arange(j)
-            c = best[:j] + cost(i, j)
-            at[j] = int(c.argmin())
-            new[j] = c[at[j]]
-        cuts.append(at)
-        best = new
-    labels, j = np.zeros(n, int), n
-    for level in range(k - 1, 0, -1):
-        i = cuts[level - 1][j]
-        labels[i:j] = level
-        j = i
-    return labels
-
-
-def elbow(x: np.ndarray, most: int) -> int:
-    """The number of clusters after which the sum of squares falls most."""
-    errors = []
-    for k in range(1, min(most, len(np.unique(x))) + 1):
-        labels = kmeans_1d(x, k)
-        errors.append(sum(((x[labels == c] - x[labels == c].mean()) ** 2).sum() for c in range(k) if (labels == c).any()))
-    drops = -np.diff(errors)
-    return 1 if not len(drops) else int(drops.argmax()) + 2
-
-
-def em_1d(x: np.ndarray, labels: np.ndarray, rounds: int = 50, floor: float = 1e-10) -> np.ndarray:
-    """(mean, variance, weight) rows of a Gaussian mixture, from the clusters on."""
-    ks = np.unique(labels)
-    m = np.array([x[labels == k].mean() for k in ks])
-    v = np.maximum([x[labels == k].var() for k in ks], floor * max(1.0, x.var()) + 1e-12)
-    w = np.array([(labels == k).mean() for k in ks])
-    for _ in range(rounds):
-        log = np.log(w) - 0.5 * (np.log(2 * np.pi * v) + (x[:, None] - m) ** 2 / v)
-        log -= log.max(axis=1, keepdims=True)
-        r = np.exp(log)
-        r /= r.sum(axis=1, keepdims=True)
-        n = r.sum(axis=0) + 1e-12
-        new = (r * x[:, None]).sum(axis=0) / n
-        v = np.maximum((r * (x[:, None] - new) ** 2).sum(axis=0) / n, floor * max(1.0, x.var()) + 1e-12)
-        w = n / n.sum()
-        done = np.allclose(new, m, rtol=1e-9, atol=1e-12)
-        m = new
-        if done:
-            break
-    return np.column_stack([m, v, w])
-
-
-def mixtures(values: DataFrame, column: str, *key: str, most: int = 4) -> DataFrame:
-    """(key, n, mixture): a mixture per key with the elbow's number of components, sorted by mean."""
-    fields = ", ".join(f"{k} {values.schema[k].dataType.simpleString()}" for k in key)
-
-    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        x = np.sort(pdf[column].to_numpy(float))
-        parts = em_1d(x, kmeans_1d(x, elbow(x, most)))
-        return pd.DataFrame({**{k: [pdf[k].iloc[0]] for k in key}, "n": [len(x)], "mixture": [[{"mean": a, "var": b, "weight": c} for a, b, c in parts[parts[:, 0].argsort()]]]})
-
-    return values.select(*key, column).groupBy(*key).applyInPandas(fit, f"{fields}, n long, mixture {MIXTURE}")
-
-
-def truncated(mixture: str, share: float) -> Column:
-    """The heaviest components until their weights reach the share, one more than before it, made to sum to 1."""
-    heavy = F.array_sort(F.col(mixture), lambda a, b: F.signum(b["weight"] - a["weight"]).cast("int"))
-    upto = lambda i: F.aggregate(F.slice(heavy, 1, i), F.lit(0.0), lambda s, c: s + c["weight"])
-    kept = F.filter(heavy, lambda c, i: upto(i) < share)
-    total = F.aggregate(kept, F.lit(0.0), lambda s, c: s + c["weight"])
-    return F.transform(kept, lambda c: F.struct(c["mean"].alias("mean"), c["var"].alias("var"), (c["weight"] / total).alias("weight")))
-
-
-def average_nll(values: DataFrame, fitted: DataFrame, column: str, *key: str) -> DataFrame:
-    """(key, nll): mean negative log-likelihood of a key's values under its mixture."""
-    x = F.col(column).cast("double")
-    dens = F.aggregate("mixture", F.lit(0.0), lambda s, c: s + c["weight"] * F.exp(-0.5 * (x - c["mean"]) * (x - c["mean"]) / c["var"]) / F.sqrt(2 * np.pi * c["var"]))
-    return values.join(fitted, list(key)).select(*key, (-F.log(F.greatest(dens, F.lit(1e-300)))).alias("nll")).groupBy(*key).agg(F.avg("nll").alias("nll"))
-
-
-def multimodal(fitted: DataFrame, least: float = 0.05) -> DataFrame:
-    """Keys with two components of some weight, and the entropy of their weights."""
-    heavy = F.filter("mixture", lambda c: c["weight"] >= least)
-    entropy = -F.aggregate(heavy, F.lit(0.0), lambda s, c: s + c["weight"] * F.log(c["weight"]))
-    return fitted.withColumn("components", F.size(heavy)).where("components >= 2").withColumn("entropy", entropy)
-
-
-def storage(fitted: DataFrame) -> DataFrame:
-    """Components kept against times summarised."""
-    k = F.size("mixture")
-    return fitted.agg(F.count(F.lit(1)).alias("edges"), F.sum("n").alias("times"), F.sum(k).alias("components"), (F.sum(k) / F.sum("n")).alias("ratio"), F.min(k).alias("least"), F.max(k).alias("most"), F.percentile(k, F.lit(0.5)).alias("median"))
-
-
 class DbStream:
     """Micro-clusters of one series: a point updates all clusters within the radius, or opens one; clusters fade, those that moved together share density."""
 

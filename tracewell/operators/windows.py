@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tracewell.operators.running import numbered
+from tracewell.operators.running import numbered, running
 from tracewell.operators.storage import written
 
 ORDER = ("t", "event_uuid")
@@ -63,22 +63,26 @@ def minute_batches(edges: DataFrame, slide_ns: int, length_ns: int, *by: str) ->
 
 
 def pair_batches(edges: DataFrame, by: str) -> DataFrame:
-    """Greedy batches in which each (src, dst) comes once: a batch is cut before an edge whose pair it has. The fold reads each stream's previous positions of equal pairs, in order."""
-    order = W.partitionBy(by).orderBy(*ORDER)
-    placed = edges.withColumn("pos", F.row_number().over(order) - 1).withColumn("prev", F.coalesce(F.lag("pos").over(W.partitionBy(by, "src", "dst").orderBy("pos")), F.lit(-1)))
+    """Greedy batches in which each (src, dst) comes once: a batch is cut before an edge whose pair it has.
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        start, batch, out = 0, 0, []
-        for pos, prev in zip(pdf["pos"], pdf["prev"], strict=True):
-            if prev >= start:
-                start, batch = pos, batch + 1
-            out.append(batch)
-        return pd.DataFrame({by: pdf[by], "pos": pdf["pos"], "batch": out})
-
-    kind = edges.schema[by].dataType.simpleString()
-    folded = placed.select(by, "pos", "prev").groupBy(by).applyInPandas(fold, f"{by} {kind}, pos int, batch int")
-    return placed.drop("prev").join(folded, [by, "pos"]).drop("pos")
+    A batch that starts at a position ends before the first later position whose pair came since; that is the least next occurrence of any pair from the
+    start on, a running minimum from the end. Following these pointers from the first edge gives the cuts: pointers are doubled, so
+    the number of joins grows with the logarithm of the number of cuts. No task sees a whole group or a whole pair.
+    """
+    placed = written(numbered(edges, [by], [*ORDER], "__pos"), "placed")
+    later = running(placed.select(by, "src", "dst", "__pos"), [by, "src", "dst"], [F.desc("__pos")], "min", True, again=F.col("__pos"))
+    jump = running(later.select(by, "__pos", "again"), [by], [F.desc("__pos")], "min", to=F.col("again")).where("to IS NOT NULL")
+    jump = written(jump.select(by, "__pos", "to"), "jumps")
+    cuts = written(edges.select(by).distinct().withColumn("__pos", F.lit(1).cast("long")), "cuts")
+    while True:
+        new = written(cuts.join(jump, [by, "__pos"]).select(by, F.col("to").alias("__pos")), "cuts")
+        if new.isEmpty():
+            break
+        cuts = written(cuts.unionByName(new), "cuts")
+        further = jump.select(by, F.col("__pos").alias("to"), F.col("to").alias("further"))
+        jump = written(jump.join(further, [by, "to"]).select(by, "__pos", F.col("further").alias("to")), "jumps")
+    marked = placed.join(cuts.withColumn("__cut", F.lit(1)), [by, "__pos"], "left")
+    return running(marked, [by], ["__pos"], batch=F.coalesce("__cut", F.lit(0))).withColumn("batch", (F.col("batch") - 1).cast("int")).drop("__pos", "__cut")
 
 
 def local_ids(edges: DataFrame, *by: str) -> DataFrame:
@@ -99,8 +103,9 @@ def interval_stamps(spark, start_ns: int, end_ns: int, step_ns: int) -> DataFram
 
 
 def gaps(events: DataFrame, *key: str) -> DataFrame:
-    """The key and the gap to the previous event of the same key, for all but the first."""
-    return events.select(*key, "t", (F.col("t") - F.lag("t").over(W.partitionBy(*key).orderBy(*ORDER))).alias("gap")).where("gap IS NOT NULL")
+    """The key and the gap to the previous event of the same key, for all but the first. The previous time is the greatest before, a running maximum in two levels."""
+    rows = running(events.select(*key, *ORDER), list(key), [*ORDER], "max", True, last=F.col("t"))
+    return rows.select(*key, "t", (F.col("t") - F.col("last")).alias("gap")).where("gap IS NOT NULL")
 
 
 def recency(events: DataFrame, size_ns: int, *key: str) -> DataFrame:
@@ -114,7 +119,7 @@ def recency(events: DataFrame, size_ns: int, *key: str) -> DataFrame:
 
 def chunks(events: DataFrame, n: int, *key: str) -> DataFrame:
     """Chunk number of each event within its key: n events a chunk, in time order."""
-    return events.withColumn("chunk", F.floor((F.row_number().over(W.partitionBy(*key).orderBy(*ORDER)) - 1) / n).cast("int"))
+    return numbered(events, list(key), [*ORDER], "chunk").withColumn("chunk", F.floor((F.col("chunk") - 1) / n).cast("int"))
 
 
 def window_name(start: Column, end: Column) -> Column:

@@ -529,28 +529,22 @@ def rare_shared_nodes(spark, d):
     return q.related_windows(m, q.idf(m).where("idf > 1"))
 
 
-@query(IDF + " SELECT * FROM i")
-def idf_test(spark, d):
-    return q.idf(test_members(spark, d))
-
-
-@query(IDF + ", r AS (SELECT m.* FROM m JOIN i USING (node) WHERE idf > 1) SELECT x.tw AS a, y.tw AS b, count(*) AS shared FROM r x JOIN r y ON x.node = y.node AND x.tw < y.tw GROUP BY ALL")
-def rare_shared_nodes_test(spark, d):
-    m = test_members(spark, d)
-    return q.related_windows(m, q.idf(m).where("idf > 1"))
+QUEUES = IDF + """, rr AS (SELECT m.* FROM m JOIN i USING (node) WHERE idf > 1.2), rel AS MATERIALIZED (SELECT DISTINCT x.tw AS a, y.tw AS b FROM rr x JOIN rr y ON x.node = y.node AND x.tw < y.tw),
+back(tw, first) AS (SELECT tw, tw FROM m UNION SELECT k.tw, rel.a FROM back k JOIN rel ON rel.b = k.first), qs AS (SELECT tw, min(first) AS first FROM back GROUP BY tw), qq AS (SELECT dense_rank() OVER (ORDER BY first) - 1 AS queue, tw FROM qs)"""
 
 
 def window_queues(spark, d):
     m = test_members(spark, d)
-    return q.queues(m, q.related_windows(m, q.idf(m).where("idf > 1.2")))
+    return q.queues(m, q.chained_windows(m, q.idf(m).where("idf > 1.2")))
 
 
-@query()
+@query(QUEUES + " SELECT queue, tw FROM qq")
 def queues(spark, d):
     return window_queues(spark, d)
 
 
-@query()
+@query(QUEUES + """, lw AS (SELECT tw, avg(loss) / 50 AS loss FROM losses GROUP BY tw), sc AS (SELECT queue, round(exp(sum(ln(loss + 1))), 4) AS score FROM qq JOIN lw USING (tw) GROUP BY queue)
+SELECT tw, CASE WHEN score > 20 THEN 1 ELSE 0 END AS y_hat FROM qq JOIN sc USING (queue)""")
 def queue_predictions(spark, d):
     members = window_queues(spark, d)
     losses = a.losses(spark, d).groupBy("tw").agg((F.avg("loss") / 50).alias("loss"))
@@ -820,8 +814,8 @@ def host_counts(spark, d):
 # summaries of series
 
 
-#: Gaps of one edge that summaries look at: longer series are sampled, as summaries of single edges are made in one call.
-SERIES = 2000
+#: Gaps of one edge that a stream clustering follows, point by point: longer series are sampled, as in the original.
+SERIES = 50_000
 
 
 def sampled_gaps(spark, d):
@@ -829,17 +823,6 @@ def sampled_gaps(spark, d):
     return reduction.sample_long(g, SERIES, 0, "src", "op", by="t")
 
 
-@query()
-def gap_mixtures(spark, d):
-    m = summaries.mixtures(sampled_gaps(spark, d), "gap", "src", "op")
-    return m.select("src", "op", "n", F.posexplode("mixture").alias("component", "c")).select("src", "op", "n", "component", F.round("c.mean", 3).alias("mean"), F.round("c.var", 3).alias("var"), F.round("c.weight", 6).alias("weight"))
-
-
-@query()
-def mixture_storage(spark, d):
-    return summaries.storage(summaries.mixtures(sampled_gaps(spark, d), "gap", "src", "op"))
-
-
 @query()
 def stream_clusters(spark, d):
     return summaries.stream_clusters(sampled_gaps(spark, d), "gap", "src", "op")

@@ -104,11 +104,6 @@ SELECT day, node, round(coalesce((s - min(s) OVER (PARTITION BY day)) / nullif(m
 
 @query(SCALED)
 def degree_scaled(spark, d):
-    return degree_scaled_days(spark, d)
-
-
-@query(SCALED)
-def degree_scaled_days(spark, d):
     scores = graph.degree_scores(a.prov(spark, d), "day").select("day", "node", "score")
     return graph.min_max(scores, "score", "day").select("day", "node", F.round("score", 5).alias("score"))
 
