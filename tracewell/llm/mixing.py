@@ -23,8 +23,10 @@ WEIGHTS, SHARE, CAP = (5.0, 2.0, 1.0), 1.5, 2.0
 TOLERANCE, STEPS = 1e-7, 60
 #: Equal (source, size) pairs are dealt to groups of about so many documents, and so many groups of a pair share a subtotal of the running sum.
 GROUP, BLOCK = 2000, 1000
-#: Turns of single draws end when each source is this near its target, or after so many.
-NEAR, ROUNDS = 0.002, 8
+#: Turns of single draws end when each source is this near its target, or after so many rounds; documents are swapped so many times.
+NEAR, ROUNDS, SWAPS = 0.002, 8, 2
+#: What a draw is known by.
+DRAW = ["sid", "size", "part", "k"]
 
 
 def source_targets(narrow: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
@@ -99,24 +101,43 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", id_col: str
     return settle(drawn).select("doc_id", "size", "source_size", "target", F.col("copies").cast("int").alias("copies"), (F.col("copies") * F.col("size")).alias("taken"))
 
 
-def settle(drawn: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """drawn with a column copies. What a source misses its target by after the draws is about a document; in each round draws are turned round, from the largest documents
-    that fit into the gap down, until the next would not fit; when none fits, the one that comes nearest closes the gap as far as it goes. Which sizes are turned, and how many of each, comes from a histogram."""
-    turned, key, last = None, ["sid", "size", "part", "k"], False
+def turned_copies(drawn: DataFrame, turned: DataFrame | None) -> DataFrame:
+    """drawn with column copies, after the draws listed in turned (as often as there) are turned round."""
+    if turned is None:
+        return drawn.withColumn("copies", F.col("whole") + F.col("extra"))
+    odd = F.pmod(F.coalesce(F.col("turns"), F.lit(0)), F.lit(2)) == 1
+    now = drawn.join(bounded(turned), DRAW, "left").withColumn("extra", F.when(odd, 1 - F.col("extra")).otherwise(F.col("extra"))).drop("turns")
+    return now.withColumn("copies", F.col("whole") + F.col("extra"))
+
+
+def missing(now: DataFrame) -> DataFrame:
+    """(sid, miss, aim): what each source lacks of its target."""
+    return materialise(now.groupBy("sid").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("miss"), F.first("target").alias("aim")), "miss")
+
+
+def able_to(now: DataFrame, wide: DataFrame) -> DataFrame:
+    """The draws of the sources in wide that bring them nearer to the target, with the gap."""
+    return now.join(bounded(wide), "sid").where(F.col("open") & (F.col("extra") == (F.col("miss") < 0).cast("int"))).withColumn("gap", F.abs("miss"))
+
+
+def added(turned: DataFrame | None, new: DataFrame) -> DataFrame:
+    new = new.withColumn("turns", F.lit(1))
+    every = new if turned is None else new.unionByName(turned)
+    return materialise(every.groupBy(*DRAW).agg(F.sum("turns").cast("int").alias("turns")), "turned")
+
+
+def greedy(drawn: DataFrame, turned: DataFrame | None, sources: DataFrame | None, rounds: int) -> tuple[DataFrame | None, DataFrame]:
+    """turned, and what is then missing, after so many rounds. In each, draws are turned from the largest documents that fit into a source's gap down, until the next would not fit; when none fits, the one that comes nearest closes the
+    gap as far as it goes. Which sizes are turned, and how many of each, comes from a histogram. Only the given sources are looked at."""
+    last = False
     for turn in range(rounds + 1):
-        now = drawn
-        if turned is not None:
-            odd = F.pmod(F.coalesce(F.col("turns"), F.lit(0)), F.lit(2)) == 1
-            now = drawn.join(bounded(turned), key, "left").withColumn("extra", F.when(odd, 1 - F.col("extra")).otherwise(F.col("extra"))).drop("turns")
-        now = now.withColumn("copies", F.col("whole") + F.col("extra"))
-        if last or turn == rounds:
-            return now
-        miss = now.groupBy("sid").agg((F.first("target") - F.sum(F.col("copies") * F.col("size"))).alias("miss"), F.first("target").alias("aim"))
-        miss = materialise(miss, "miss")
+        now = turned_copies(drawn, turned)
+        miss = missing(now)
         wide = miss.where(F.abs("miss") > NEAR * F.col("aim"))
-        if not wide.count():
-            return now
-        able = now.join(bounded(wide), "sid").where(F.col("open") & (F.col("extra") == (F.col("miss") < 0).cast("int"))).withColumn("gap", F.abs("miss"))
+        wide = materialise(wide if sources is None else wide.join(bounded(sources), "sid", "left_semi"), "wide")
+        if last or turn == rounds or not wide.count():
+            return turned, miss
+        able = able_to(now, wide)
         sizes = able.where("size <= gap").groupBy("sid", "size", "gap").agg(F.count(F.lit(1)).alias("n"))
         larger = F.coalesce(F.sum(F.col("n") * F.col("size")).over(W.partitionBy("sid").orderBy(F.desc("size")).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         plan = sizes.withColumn("take", F.least("n", F.floor((F.col("gap") - larger) / F.col("size")))).where("take > 0").select("sid", "size", "take")
@@ -127,17 +148,46 @@ def settle(drawn: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             ahead = F.coalesce(F.sum("n").over(W.partitionBy("sid", "size").orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
             parts = materialise(parts.select("sid", "size", "part", ahead.alias("ahead")), "ahead")
             rank = F.col("ahead") + F.row_number().over(W.partitionBy("sid", "size", "part").orderBy("k"))
-            new = fit.join(bounded(parts), ["sid", "size", "part"]).withColumn("rank", rank).where("rank <= take").select(*key)
+            new = fit.join(bounded(parts), ["sid", "size", "part"]).withColumn("rank", rank).where("rank <= take").select(*DRAW)
         else:
             after = F.abs(F.col("size") - F.col("gap"))
             new = able.where(after < F.col("gap")).groupBy("sid").agg(F.min(F.struct(after.alias("after"), "size", "part", "k")).alias("best")).select("sid", "best.size", "best.part", "best.k")
             last = True
-        new = new.withColumn("turns", F.lit(1))
-        new = new if turned is None else new.unionByName(turned)
-        turned = materialise(new.groupBy(*key).agg(F.sum("turns").cast("int").alias("turns")), "turned")
+        turned = added(turned, new)
     raise AssertionError
 
 
+def settle(drawn: DataFrame, rounds: int = ROUNDS, swaps: int = SWAPS) -> DataFrame:
+    """drawn with a column copies. What a source misses its target by after the draws is about a document; draws are turned round to close that gap (``greedy``).
+
+    Where nothing smaller than the gap is left to turn, documents are swapped: the smallest draw beyond the gap is turned although it overshoots, and others are turned
+    back into the new gap; a source keeps that only if it ends nearer. Sources that stay off by more than NEAR are reported by a warning.
+    """
+    turned, miss = greedy(drawn, None, None, rounds)
+    for _ in range(swaps):
+        wide = materialise(miss.where(F.abs("miss") > NEAR * F.col("aim")), "wide")
+        if not wide.count():
+            break
+        beyond = able_to(turned_copies(drawn, turned), wide).where("size > gap").groupBy("sid").agg(F.min(F.struct("size", "part", "k")).alias("best"))
+        beyond = materialise(beyond.select("sid", "best.size", "best.part", "best.k"), "beyond")
+        if not beyond.count():
+            break
+        tried, left = greedy(drawn, added(turned, beyond), beyond.select("sid"), rounds)
+        nearer = left.join(miss.select("sid", F.col("miss").alias("before")), "sid").where(F.abs("miss") < F.abs("before")).select("sid")
+        nearer = materialise(nearer, "nearer")
+        if not nearer.count():
+            break
+        better = tried.join(bounded(nearer), "sid", "left_semi")
+        if turned is not None:
+            better = better.unionByName(turned.join(bounded(nearer), "sid", "left_anti"))
+        turned = materialise(better, "turned")
+        miss = missing(turned_copies(drawn, turned))
+    off = miss.where(F.abs("miss") > NEAR * F.col("aim")).agg(F.count(F.lit(1)).alias("n"), F.max(F.abs("miss") / F.col("aim")).alias("most")).first()
+    if off.n:
+        warnings.warn(f"{off.n} sources miss their targets by more than {NEAR:.1%}, at most by {off.most:.2%}: their documents are too large to come nearer", stacklevel=2)
+    return turned_copies(drawn, turned)
+
+
 def mixture(docs: DataFrame, text: str = "text", source: str = "source", id_col: str = "doc_id") -> DataFrame:
     """docs with each row as often as the mix takes it; column ``copy`` (in place of one of that name) numbers its copies from 1. Rows that repeat an id, or have none, get the most copies that one of them draws; an empty table stays empty."""
     drawn = mix(docs, text, source, id_col).groupBy("doc_id").agg(F.max("copies").alias("__copies")).withColumnRenamed("doc_id", "__id")
