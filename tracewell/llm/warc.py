@@ -15,6 +15,7 @@ import hashlib
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
+from urllib.parse import unquote_to_bytes
 
 import pyarrow as pa
 from pyarrow import fs
@@ -36,8 +37,20 @@ def base32_sha1(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
+def escaped(value: str) -> str:
+    """A header's value on one line, without white space at its ends."""
+    value = value.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")
+    ends = value.strip()
+    return value if ends == value else "".join(f"%{x:02X}" for x in value.encode("utf-8", "replace"))
+
+
+def unescaped(value: str) -> str:
+    return unquote_to_bytes(value).decode("utf-8", "replace")
+
+
 def urn(ident: object) -> str:
-    return f"<urn:page:{'' if ident is None else ident}>"
+    """What a record is known by; no id and an empty one are told apart."""
+    return "<urn:no-page>" if ident is None else f"<urn:page:{escaped(str(ident))}>"
 
 
 def record(ident: object, url: str | None, payload: bytes, refers_to: object, date: str) -> bytes:
@@ -46,7 +59,7 @@ def record(ident: object, url: str | None, payload: bytes, refers_to: object, da
     block = http if refers_to is not None else http + payload
     head = [("WARC-Type", "response" if refers_to is None else "revisit"), ("WARC-Record-ID", urn(ident)), ("WARC-Date", date), ("WARC-Payload-Digest", f"sha1:{base32_sha1(hashlib.sha1(payload).digest())}")]
     if url is not None:
-        head.append(("WARC-Target-URI", url.replace("%", "%25").replace("\r", "%0D").replace("\n", "%0A")))
+        head.append(("WARC-Target-URI", escaped(url)))
     if refers_to is not None:
         head += [("WARC-Profile", PROFILE), ("WARC-Refers-To", urn(refers_to))]
     head += [("Content-Type", "application/http; msgtype=response"), ("Content-Length", str(len(block)))]
@@ -198,7 +211,16 @@ def records(file: pa.NativeFile, size: int, start: int, end: int) -> Iterator[tu
 
 
 def ident(urn: str | None) -> str | None:
-    return (urn or "").removeprefix("<urn:page:").removesuffix(">") or None
+    return unescaped(urn.removeprefix("<urn:page:").removesuffix(">")) if urn and urn.startswith("<urn:page:") else None
+
+
+def read_whole(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
+    """``read_archives``, written once and held against what the writers have reported (column records): a record that is lost, or read twice, is an error."""
+    rows = materialise(read_archives(archives, split_bytes), "records")
+    wanted, got = archives.agg(F.sum("records")).first()[0] or 0, rows.count()
+    if got != wanted:
+        raise RuntimeError(f"{wanted} records were written, {got} were read")
+    return rows
 
 
 def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
@@ -221,7 +243,7 @@ def read_archives(archives: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFr
                         length = int(fields(http).get("content-length", "0")) if revisit else len(payload)
                         digest = head.get("warc-payload-digest", "").removeprefix("sha1:") if revisit else base32_sha1(hashlib.sha1(payload).digest())
                         target = head.get("warc-target-uri")
-                        target = target and target.replace("%0A", "\n").replace("%0D", "\r").replace("%25", "%")
+                        target = target and unescaped(target)
                         rows.append((ident(head.get("warc-record-id")), target, head.get("warc-type"), ident(head.get("warc-refers-to")), length, digest))
                 types = [pa.string()] * 4 + [pa.int64(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], [x.split()[0] for x in RECORD.split(", ")])
@@ -233,4 +255,4 @@ def query(spark, sf_dir: str) -> DataFrame:
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     archives = write_archives(pages, new_path(spark, "warc"))
     kind = pages.schema["page_id"].dataType
-    return read_archives(archives).select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
+    return read_whole(archives).select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
