@@ -204,7 +204,7 @@ def contamination(docs: DataFrame, items: DataFrame, text: str = "text", id_col:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, text: str = "text", id_col: str = "doc_id", item_id: str = "item_id") -> DataFrame:
-    """docs without the documents that are contaminated; an id goes if any of its rows is."""
+    """docs without the documents that are contaminated; an id goes if any of its rows is, rows without an id by their own. Null and empty texts stay, no items take nothing, an empty table stays empty; columns stay as they are."""
     gone = contamination(docs, items, text, id_col, item_id).where("contaminated").select(F.col("doc_id").alias(id_col)).distinct()
     return discard(docs, materialise(gone, "contaminated"), id_col)
 

@@ -22,6 +22,8 @@ from tracewell.llm.markov import UNIFORM_BITS, Trees, gram_counts
 ORDER = 4
 #: The sample that trees are counted on: documents of each language, in expectation (all if there are fewer), of all languages together, and characters of one at most (longer texts are identified, but not learned from).
 PER_LANGUAGE, SAMPLE_DOCS, LONGEST = 300, 20_000, 50_000
+#: Characters of all of the sample together, in expectation: what the driver holds of their contexts grows no further.
+SAMPLE_CHARS = 8_000_000
 UNDETERMINED = "und"
 GROUP_BYTES = 1 << 18
 NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -38,12 +40,13 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def train(docs: DataFrame, text: str = "text", label: str = "lang", id_col: str = "doc_id", per_language: int = PER_LANGUAGE) -> Trees | None:
-    """Trees from labelled rows with an id and a text that aren't held out: all of a language, or a sample by hash of ``per_language`` in expectation. None if there are no such rows."""
+    """Trees from labelled rows with an id and a text that aren't held out: all of a language, or a sample by hash of id and text of ``per_language`` in expectation, fewer where texts are so long that SAMPLE_CHARS would be passed. None if there are no such rows."""
     known = docs.where((F.char_length(text) <= LONGEST) & F.col(label).isNotNull() & F.col(text).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col))
-    sizes = materialise(known.groupBy(label).agg(F.count(F.lit(1)).alias("__n")), "languages")
-    per_language = min(per_language, SAMPLE_DOCS / max(1, sizes.count()))
-    share = F.pmod(F.xxhash64(F.col(id_col), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
-    rows = known.join(bounded(sizes), label).where(share * F.col("__n") < per_language).select(F.col(label).alias("label"), F.col(text).alias("text"))
+    sizes = materialise(known.groupBy(label).agg(F.count(F.lit(1)).alias("__n"), F.sum(F.char_length(text)).alias("__c")), "languages")
+    languages = max(1, sizes.count())
+    per_language = min(per_language, SAMPLE_DOCS / languages)
+    share = F.pmod(F.xxhash64(F.col(id_col), F.col(text), F.lit("language")), F.lit(1 << 30)) / float(1 << 30)
+    rows = known.join(bounded(sizes), label).where((share * F.col("__n") < per_language) & (share * F.col("__c") < SAMPLE_CHARS / languages)).select(F.col(label).alias("label"), F.col(text).alias("text"))
     counts = gram_counts(rows, ORDER, clean).toPandas()  # bounded by the sample
     return Trees(counts, ORDER) if len(counts) else None
 
@@ -96,7 +99,7 @@ def identify(docs: DataFrame, trees: Trees | None, text: str = "text", id_col: s
 
 
 def keep_identified(docs: DataFrame, trees: Trees | None, text: str = "text") -> DataFrame:
-    """docs without those rejected: ``und``, or texts that the best tree codes no shorter than plain bytes (scripts that no learned language uses)."""
+    """docs without those rejected: ``und`` (null texts, texts without letters, all if nothing was learned), or texts that the best tree codes no shorter than plain bytes (scripts that no learned language uses). Repeated rows are rows like others, an empty table stays empty; columns stay as they are."""
     at = docs.columns.index(text)
     model = docs.sparkSession.sparkContext.broadcast(trees)
 
