@@ -47,7 +47,9 @@ CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 NUMBER = re.compile("[0-9]+")
 ODD = re.compile(r"[^\w\s().+@/:-]|_")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-HOT = re.compile(r"[0-9]|@|[\[({<]\s?(?:at|dot|\.)\s?[\])}>]|(?<=\s)dot(?=\s)", re.IGNORECASE)
+HOT = re.compile(r"[0-9]|@|[\[({<]\s?(?:at|dot|\.)\s?[\])}>]|(?<=\s)dot(?=\s)|(?<=\s)at(?=\s+[a-z0-9-]+(?:\.[a-z0-9-]+)*\.[a-z]{2,}\b)", re.IGNORECASE)
+#: A bare "at" before a host counts after a word with a mark or a digit inside, as names of mailboxes have.
+AT, NAME_BEFORE = ("at", "AT", "At"), re.compile(r"[A-Za-z0-9](?:[._+-][A-Za-z0-9]|[0-9])[A-Za-z0-9._%+-]*\s{1,4}\Z")
 AFTER = re.compile(rf"\S*(?:\s+\S+){{0,{TRAIL}}}")
 CHUNK = re.compile(r"\S*")
 OPENING = re.compile(r"(?:^|\s)([+(]\s{1,4})$")
@@ -143,6 +145,9 @@ def islands(text: str) -> Iterator[Span]:
     """Runs of chunks that can hold an entity. Each character is passed over a bounded number of times, however long the runs."""
     at, start, stop, floor = 0, -1, -1, 0
     while m := HOT.search(text, at):
+        if m[0] in AT and not NAME_BEFORE.search(text, max(0, m.start() - 80), m.start()):
+            at = m.end()  # "look at example.org" is no address
+            continue
         lo, lead = m.start(), 0 if m[0].isdigit() else LEAD
         for k in range(lead + 1):
             edge = lo
