@@ -128,7 +128,13 @@ def near_places(hits: DataFrame, seeds: DataFrame, window: int, slack: int) -> D
     """(row, item, place, start): windows whose rarest terms follow each other on diagonals that drift no faster than a chain can. A place k holds the diagonals from k to k + 2 drifts, so any chain is whole in one."""
     reach = drift(window, slack)
     both = F.explode(F.array(F.floor(F.col("delta") / reach), F.floor(F.col("delta") / reach) - 1))
-    met = hits.withColumn("place", both).join(bounded(seeds.select("item", "start", "p", "k")), ["item", "p"])
+    placed = hits.withColumn("place", both)
+    # most places have one of an item's rare terms alone: plain extremes tell them before any list is collected
+    fewest = materialise(seeds.groupBy("item").agg(F.min("k").alias("fewest")), "fewest")
+    spans = placed.groupBy("row", "item", "place").agg(F.min("p").alias("low"), F.max("p").alias("high")).join(bounded(fewest), "item")
+    several = materialise(spans.where("fewest = 1 OR low < high").select("row", "item", "place"), "several")
+    kept = placed.join(bounded(several), ["row", "item", "place"], "left_semi")
+    met = kept.join(bounded(seeds.select("item", "start", "p", "k")), ["item", "p"])
     key = ["row", "item", "place", "start", "k"]
     lists = met.groupBy(*key, "p").agg(F.collect_set("delta").alias("at")).groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("p", "at"))).alias("lists")).where(F.size("lists") == F.col("k"))
 
