@@ -1,7 +1,7 @@
 """Licence scans: sparse TF-IDF cosine to templates, then inheritance from the nearest ancestor directory.
 
-Comment marks are stripped; then single lines, paragraphs of several lines, the leading comment block and, of files named as licence files, the whole text
-are compared with each template. A term weighs 1 + ln(tf), times its idf; document frequencies are counted over all files. By Cauchy-Schwarz a segment can only reach the
+Comment marks are stripped; then single lines, sentences (wrapped ones too), paragraphs of several lines, the leading comment block and, of files named as licence files, the whole text
+are compared with each template. Long templates count as a whole and by their first clause. A machine-readable tag names its licence by itself. A term weighs 1 + ln(tf), times its idf; document frequencies are counted over all files. By Cauchy-Schwarz a segment can only reach the
 threshold if it has one of each template's rarest terms, so many that the others are too light; segments without any are left out exactly, before vectors are built. The
 frequencies of the other words of those that remain are counted over all files too. A file without a licence of its own takes that of the
 nearest directory above it that holds a licence file, found by joining its ancestor paths with those directories.
@@ -25,6 +25,9 @@ NAMED = r"(?i)(^|/)(licen[sc]e|copying|notice|unlicense)([._-][^/]*)?$"
 MARK = r"[ \t]*(?://+!?|#+|/?\*+/?|--+|;+|%+|<!--+)?[ \t]*"
 HEADER = r"^(?:[ \t]*(?:(?://|#|/?\*|--|;|%)[^\n]*)?\n)+"
 PARAGRAPH = r"\n(?:[ \t\r]*\n)+"
+SENTENCE = r"[.!?;:][ \t\r\n]+|\n(?:[ \t\r]*\n)+"
+#: The tag of a licence, and what of its name tells later versions only; a template of more words than LONG has its first clause as another template.
+TAG, LATER, LONG = r"spdx-license-identifier:[ \t]*\(?([a-z0-9.+-]+)", r"(-only|-or-later|\+)?\.*$", 60
 
 WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
@@ -81,6 +84,16 @@ TEMPLATES = [
 ]
 
 
+def with_first_clauses(templates: list[tuple[str, str]]) -> list[tuple[str, str]]:
+    """templates, and the first clause of each long one, unless it is a template already."""
+    clauses = [(name, re.split(r"[.:](?:\s|$)", text)[0]) for name, text in templates if len(text.split()) > LONG]
+    return templates + [c for c in clauses if c not in templates]
+
+
+TEMPLATES = with_first_clauses(TEMPLATES)
+NAMES = sorted({name for name, _ in TEMPLATES})
+
+
 def vocabulary() -> list[str]:
     return sorted({w for _, text in TEMPLATES for w in re.findall(r"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", text.lower())})
 
@@ -146,7 +159,7 @@ def stripped(text: Column) -> Column:
 def scan(files: DataFrame, path: str = "path", text: str = "text", keep: list[str] = (), threshold: float = THRESHOLD, file_share: float = FILE_SHARE) -> DataFrame:
     """One row per row of files: the columns of ``keep``, path, own (its own licence or null), score, licence, origin ('own', 'inherited' or null), licence_from (path of the licence file inherited from).
 
-    A file's own licence is that of its best segment (of its whole text, too, if it is named as a licence file); ties go to the first name. Directories with several
+    A file's own licence is that of its best segment (of its whole text, too, if it is named as a licence file), or that of its first tag, with score 1; ties go to the first name. A tag alone doesn't make a licence file. Directories with several
     licence files take the best score, then the first path. Null or empty texts have no licence of their own, a null path inherits nothing; repeated rows are rows like others.
     """
     spark, total = files.sparkSession, files.count()
@@ -157,20 +170,26 @@ def scan(files: DataFrame, path: str = "path", text: str = "text", keep: list[st
     has = lambda s: F.arrays_overlap(words(s), strong)
     t = F.coalesce(F.col(text), F.lit(""))
     named = F.coalesce(F.col(path).rlike(NAMED), F.lit(False))
-    rows = files.select(F.monotonically_increasing_id().alias("row"), *keep, F.col(path).alias("path"), named.alias("named"), F.when(has(t), t).alias("t"))
+    rows = files.select(F.monotonically_increasing_id().alias("row"), *keep, F.col(path).alias("path"), named.alias("named"), t.alias("t"))
+    tag = F.regexp_replace(F.regexp_extract(F.lower("t"), TAG, 1), LATER, "")
+    names = F.create_map(*(F.lit(x) for n in NAMES for x in (n.lower(), n)))
+    tagged = F.when(F.contains(F.lower("t"), F.lit("spdx-license-identifier:")), F.try_element_at(names, tag))
+    rows = rows.withColumn("tag", tagged).withColumn("t", F.when(has(F.col("t")), F.col("t")))
     lines = materialise(rows, "lines")  # texts of the few rows that may declare a licence
     plain = lines.where("t IS NOT NULL").withColumn("plain", stripped(F.col("t"))).withColumn("header", stripped(F.regexp_extract("t", HEADER, 0)))
-    parts = F.concat(F.split("plain", "[\r\n]+"), F.filter(F.array_append(F.split("plain", PARAGRAPH), F.col("header")), lambda s: s.contains("\n")))
+    parts = F.concat(F.split("plain", "[\r\n]+"), F.split("plain", SENTENCE), F.filter(F.array_append(F.split("plain", PARAGRAPH), F.col("header")), lambda s: s.contains("\n")))
     plain = plain.select("row", "named", "plain", F.when(F.col("named"), F.array_append(parts, F.col("plain"))).otherwise(parts).alias("cut"))
-    cut = materialise(plain.select("row", F.size(words(F.col("plain"))).alias("n_words"), F.filter("cut", has).alias("cut")).where(F.size("cut") > 0), "segments")
+    cut = materialise(plain.select("row", F.size(words(F.col("plain"))).alias("n_words"), F.filter(F.array_distinct("cut"), has).alias("cut")).where(F.size("cut") > 0), "segments")
     segments = cut.select("row", F.posexplode("cut").alias("seg", "s"))
     counts = term_counts(segments.select("row", "seg", words(F.col("s")).alias("tokens")))
     idf = materialise(weights_of(files, text, total, known, counts), "all-idf")
     best = best_match(counts, idf, vectors).where(F.col("score") >= threshold).join(cut.select("row", "n_words"), "row")
-    most = (F.max("words") >= file_share * F.first("n_words")).alias("near")
+    most = (F.max("words") >= file_share * F.max("n_words")).alias("near")
+    told = lines.where("tag IS NOT NULL").select("row", F.lit(0).cast("long").alias("words"), F.col("tag").alias("licence"), F.lit(1.0).alias("score"), F.lit(1).alias("n_words"))
+    best = best.select("row", "words", "licence", "score", "n_words").unionByName(told)
     own = best.groupBy("row").agg(F.min(F.struct((-F.col("score")).alias("less"), "licence")).alias("best"), most)
     own = materialise(own.select("row", F.col("best.licence").alias("own"), (-F.col("best.less")).alias("score"), "near"), "own")
-    base = lines.drop("t").join(bounded(own), "row", "left")
+    base = lines.drop("t", "tag").join(bounded(own), "row", "left")
     above = F.element_at(directories(F.col("path")), -1)
     declared = base.where(F.col("own").isNotNull() & F.col("path").isNotNull() & (F.col("named") | F.col("near"))).groupBy(above.alias("dir")).agg(F.min(F.struct((~F.col("named")).alias("unnamed"), (-F.col("score")).alias("less"), "path", "own")).alias("best"))
     declared = materialise(declared.select("dir", F.col("best.path").alias("licence_from"), F.col("best.own").alias("inherited")), "declared")
@@ -203,12 +222,13 @@ df AS (SELECT w, count(DISTINCT doc_id) AS df FROM (SELECT doc_id, unnest(regexp
 idf AS (SELECT w, ln((1 + (SELECT count(*) FROM d)) / (1 + coalesce(df, 0))) + 1 AS idf FROM (SELECT w FROM tt UNION SELECT w FROM df) LEFT JOIN df USING (w)),
 tv AS (SELECT template, licence, w, (1 + ln(tf)) * idf / sqrt(sum((1 + ln(tf)) * idf * (1 + ln(tf)) * idf) OVER (PARTITION BY template)) AS x FROM tt JOIN idf USING (w)),
 p AS (SELECT doc_id, low, regexp_replace(low, '(?m)^{MARK}', '', 'g') AS plain, regexp_replace(regexp_extract(low, '{HEADER}', 0), '(?m)^{MARK}', '', 'g') AS header FROM d),
-segs AS (SELECT doc_id, unnest(list_concat(regexp_split_to_array(plain, '[\r\n]+'), list_filter(list_append(regexp_split_to_array(plain, '{PARAGRAPH}'), header), lambda s: contains(s, chr(10))))) AS s FROM p),
+segs AS (SELECT doc_id, unnest(list_concat(regexp_split_to_array(plain, '[\r\n]+'), regexp_split_to_array(plain, '{SENTENCE}'), list_filter(list_append(regexp_split_to_array(plain, '{PARAGRAPH}'), header), lambda s: contains(s, chr(10))))) AS s FROM p),
 l AS (SELECT doc_id, row_number() OVER () AS i, s FROM segs),
 lw AS (SELECT doc_id, i, w, count(*) AS tf, (1 + ln(count(*))) * any_value(idf) AS x FROM (SELECT doc_id, i, unnest(regexp_extract_all(s, {WORD})) AS w FROM l) JOIN idf USING (w) GROUP BY doc_id, i, w),
 nrm AS (SELECT i, sqrt(sum(x * x)) AS n, sum(tf) AS words FROM lw GROUP BY i),
 cosine AS (SELECT doc_id, licence, words, round(s / n, 9) AS score FROM (SELECT doc_id, i, template, licence, sum(lw.x * tv.x) AS s FROM lw JOIN tv USING (w) GROUP BY ALL) JOIN nrm USING (i) WHERE round(s / n, 9) >= {THRESHOLD}),
-own AS (SELECT doc_id, arg_min(licence, (-score, licence)) AS own, max(score) AS score, max(words) AS words FROM cosine GROUP BY doc_id),
+told AS (SELECT doc_id, name AS licence, 0 AS words, 1.0::DOUBLE AS score FROM d JOIN (VALUES {", ".join(f"({_quoted(n.lower())}, {_quoted(n)})" for n in NAMES)}) names(tag, name) ON tag = regexp_replace(regexp_extract(low, '{TAG}', 1), '{LATER}', '')),
+own AS (SELECT doc_id, arg_min(licence, (-score, licence)) AS own, max(score) AS score, max(words) AS words FROM (SELECT * FROM cosine UNION ALL SELECT * FROM told) GROUP BY doc_id),
 decl AS (SELECT dir, arg_min(path, (-score, path)) AS licence_from, arg_min(own, (-score, path)) AS near FROM d JOIN own USING (doc_id) JOIN p USING (doc_id) WHERE words >= {FILE_SHARE} * len(regexp_extract_all(plain, {WORD})) GROUP BY dir)
 SELECT doc_id, path, own, round(score, 6) AS score, coalesce(own, near) AS licence, CASE WHEN own IS NOT NULL THEN 'own' WHEN near IS NOT NULL THEN 'inherited' END AS origin, CASE WHEN own IS NULL THEN licence_from END AS licence_from
 FROM d LEFT JOIN own USING (doc_id) LEFT JOIN decl USING (dir)
