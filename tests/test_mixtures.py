@@ -30,7 +30,7 @@ def lloyd(x, k, rounds):
     x = np.sort(x)
     n = len(x)
     cum = np.array([(x <= v).sum() - (x == v).sum() / 2 for v in x])
-    label = np.floor(k * cum / n)
+    label = np.floor(k * cum / n + 1e-9)
     for _ in range(rounds):
         centres = np.array(sorted(x[label == c].mean() for c in np.unique(label)))
         d = np.abs(x[:, None] - centres)

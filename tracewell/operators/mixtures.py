@@ -18,6 +18,8 @@ from tracewell.operators.running import running
 from tracewell.operators.storage import bounded, fits, written
 
 TINY = 1e-300
+#: Added where a share is cut into slices, so that rounding alone does not decide what lies on an edge.
+EDGE = 1e-9
 #: Whether anything still changes is looked up after each so many rounds.
 EVERY = 5
 
@@ -74,7 +76,7 @@ def kmeans(hist: DataFrame, most: int, *key: str, rounds: int = 50) -> DataFrame
     total = written(hist.groupBy(*key).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("distinct")), "totals")
     placed = running(hist.select(*key, "x", "n"), list(key), [*key, "x"], upto=F.col("n")).join(bounded(total), list(key))
     ks = placed.withColumn("k", F.explode(F.sequence(F.lit(1), F.least(F.lit(most), "distinct").cast("int"))))
-    state = _clusters(ks.withColumn("label", F.floor(F.col("k") * (F.col("upto") - F.col("n") / 2) / F.col("total"))), *key)
+    state = _clusters(ks.withColumn("label", F.floor(F.col("k") * (F.col("upto") - F.col("n") / 2) / F.col("total") + EDGE)), *key)
     small = fits(state)  # a row for each key and number of clusters, in every round
     for turn in range(1, rounds + 1):
         centres = written(state.groupBy(*key).agg(F.collect_list(F.struct("k", F.transform("parts", lambda c: c["mean"]).alias("centres"))).alias("sets")), "centres")
@@ -172,7 +174,7 @@ def variational(hist: DataFrame, components: int, *key: str, rounds: int = 100,
     own = bounded(own, small)
     hist = centred(hist, stats, *key)
     placed = running(hist, list(key), [*key, "x"], upto=F.col("n")).join(own, list(key))
-    label = F.least(F.floor(F.col("active") * (F.col("upto") - F.col("n") / 2) / F.col("total")), F.col("active") - 1).cast("int")
+    label = F.least(F.floor(F.col("active") * (F.col("upto") - F.col("n") / 2) / F.col("total") + EDGE), F.col("active") - 1).cast("int")
     x, n = F.col("x"), F.col("n")
     sums = placed.groupBy(*key, label.alias("k")).agg(F.sum(n).alias("s0"), F.sum(n * x).alias("s1"), F.sum(n * x * x).alias("s2")).withColumn("entropy", F.lit(0.0))
     every = own.select(*key, F.explode(F.sequence(F.lit(0), F.col("active").cast("int") - 1)).alias("k"))

@@ -45,7 +45,7 @@ PART = "sum(n * x) / sum(n) AS mean, greatest(sum(n * x * x) / sum(n) - (sum(n *
 def mixture_sql(tag: str = "", most: int = MOST, cluster_rounds: int = CLUSTER_ROUNDS, rounds: int = ROUNDS) -> str:
     """CTEs up to mix{tag}(src, op, n, component, mean, var, weight)."""
     out = f""", cum{tag} AS (SELECT src, op, x, n, total, dist, sum(n) OVER (PARTITION BY src, op ORDER BY x) AS upto FROM c{tag} JOIN st{tag} USING (src, op)),
-lab{tag} AS (SELECT src, op, k, x, n, floor(k * (upto - n / 2) / total) AS label FROM cum{tag}, range(1, {most + 1}) r(k) WHERE k <= dist),
+lab{tag} AS (SELECT src, op, k, x, n, floor(k * (upto - n / 2) / total + 1e-9) AS label FROM cum{tag}, range(1, {most + 1}) r(k) WHERE k <= dist),
 p{tag}_0 AS MATERIALIZED (SELECT src, op, k, {PART} FROM lab{tag} GROUP BY src, op, k, label)"""
     for i in range(cluster_rounds):
         out += f""", z{tag}_{i} AS (SELECT c.src, c.op, p.k, c.x, c.n, p.mean, abs(c.x - p.mean) AS d, min(abs(c.x - p.mean)) OVER (PARTITION BY c.src, c.op, p.k, c.x) AS least FROM c{tag} c JOIN p{tag}_{i} p USING (src, op)),
@@ -103,7 +103,7 @@ def variational_sql(rounds: int, components: int) -> str:
     out = f""", pr AS MATERIALIZED (SELECT src, op, m, total, least({components}, floor(total)) AS active, greatest(v * total / greatest(total - 1, 1), 1e-6) AS v0 FROM st WHERE total >= 2),
 cu AS (SELECT src, op, x, n, total, active, sum(n) OVER (PARTITION BY src, op ORDER BY x) AS upto FROM c JOIN pr USING (src, op)),
 s_0 AS (SELECT e.src, e.op, e.k, coalesce(s0, 0) AS s0, coalesce(s1, 0) AS s1, coalesce(s2, 0) AS s2 FROM (SELECT src, op, k FROM pr, range(0, {components}) r(k) WHERE k < active) e
-  LEFT JOIN (SELECT src, op, k, sum(n) AS s0, sum(n * x) AS s1, sum(n * x * x) AS s2 FROM (SELECT *, least(floor(active * (upto - n / 2) / total), active - 1) AS k FROM cu) GROUP BY ALL) z ON z.src = e.src AND z.op = e.op AND z.k = e.k)"""
+  LEFT JOIN (SELECT src, op, k, sum(n) AS s0, sum(n * x) AS s1, sum(n * x * x) AS s2 FROM (SELECT *, least(floor(active * (upto - n / 2) / total + 1e-9), active - 1) AS k FROM cu) GROUP BY ALL) z ON z.src = e.src AND z.op = e.op AND z.k = e.k)"""
     for i in range(rounds + 1):
         out += f""", a_{i} AS (SELECT *, s0 + 2.220446049250313e-15 AS nk FROM s_{i}),
 b_{i} AS (SELECT a.*, 1 / active AS prior, v0, s1 / nk AS xk, greatest(s2 / nk - (s1 / nk) * (s1 / nk), 0) + 1e-6 AS sk, 1 + nk AS alpha, 1 / active + coalesce(sum(nk) OVER (PARTITION BY a.src, a.op ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), 0) AS beta FROM a_{i} a JOIN pr USING (src, op)),
