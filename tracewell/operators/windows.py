@@ -97,9 +97,10 @@ def window_groups(edges: DataFrame, k: int) -> DataFrame:
     return edges.join(F.broadcast(twins) if twins.count() < 1_000_000 else twins, "tw")
 
 
-def interval_stamps(spark, start_ns: int, end_ns: int, step_ns: int) -> DataFrame:
-    """start, start + step, ... up to end, and end itself."""
-    return spark.range(1).select(F.explode(F.array_distinct(F.concat(F.sequence(F.lit(start_ns), F.lit(end_ns), F.lit(step_ns)), F.array(F.lit(end_ns))))).alias("t"))
+def interval_stamps(ranges: DataFrame, low: str, high: str, step_ns: int, *by: str) -> DataFrame:
+    """(by, t): of each range low, low + step, ... up to high, and high itself."""
+    stamps = F.array_distinct(F.array_append(F.sequence(F.col(low), F.col(high), F.lit(step_ns).cast("long")), F.col(high)))
+    return ranges.select(*by, F.explode(stamps).alias("t"))
 
 
 def gaps(events: DataFrame, *key: str) -> DataFrame:

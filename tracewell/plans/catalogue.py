@@ -172,9 +172,10 @@ def graph_batches(spark, d):
     return windows.window_groups(a.losses(spark, d), 4).groupBy("graph").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("tw").alias("windows"))
 
 
-@query(f"SELECT DISTINCT unnest(list_append(range({DAY27}, {DAY27} + {a.HOUR} + 1, 900000000000), {DAY27} + {a.HOUR})) AS t")
+@query("WITH " + a.PROV + """, ends AS (SELECT day, min(t) AS low, max(t) AS high FROM prov GROUP BY day) SELECT DISTINCT day, unnest(list_append(range(low, high + 1, 3600000000000), high)) AS t FROM ends""")
 def interval_stamps(spark, d):
-    return windows.interval_stamps(spark, DAY27, DAY27 + a.HOUR, 900_000_000_000)
+    ends = a.prov(spark, d).groupBy("day").agg(F.min("t").alias("low"), F.max("t").alias("high"))
+    return windows.interval_stamps(ends, "low", "high", a.HOUR, "day")
 
 
 RECENCY = a.PROV + ", n AS (SELECT src, t // 86400000000000 AS tw, count(*) AS n FROM prov GROUP BY 1, 2)"
@@ -742,10 +743,11 @@ def tokens(spark, d):
     return a.table(spark, d, "pages").select("page_id", F.array_join(text.path_tokens(F.col("url")), "|").alias("tokens"))
 
 
-@query("SELECT n, CAST(i AS INTEGER) AS i, round(1.0::DOUBLE / n + 30 / (100.0 * n) * (n - 1) / 2 - i * 30 / (100.0 * n), 6) AS w FROM (SELECT CAST(range AS INTEGER) AS n FROM range(1, 20)), LATERAL (SELECT range AS i FROM range(0, n))")
+@query(r"""WITH p AS (SELECT page_id, len(list_filter(regexp_split_to_array(replace(regexp_replace(url, '\\+', '/', 'g'), '/', ' / '), '[ \t\r\n]+'), lambda x: x <> '')) AS n FROM pages)
+SELECT page_id, CAST(i AS INTEGER) AS i, round(1.0::DOUBLE / n + 30 / (100.0 * n) * (n - 1) / 2 - i * 30 / (100.0 * n), 6) AS w FROM p, LATERAL (SELECT range AS i FROM range(0, n))""")
 def token_weights(spark, d):
-    n = spark.range(1, 20).select(F.col("id").cast("int").alias("n"))
-    return n.select("n", F.posexplode(text.token_weights(F.col("n"), 30)).alias("i", "w")).select("n", "i", F.round("w", 6).alias("w"))
+    n = F.size(text.path_tokens(F.col("url")))
+    return a.table(spark, d, "pages").select("page_id", F.posexplode(text.token_weights(n, 30)).alias("i", "w")).select("page_id", "i", F.round("w", 6).alias("w"))
 
 
 @query(WITH + a.PROV + ",\n" + a.NODES + " SELECT label, min(node_id) AS node_id FROM nodes GROUP BY label")
