@@ -130,6 +130,20 @@ def test_mix(docs, text):
     assert mixing.mix(docs([])).count() == 0 and mixing.mix(docs([(1, None, "en", None)])).collect()[0].taken == 0
 
 
+def test_mix_swaps_large_documents(spark, docs):
+    """Sources of few and large documents come near their targets too, or say that they can't."""
+    rows = [(100 * s + i, "w " * (200 + (i * 131 + s * 77) % 1300), "en", f"s{s}") for s in range(4) for i in range(30)]
+    got = mixing.mix(docs(rows)).collect()
+    source, taken, target = {r[0]: r[3] for r in rows}, {}, {}
+    for r in got:
+        taken[source[r.doc_id]] = taken.get(source[r.doc_id], 0) + r.taken
+        target[source[r.doc_id]] = r.target
+        assert r.taken <= 2 * r.size
+    assert all(abs(taken[s] - t) <= 0.01 * t for s, t in target.items())
+    with pytest.warns(UserWarning, match="too large"):
+        mixing.mix(docs([(1, "w " * 1000, "en", "a"), (2, "w " * 900, "en", "a"), (3, "w " * 800, "en", "b")]))
+
+
 def test_dual_solution_meets_constraints(spark):
     rng = np.random.default_rng(1)
     sizes = rng.lognormal(4, 1, 500).astype(int) + 1

@@ -101,6 +101,7 @@ def test_held_out_entities(model):
     [
         ("born 1999-12-31 12:30 in", []), ("7 " * 600 + "9", []), ("12 345 6789 " * 200, []), ("id 123-45-6789 x", []), ("version 1.2.3 of 2001", []), ("we looked at the dot on the map at 12 dot", []), ("", []), ("@", []), ("( 5 )", []),
         ("7 " * 511 + "(431) 555-7788 now", ["(431) 555-7788"]), ("(431)\n555-7788", ["(431)\n555-7788"]), ("ring (431)  555-7788 ok", ["(431)  555-7788"]), ("x" * 300 + " write to a.b [at] c.org please", ["a.b [at] c.org"]), ("jane.doe at mail3 dot example dot com", ["jane.doe at mail3 dot example dot com"]),
+        ("write to john.doe at gmail.com today", ["john.doe at gmail.com"]), ("look at example.org for more", []), ("see you at noon.com or so", []), ("meet me at home. thanks", []),
     ],
 )
 def test_probes(model, text, want):

@@ -132,5 +132,15 @@ def test_whole_texts_and_wrapped_headers(spark):
     assert all(got[f"z/{i}"] == (None, None, None) for i in range(40))
 
 
+def test_tags_sentences_and_first_clauses(spark):
+    grant = next(t for n, t in licenses.TEMPLATES if n == "MIT" and len(t.split()) > licenses.LONG)
+    files = [
+        ("a/0", "# SPDX-License-Identifier: MIT\nimport os\n" + "x = 1\n" * 50), ("b/1", "/* SPDX-License-Identifier: GPL-2.0-or-later */\nint main(void);"), ("c/2", "We wrote a parser last year. This file was released under the MIT License. It has many parts; see the notes."),
+        ("d/3", f"// {grant[:200]}\n// {grant[200:330]}\nint x;"), ("e/4", "All of it is licensed, or so they say, under terms."), ("f/5", "SPDX-License-Identifier: no-such-licence"), ("a/6", "y = 2"),
+    ]
+    got = {r.path: (r.own, r.origin) for r in licenses.scan(spark.createDataFrame([(*f, 1, "x") for f in files], "path string, text string, tag int, words string")).collect()}
+    assert got == {"a/0": ("MIT", "own"), "b/1": ("GPL-2.0", "own"), "c/2": ("MIT", "own"), "d/3": ("MIT", "own"), "e/4": (None, None), "f/5": (None, None), "a/6": (None, None)}  # a tag makes no licence file
+
+
 def test_hash_of_no_spans():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")

@@ -67,3 +67,17 @@ def test_false_members_are_passed_over(tmp_path):
         with pa.OSFile(str(path)) as file:
             whole += [h["warc-record-id"] for h, _, _ in warc.records(file, len(data), start, min(len(data), start + 37))]
     assert whole == ["<urn:page:1>", "<urn:page:2>"]
+
+
+def test_string_ids_and_lost_records(spark):
+    ids = [None, "", " ", "p\r\nq", "a%20b", "<urn:page:x>", "é", "x ", "ok"]
+    rows = [(i, "u\n%" if k % 2 else " u ", f"html {k // 2}") for k, i in enumerate(ids)]
+    archives = warc.write_archives(spark.createDataFrame(rows, "page_id string, url string, html string"), new_path(spark, "test-warc"))
+    got = warc.read_whole(archives).collect()
+    assert sorted((str(r.record_id), r.url) for r in got) == sorted((str(i), u) for i, u, _ in rows)
+    assert {r.refers_to for r in got if r.record_type == "revisit"} == {min(x for x in ids[k : k + 2]) for k in range(2, 8, 2) }
+    try:
+        warc.read_whole(archives.withColumn("records", archives.records + 1))
+        raise AssertionError("a lost record was not noticed")
+    except RuntimeError as lost:
+        assert "were read" in str(lost)

@@ -10,6 +10,7 @@ nearest directory above it that holds a licence file, found by joining its ances
 from __future__ import annotations
 
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -27,7 +28,7 @@ HEADER = r"^(?:[ \t]*(?:(?://|#|/?\*|--|;|%)[^\n]*)?\n)+"
 PARAGRAPH = r"\n(?:[ \t\r]*\n)+"
 SENTENCE = r"[.!?;:][ \t\r\n]+|\n(?:[ \t\r]*\n)+"
 #: The tag of a licence, and what of its name tells later versions only; a template of more words than LONG has its first clause as another template.
-TAG, LATER, LONG = r"spdx-license-identifier:[ \t]*\(?([a-z0-9.+-]+)", r"(-only|-or-later|\+)?\.*$", 60
+TAG, LATER, LONG, CLAUSE = r"spdx-license-identifier:[ \t]*\(?([a-z0-9.+-]+)", r"(-only|-or-later|\+)?\.*$", 60, 12
 
 WARRANTY = (
     'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. '
@@ -85,9 +86,10 @@ TEMPLATES = [
 
 
 def with_first_clauses(templates: list[tuple[str, str]]) -> list[tuple[str, str]]:
-    """templates, and the first clause of each long one, unless it is a template already."""
-    clauses = [(name, re.split(r"[.:](?:\s|$)", text)[0]) for name, text in templates if len(text.split()) > LONG]
-    return templates + [c for c in clauses if c not in templates]
+    """templates, and the first clause of each long one, if it has CLAUSE words at least and no other licence begins alike."""
+    clauses = sorted({(name, re.split(r"[.:](?:\s|$)", text)[0]) for name, text in templates if len(text.split()) > LONG})
+    shared = Counter(text for _, text in clauses)
+    return templates + [(name, text) for name, text in clauses if shared[text] == 1 and len(text.split()) >= CLAUSE and (name, text) not in templates]
 
 
 TEMPLATES = with_first_clauses(TEMPLATES)
