@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewell.operators.storage import bounded, written
+
 # The legal kinds of edges, (source, target): operations.
 TRIPLETS = {
     ("subject", "subject"): ["EVENT_READ", "EVENT_WRITE", "EVENT_OPEN", "EVENT_CONNECT", "EVENT_RECVFROM", "EVENT_SENDTO", "EVENT_CLONE", "EVENT_SENDMSG", "EVENT_RECVMSG"],
@@ -31,8 +32,10 @@ def type_distribution(edges: DataFrame, types: list[str], *by: str) -> DataFrame
     """Per node: out- and in-counts by type over the largest count of their group."""
     ends = edges.select(*by, "op", F.explode(F.array(F.struct(F.col("src").alias("node"), F.lit("out").alias("way")), F.struct(F.col("dst").alias("node"), F.lit("in").alias("way")))).alias("e")).select(*by, "op", "e.*")
     counts = ends.groupBy(*by, "node").agg(*(F.count_if((F.col("op") == t) & (F.col("way") == w)).alias(f"{w}_{t}") for w in ("out", "in") for t in types))
-    tops = {c: F.max(c).over(W.partitionBy(*by)) for c in counts.columns if c not in (*by, "node")}
-    return counts.select(*by, "node", *(F.round(F.when(m == 0, 0.0).otherwise(F.col(c) / m), 6).alias(c) for c, m in tops.items()))
+    counts, names = written(counts, "type-counts"), [f"{w}_{t}" for w in ("out", "in") for t in types]
+    tops = written(counts.groupBy(*by).agg(*(F.max(c).alias(f"__{c}") for c in names)), "type-tops")  # no window over a group: a hot one stays spread
+    whole = counts.join(bounded(tops), list(by)) if by else counts.join(F.broadcast(tops), F.lit(True))
+    return whole.select(*by, "node", *(F.round(F.when(F.col(f"__{c}") == 0, 0.0).otherwise(F.col(c) / F.col(f"__{c}")), 6).alias(c) for c in names))
 
 
 def scatter_mean(edges: DataFrame, vec: str, *by: str) -> DataFrame:

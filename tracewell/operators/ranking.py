@@ -1,7 +1,6 @@
 """Rankings: precision against attacks and recall, discrimination, prefixes, top-k clusters, best runs.
 
-Rows are (node, score, y) with ties broken by node. Running sums over the whole ranking go in two levels: quantiles of the score deal the
-rows to buckets, windows run within buckets, and the totals of the buckets above, one row each, are added.
+Rows are (node, score, y) with ties broken by node. Running sums over the whole ranking go in two levels (``operators.running``).
 """
 
 from __future__ import annotations
@@ -10,10 +9,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewell.operators.running import running as scan
 from tracewell.operators.running import trapezoids
 
-BUCKETS = 64
-
 
 def order() -> list:
     return [F.desc("score"), F.asc("node")]
@@ -27,16 +25,8 @@ def running(results: DataFrame, attack_nodes: DataFrame | None = None) -> DataFr
         placed = results.where("y = 1").join(F.broadcast(attack_nodes.withColumnRenamed("node_id", "node")), "node")
         first = placed.groupBy("attack_id").agg(F.max(place).alias("first")).groupBy((-F.col("first.less")).alias("node")).agg(F.count(F.lit(1)).alias("new"))
         rows = results.join(F.broadcast(first), "node", "left").withColumn("new", F.coalesce("new", F.lit(0)))
-    cuts = results.agg(F.percentile_approx("score", [i / BUCKETS for i in range(1, BUCKETS)])).first()[0] or []
-    cuts = F.array(*map(F.lit, sorted(set(cuts)))).cast("array<double>")
-    rows = rows.withColumn("bucket", F.size(F.filter(cuts, lambda c: c > F.col("score"))))
-    totals = rows.groupBy("bucket").agg(F.count(F.lit(1)).alias("rows"), F.sum("y").alias("tps"), F.sum("new").alias("news"))
-    above = W.orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select("bucket", *(F.coalesce(F.sum(c).over(above), F.lit(0)).alias(c) for c in ("rows", "tps", "news")))
-    w = W.partitionBy("bucket").orderBy(*order())
-    up = w.rowsBetween(W.unboundedPreceding, 0)
-    out = rows.join(F.broadcast(totals), "bucket").withColumn("rank", F.col("rows") + F.row_number().over(w)).withColumn("tp", F.col("tps") + F.sum("y").over(up)).withColumn("attacks", F.col("news") + F.sum("new").over(up))
-    return out.withColumn("fp", F.col("rank") - F.col("tp")).drop("bucket", "rows", "tps", "news", "new")
+    out = scan(rows, [], order(), rank=F.lit(1).cast("long"), tp=F.col("y"), attacks=F.col("new"))
+    return out.withColumn("fp", F.col("rank") - F.col("tp")).drop("new")
 
 
 def adp_curve(results: DataFrame, attack_nodes: DataFrame) -> DataFrame:

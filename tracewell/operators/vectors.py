@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.text import one_hot
+from tracewell.operators.mixtures import histogram, quantiles
 
 PARTS = [*(f"kde{i}" for i in range(5)), "mean", "std", "skew", "kurt", *(f"{f}{k}" for k in (1, 2, 3) for f in ("cos", "sin")), "q25", "q50", "q75", "n", "range"]
 TINY = 1e-6
@@ -21,17 +22,18 @@ def time_vectors(values: DataFrame, column: str, *key: str, positive: bool = Tru
     """(key, PARTS): 20 numbers about the values of each key. The density estimate (Scott's bandwidth) at the first five of ten Gauss-Hermite nodes, times their weights; four moments; the
     characteristic function at three frequencies of the mean; quartiles, count and range. Positive values only (gaps), or all (times). Keys with fewer than two values, or without spread, have zeros.
 
-    Two aggregates and a join on the key: no key's values meet in one task.
+    Aggregates and joins on the key; quartiles come from ranks in two levels: no key's values meet in one task.
     """
     x = F.col(column).cast("double")
     rows = values.select(*key, x.alias("x"))
     keys = rows.select(*key).distinct()
     rows = rows.where("x > 0") if positive else rows
-    q = lambda p: F.percentile("x", F.lit(p))
     stats = rows.groupBy(*key).agg(
         F.count(F.lit(1)).alias("n"), F.avg("x").alias("mean"), F.stddev_pop("x").alias("std"), F.stddev_samp("x").alias("s"), F.skewness("x").alias("skew"), F.kurtosis("x").alias("kurt"),
-        q(0.25).alias("q25"), q(0.5).alias("q50"), q(0.75).alias("q75"), (F.max("x") - F.min("x")).alias("range"),
+        (F.max("x") - F.min("x")).alias("range"),
     ).where("n > 1 AND s > 0")
+    quartiles = quantiles(histogram(rows, "x", *key), {"q25": 0.25, "q50": 0.5, "q75": 0.75}, *key)
+    stats = stats.join(quartiles, list(key))
     nodes, weights = quadrature()
     h = F.pow("n", F.lit(-0.2)) * F.col("s")
     spread = F.when(F.col("std") < TINY, 1.0).otherwise(F.col("std"))
