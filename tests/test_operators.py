@@ -213,9 +213,9 @@ def test_whole_seeds_and_windows(spark, tmp_path):
         of[r.src].add(r.tw)
         of[r.dst].add(r.tw)
     idf = {n: round(math.log(len(windows_) / (len(ws) + 1)), 6) for n, ws in of.items()}
-    assert {r.node: r.idf for r in catalogue.idf_test(spark, d).collect()} == pytest.approx(idf)
+    assert {r.node: r.idf for r in catalogue.idf(spark, d).collect()} == pytest.approx(idf)
     pairs = [(x, y) for n, ws in of.items() if idf[n] > 1 for x in ws for y in ws if x < y]
-    assert {(r.a, r.b): r.shared for r in catalogue.rare_shared_nodes_test(spark, d).collect()} == {p: pairs.count(p) for p in pairs}
+    assert {(r.a, r.b): r.shared for r in catalogue.rare_shared_nodes(spark, d).collect()} == {p: pairs.count(p) for p in pairs}
     assert {r.tw for r in catalogue.queues(spark, d).collect()} == {r.tw for r in catalogue.queue_predictions(spark, d).collect()} == windows_
 
     score = defaultdict(float)
@@ -233,7 +233,7 @@ def test_whole_seeds_and_windows(spark, tmp_path):
         kept |= {(tw, poi, n) for en, ns in found.items() if mean[en] == max(mean.values()) for n in ns} | {(tw, poi, poi)}
     assert {tuple(r) for r in catalogue.backward_component_flagged(spark, d).select("tw", "poi", "entry", "node").collect()} == parts
     assert {tuple(r) for r in catalogue.triage(spark, d).select("tw", "poi", "node").collect()} == kept
-    assert {(r.day, r.node) for r in more.degree_scaled_days(spark, d).collect()} == {(day, n) for day, ns in ends.items() for n in ns}
+    assert {(r.day, r.node) for r in more.degree_scaled(spark, d).collect()} == {(day, n) for day, ns in ends.items() for n in ns}
 
 
 def test_closures_of_long_chains(spark):
