@@ -190,35 +190,46 @@ def pseudo_points(spark, d):
 # audit logs: the test tables written in a log's format and read back
 
 
-def _cdm18(kind: str, body) -> object:
-    return F.concat(F.lit('{"datum":{"com.bbn.tc.schema.avro.cdm18.' + kind + '":{'), *body, F.lit('}},"CDMVersion":"18"}'))
+def _record(version: int, kind: str, body) -> object:
+    return F.concat(F.lit(f'{{"datum":{{"com.bbn.tc.schema.avro.cdm{version}.{kind}":{{'), *body, F.lit(f'}}}},"CDMVersion":"{version}"}}'))
 
 
-def cdm18_log(spark, d):
-    """Lines of a log in the first format: a record for each node, then for each event."""
+def cdm_log(spark, d, version):
+    """Lines of a log in the first or second format: a record for each node, then for each event. In the second one all values of flows are boxed, and some records lack a value."""
     e = a.prov(spark, d)
     n = a.nodes(e)
     uuid = lambda c: F.concat(F.lit("N-"), c)
     head = lambda c: [F.lit('"uuid":"'), uuid(c), F.lit('",')]
-    subject = _cdm18("Subject", [*head("node_id"), F.lit('"cmdLine":{"string":"run '), F.col("label"), F.lit('"},"properties":{"map":{"path":"'), F.col("label"), F.lit('"}}')])
-    file = _cdm18("FileObject", [*head("node_id"), F.lit('"baseObject":{"properties":{"map":{"filename":"'), F.col("label"), F.lit('"}}}')])
-    flow = _cdm18("NetFlowObject", [*head("node_id"), F.lit('"localAddress":"10.1.1.1","localPort":80,"remoteAddress":"'), F.col("label"), F.lit('","remotePort":443')])
+    box = (lambda kind, *x: [F.lit(f'{{"{kind}":'), *x, F.lit("}")]) if version > 18 else (lambda kind, *x: [*x])
+    quote = lambda *x: [F.lit('"'), *x, F.lit('"')]
+    subject = _record(version, "Subject", [*head("node_id"), F.lit('"cmdLine":{"string":"run '), F.col("label"), F.lit('"},"properties":{"map":{"path":"'), F.col("label"), F.lit('"}}')])
+    file = _record(version, "FileObject", [*head("node_id"), F.lit('"baseObject":{"properties":{"map":{"filename":"'), F.col("label"), F.lit('"}}}')])
+    flow = _record(version, "NetFlowObject", [*head("node_id"), F.lit('"localAddress":'), *box("string", *quote(F.lit("10.1.1.1"))), F.lit(',"localPort":'), *box("int", F.lit("80")), F.lit(',"remoteAddress":'), *box("string", *quote(F.col("label"))), F.lit(',"remotePort":'), *box("int", F.lit("443"))])
     nodes = n.select(F.when(F.col("node_type") == "subject", subject).when(F.col("node_type") == "file", file).otherwise(flow).alias("value"))
+    partial = n.select(_record(version, "Subject", [F.lit('"uuid":"X-'), F.col("node_id"), F.lit('","cmdLine":null')]).alias("value"))
     back = F.col("op").isin(*a.REVERSED)
     s, o = F.when(back, F.col("dst")).otherwise(F.col("src")), F.when(back, F.col("src")).otherwise(F.col("dst"))
-    ref = lambda name, c: [F.lit(f'"{name}":{{"com.bbn.tc.schema.avro.cdm18.UUID":"'), uuid(c), F.lit('"},')]
-    event = _cdm18("Event", [F.lit('"uuid":"E-'), F.col("event_uuid"), F.lit('","type":"EVENT_'), F.col("op"), F.lit('",'), *ref("subject", s), *ref("predicateObject", o), F.lit('"timestampNanos":'), F.col("t"), F.lit(',"name":null')])
-    path = new_path(spark, "cdm18")
-    nodes.union(e.select(event)).write.text(path)
+    ref = lambda name, c: [F.lit(f'"{name}":{{"com.bbn.tc.schema.avro.cdm{version}.UUID":"'), uuid(c), F.lit('"},')]
+    event = _record(version, "Event", [F.lit('"uuid":"E-'), F.col("event_uuid"), F.lit('","type":"EVENT_'), F.col("op"), F.lit('",'), *ref("subject", s), *ref("predicateObject", o), F.lit('"timestampNanos":'), F.col("t"), F.lit(',"name":null')])
+    path = new_path(spark, f"cdm{version}")
+    nodes.union(e.select(event)).union(partial if version > 18 else partial.where("false")).write.text(path)
     return logs.lines(spark, path)
 
 
-@query(WITH + a.PROV + ",\n" + a.NODES + " SELECT 'N-' || node_id AS node_uuid, node_type, CASE WHEN node_type = 'netflow' THEN NULL ELSE label END AS path, CASE WHEN node_type = 'subject' THEN 'run ' || label END AS cmd, CASE WHEN node_type = 'netflow' THEN label END AS dst_addr, CASE WHEN node_type = 'netflow' THEN '443' END AS dst_port, sha256('N-' || node_id) AS hash_id FROM nodes")
+def cdm18_log(spark, d):
+    return cdm_log(spark, d, 18)
+
+
+CDM_NODES = WITH + a.PROV + ",\n" + a.NODES + " SELECT 'N-' || node_id AS node_uuid, node_type, CASE WHEN node_type = 'netflow' THEN NULL ELSE label END AS path, CASE WHEN node_type = 'subject' THEN 'run ' || label END AS cmd, CASE WHEN node_type = 'netflow' THEN label END AS dst_addr, CASE WHEN node_type = 'netflow' THEN '443' END AS dst_port, sha256('N-' || node_id) AS hash_id FROM nodes"
+CDM_EVENTS = WITH + a.PROV + " SELECT 'N-' || src AS src, 'N-' || dst AS dst, 'EVENT_' || op AS op, 'E-' || event_uuid AS event_uuid, t FROM prov"
+
+
+@query(CDM_NODES)
 def cdm18_nodes(spark, d):
     return logs.cdm_nodes(cdm18_log(spark, d), 18).select("node_uuid", "node_type", "path", "cmd", "dst_addr", "dst_port", "hash_id")
 
 
-@query(WITH + a.PROV + " SELECT 'N-' || src AS src, 'N-' || dst AS dst, 'EVENT_' || op AS op, 'E-' || event_uuid AS event_uuid, t FROM prov")
+@query(CDM_EVENTS)
 def cdm18_events(spark, d):
     rows = cdm18_log(spark, d)
     nodes = logs.cdm_nodes(rows, 18)
@@ -227,6 +238,20 @@ def cdm18_events(spark, d):
     return e.join(ids("src"), "src").join(ids("dst"), "dst").select(F.col("src_uuid").alias("src"), F.col("dst_uuid").alias("dst"), "op", "event_uuid", "t")
 
 
+@query(CDM_NODES)
+def cdm20_nodes(spark, d):
+    return logs.cdm_nodes(cdm_log(spark, d, 20), 20).select("node_uuid", "node_type", "path", "cmd", "dst_addr", "dst_port", "hash_id")
+
+
+@query(CDM_EVENTS)
+def cdm20_events(spark, d):
+    rows = cdm_log(spark, d, 20)
+    nodes = logs.cdm_nodes(rows, 20)
+    e = logs.cdm_events(rows, nodes, 20)
+    ids = lambda c: nodes.select(F.col("node_id").alias(c), F.col("node_uuid").alias(c + "_uuid"))
+    return e.join(ids("src"), "src").join(ids("dst"), "dst").select(F.col("src_uuid").alias("src"), F.col("dst_uuid").alias("dst"), "op", "event_uuid", "t")
+
+
 @query(WITH + a.PROV + ",\n" + a.NODES + " SELECT node_type, count(*) AS nodes, min(i) AS first, max(i) AS last FROM (SELECT node_type, row_number() OVER (ORDER BY CASE node_type WHEN 'netflow' THEN 0 WHEN 'subject' THEN 1 ELSE 2 END, node_id) - 1 AS i FROM nodes) GROUP BY node_type")
 def dense_node_ids(spark, d):
     n = logs.cdm_nodes(cdm18_log(spark, d), 18)

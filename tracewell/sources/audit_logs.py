@@ -38,37 +38,37 @@ def last_of(rows: DataFrame) -> DataFrame:
     return best.select("node_uuid", F.sha2("node_uuid", 256).alias("hash_id"), "last.*", "seq")
 
 
-def cdm_netflows(rows: DataFrame, version: int) -> DataFrame:
-    if version == 18:
-        base = "datum['com.bbn.tc.schema.avro.cdm18.NetFlowObject']"
-        found = rows.where(F.col("value").contains('{"datum":{"com.bbn.tc.schema.avro.cdm18.NetFlowObject"')).select(F.get_json_object("value", f"$.{base}.uuid").alias("node_uuid"), union_field("localAddress", base).alias("src_addr"), union_field("localPort", base, "int").alias("src_port"), union_field("remoteAddress", base).alias("dst_addr"), union_field("remotePort", base, "int").alias("dst_port"), "seq")
-    else:
-        p = r'NetFlowObject":\{"uuid":"(.*?)".*?"localAddress":\{"string":"(.*?)"\},"localPort":\{"int":(.*?)\},"remoteAddress":\{"string":"(.*?)"\},"remotePort":\{"int":(.*?)\}'
-        found = rows.where(F.col("value").rlike(p)).select(*(F.regexp_extract("value", p, i).alias(c) for i, c in enumerate(("node_uuid", "src_addr", "src_port", "dst_addr", "dst_port"), 1)), "seq")
+def _records(rows: DataFrame, kind: str, version: int, **attributes) -> DataFrame:
+    """(node_uuid, attributes, seq) of the lines that hold a record of a kind. An attribute is a function of the record's JSON path. In the later version a record that lacks one is left out; in the earlier one that attribute is the text null."""
+    name = f"com.bbn.tc.schema.avro.cdm{version}.{kind}"
+    base = f"datum['{name}']"
+    found = rows.where(F.col("value").contains(f'{{"datum":{{"{name}"')).select(F.get_json_object("value", f"$.{base}.uuid").alias("node_uuid"), *(f(base).alias(c) for c, f in attributes.items()), "seq")
+    if version > 18:
+        for c in attributes:
+            found = found.where(F.col(c) != "null")
     return last_of(found.where("node_uuid IS NOT NULL"))
 
 
+def _first_of(*paths: str):
+    return lambda base: F.coalesce(*(F.get_json_object("value", f"$.{base}.{x}") for x in paths), F.lit("null"))
+
+
+def _field(name: str, kind: str = "string"):
+    return lambda base: union_field(name, base, kind)
+
+
+def cdm_netflows(rows: DataFrame, version: int) -> DataFrame:
+    return _records(rows, "NetFlowObject", version, src_addr=_field("localAddress"), src_port=_field("localPort", "int"), dst_addr=_field("remoteAddress"), dst_port=_field("remotePort", "int"))
+
+
 def cdm_subjects(rows: DataFrame, version: int) -> DataFrame:
-    if version == 18:
-        base = "datum['com.bbn.tc.schema.avro.cdm18.Subject']"
-        path = F.coalesce(F.get_json_object("value", f"$.{base}.properties.map.path"), F.lit("null"))
-        found = rows.where(F.col("value").contains('{"datum":{"com.bbn.tc.schema.avro.cdm18.Subject"')).select(F.get_json_object("value", f"$.{base}.uuid").alias("node_uuid"), path.alias("path"), union_field("cmdLine", base).alias("cmd"), "seq")
-    else:
-        p = r'avro\.cdm20\.Subject":\{"uuid":"(.*?)".*?"cmdLine":\{"string":"(.*?)"\}.*?"path":"(.*?)"'
-        found = rows.where(F.col("value").rlike(p)).select(F.regexp_extract("value", p, 1).alias("node_uuid"), F.regexp_extract("value", p, 3).alias("path"), F.regexp_extract("value", p, 2).alias("cmd"), "seq")
-    return last_of(found.where("node_uuid IS NOT NULL"))
+    return _records(rows, "Subject", version, path=_first_of("properties.map.path"), cmd=_field("cmdLine"))
 
 
 def cdm_files(rows: DataFrame, version: int) -> DataFrame:
     """Properties go before the base object's own fields, file names before paths."""
-    if version == 18:
-        base = "datum['com.bbn.tc.schema.avro.cdm18.FileObject']"
-        at = [f"$.{base}.baseObject.{x}" for x in ("properties.map.filename", "properties.map.path", "filename", "path")]
-        found = rows.where(F.col("value").contains('{"datum":{"com.bbn.tc.schema.avro.cdm18.FileObject"')).select(F.get_json_object("value", f"$.{base}.uuid").alias("node_uuid"), F.coalesce(*(F.get_json_object("value", x) for x in at), F.lit("null")).alias("path"), "seq")
-    else:
-        p = r'avro\.cdm20\.FileObject":\{"uuid":"(.*?)",.*?"filename":"(.*?)"'
-        found = rows.where(F.col("value").rlike(p)).select(F.regexp_extract("value", p, 1).alias("node_uuid"), F.regexp_extract("value", p, 2).alias("path"), "seq")
-    return last_of(found.where("node_uuid IS NOT NULL"))
+    paths = ("properties.map.filename", "properties.map.path", "filename", "path") if version == 18 else ("properties.map.filename", "filename")
+    return _records(rows, "FileObject", version, path=_first_of(*(f"baseObject.{x}" for x in paths)))
 
 
 def dense_ids(kinds: list[tuple[str, DataFrame]]) -> DataFrame:
