@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tracewell.operators import graph, queues as q, reduction, reports, scoring, vectors
+from tracewell.operators import audit_trail, graph, queues as q, reduction, reports, scoring, vectors
 from tracewell.operators.storage import new_path
 from tracewell.plans.catalogue import ENDS, GAPS, RESULTS, TYPES, WITH, gap_seconds, query, results, test_ends, test_members
 from tracewell.sources import adapters as a
@@ -280,3 +280,15 @@ def host_log_events(spark, d):
     e = logs.host_events(rows, nodes)
     ids = lambda c: nodes.select(F.col("node_id").alias(c), F.col("node_uuid").alias(c + "_uuid"))
     return e.join(ids("src"), "src").join(ids("dst"), "dst").select("event_uuid", "op", F.col("src_uuid").alias("src"), F.col("dst_uuid").alias("dst"))
+
+
+@query(WITH + a.PROV + ",\n" + a.NODES + """, e AS (SELECT event_uuid, t, op, CASE WHEN src < 1000000 THEN src ELSE dst END AS pid, CASE WHEN src < 1000000 THEN dst ELSE src END AS object FROM prov),
+r AS MATERIALIZED (SELECT e.*, CASE WHEN node_type = 'file' AND op = 'OPEN' THEN 'open' WHEN node_type = 'file' AND op IN ('READ', 'WRITE') THEN lower(op) WHEN node_type = 'netflow' AND op IN ('CONNECT', 'RECVFROM') THEN 'socket' END AS action FROM e JOIN nodes ON node_id = object),
+k AS (SELECT *, action = 'open' OR row_number() OVER (PARTITION BY pid, object ORDER BY t, event_uuid) = 1 AS taken FROM r WHERE action IS NOT NULL), c AS (SELECT *, sum(CAST(taken AS INTEGER)) OVER (PARTITION BY pid ORDER BY t, event_uuid) AS made FROM k),
+f AS (SELECT *, max(CASE WHEN taken THEN made + 2 END) OVER (PARTITION BY pid, object ORDER BY t, event_uuid) AS fd FROM c)
+SELECT event_uuid, 'converted' AS outcome, action, CASE op WHEN 'OPEN' THEN 2 WHEN 'READ' THEN 0 WHEN 'WRITE' THEN 1 WHEN 'CONNECT' THEN 42 ELSE 45 END AS syscall, pid, object, CAST(fd AS BIGINT) AS fd, taken AND action <> 'open' AS opened, CAST(0 AS BIGINT) AS ppid FROM f
+UNION ALL SELECT event_uuid, 'skipped', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM r WHERE action IS NULL""")
+def system_calls(spark, d):
+    e = a.prov(spark, d)
+    kinds = a.nodes(e).select(F.col("node_id").alias("node"), F.col("node_type").alias("kind"))
+    return audit_trail.system_calls(e.withColumn("op", F.concat(F.lit("EVENT_"), "op")), kinds)
