@@ -287,8 +287,9 @@ r AS MATERIALIZED (SELECT e.*, CASE WHEN node_type = 'file' AND op = 'OPEN' THEN
 k AS (SELECT *, action = 'open' OR row_number() OVER (PARTITION BY pid, object ORDER BY t, event_uuid) = 1 AS taken FROM r WHERE action IS NOT NULL), c AS (SELECT *, sum(CAST(taken AS INTEGER)) OVER (PARTITION BY pid ORDER BY t, event_uuid) AS made FROM k),
 f AS (SELECT *, max(CASE WHEN taken THEN made + 2 END) OVER (PARTITION BY pid, object ORDER BY t, event_uuid) AS fd FROM c)
 SELECT event_uuid, 'converted' AS outcome, action, CASE op WHEN 'OPEN' THEN 2 WHEN 'READ' THEN 0 WHEN 'WRITE' THEN 1 WHEN 'CONNECT' THEN 42 ELSE 45 END AS syscall, pid, object, CAST(fd AS BIGINT) AS fd, taken AND action <> 'open' AS opened, CAST(0 AS BIGINT) AS ppid FROM f
-UNION ALL SELECT event_uuid, 'skipped', NULL, NULL, NULL, NULL, NULL, NULL, NULL FROM r WHERE action IS NULL""")
+UNION ALL SELECT event_uuid, 'skipped', 'none', -1, -1, -1, -1, false, -1 FROM r WHERE action IS NULL""")
 def system_calls(spark, d):
     e = a.prov(spark, d)
     kinds = a.nodes(e).select(F.col("node_id").alias("node"), F.col("node_type").alias("kind"))
-    return audit_trail.system_calls(e.withColumn("op", F.concat(F.lit("EVENT_"), "op")), kinds)
+    calls = audit_trail.system_calls(e.withColumn("op", F.concat(F.lit("EVENT_"), "op")), kinds)
+    return calls.na.fill(-1, ["syscall", "pid", "object", "fd", "ppid"]).na.fill(False, ["opened"]).na.fill("none", ["action"])
