@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tracewell.functions import text, times
-from tracewell.operators import features, graph, labels, queues, ranking, reduction, scoring, summaries, windows
+from tracewell.operators import features, graph, labels, queues, ranking, reduction, scoring, summaries, walking, windows
 
 
 def edges(spark, rows):
@@ -126,8 +126,8 @@ def test_graph_operators(spark):
 def test_negatives_and_walks(spark):
     e = edges(spark, [(f"n{i}", f"m{(i * 7) % 31}", i, "X") for i in range(200)])
     pairs = {(r.src, r.dst) for r in e.collect()}
-    assert not pairs & {(r.src, r.dst) for r in graph.negatives(e).collect()}
-    walk = graph.walks(edges(spark, [("a", "b", 1, "X"), ("b", "a", 2, "Y")]), 4, 1, temporal=True)
+    assert not pairs & {(r.src, r.dst) for r in walking.negatives(e).collect()}
+    walk = walking.walks(edges(spark, [("a", "b", 1, "X"), ("b", "a", 2, "Y")]), 4, 1, temporal=True)
     assert {(r.start, r.step, r.node) for r in walk.collect()} >= {("a", 0, "a"), ("a", 1, "b"), ("a", 2, "a")}
 
 

@@ -216,24 +216,6 @@ def random_times(pairs: DataFrame, low: int, high: int, seed: int = 0) -> DataFr
     return pairs.withColumn("t", F.lit(low) + F.pmod(F.xxhash64(F.lit(seed), "src", "dst"), F.lit(high - low)))
 
 
-def walks(edges: DataFrame, length: int, per_node: int, seed: int = 0, temporal: bool = False) -> DataFrame:
-    """(walk, start, step, node, op): walks from every node, the next edge chosen by a seeded hash, uniformly; temporal walks only go on in time. One join per step; the walk is a column."""
-    out = written(edges.select(F.col("src").alias("node"), F.col("dst").alias("next"), "op", F.col("t").alias("e_t"), "event_uuid"), "out-edges")
-    starts = out.select("node").distinct().withColumn("walk", F.explode(F.sequence(F.lit(0), F.lit(per_node - 1)))).select("walk", F.col("node").alias("start"), F.lit(0).alias("step"), "node", F.lit(None).cast("string").alias("op"), F.lit(-1).cast("long").alias("t"))
-    front = written(starts, "walks")
-    whole = front
-    for step in range(1, length):
-        chance = F.xxhash64(F.lit(seed), "walk", "start", F.lit(step), "event_uuid")
-        met = front.drop("op").join(out, "node")
-        met = met.where("e_t > t") if temporal else met
-        best = met.groupBy("walk", "start").agg(F.min_by(F.struct("next", "op", "e_t"), F.struct(chance.alias("h"), "event_uuid")).alias("b"))
-        front = written(best.select("walk", "start", F.lit(step).alias("step"), F.col("b.next").alias("node"), F.col("b.op").alias("op"), F.col("b.e_t").alias("t")), "walks")
-        if front.isEmpty():
-            break
-        whole = whole.unionByName(front)
-    return whole.drop("t")
-
-
 def synthetic_attacks(edges: DataFrame, processes: DataFrame, files: DataFrame, per_process: int = 20, seed: int = 0) -> DataFrame:
     """OPEN, READ and WRITE edges from each process to files it never touched, at most ``per_process``, chosen by hash rank.
 
@@ -261,13 +243,3 @@ def last_update(batches: DataFrame) -> DataFrame:
     """(batch, node, t): the latest time of a node before each batch it is in; null if it is new."""
     ends = batches.select("batch", "t", F.explode(F.array("src", "dst")).alias("node")).groupBy("batch", "node").agg(F.max("t").alias("latest"))
     return ends.select("batch", "node", F.lag("latest").over(W.partitionBy("node").orderBy("batch")).alias("t"))
-
-
-def negatives(edges: DataFrame, seed: int = 0) -> DataFrame:
-    """A random pair per distinct edge (its source with the target of another edge, by hash), without self loops and pairs that are edges."""
-    pairs = edges.select("src", "dst").distinct()
-    by_hash = lambda c, s: F.row_number().over(W.partitionBy(F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(64))).orderBy(F.xxhash64(F.lit(s), "src", "dst"), "src", "dst"))
-    part = F.pmod(F.xxhash64("src", "dst", F.lit(seed)), F.lit(64)).alias("part")
-    a = pairs.select("src", part, by_hash("src", seed + 1).alias("r"))
-    b = pairs.select("dst", part, by_hash("dst", seed + 2).alias("r"))
-    return a.join(b, ["part", "r"]).where("src != dst").select("src", "dst").join(pairs, ["src", "dst"], "left_anti")

@@ -708,21 +708,6 @@ def last_update(spark, d):
     return graph.last_update(a.prov(spark, d).withColumn("batch", F.col("day"))).where("t IS NOT NULL")
 
 
-@query()
-def negative_pairs(spark, d):
-    return graph.negatives(a.prov(spark, d))
-
-
-@query()
-def hash_walks(spark, d):
-    return graph.walks(a.prov(spark, d), 4, 2)
-
-
-@query()
-def temporal_walks(spark, d):
-    return graph.walks(a.prov(spark, d), 4, 2, temporal=True)
-
-
 @query()
 def synthetic_attacks(spark, d):
     e = a.prov(spark, d)

@@ -39,6 +39,40 @@ def last_neighbours(events: DataFrame, size: int) -> DataFrame:
     return ends.groupBy("node").applyInPandasWithState(update, "node long, neighbours array<long>", "ring array<long>", "update", GroupStateTimeout.NoTimeout)
 
 
+def message_stores(events: DataFrame, value: str) -> DataFrame:
+    """For each node of a micro-batch what it finds in its message stores, as ``memory.stored_messages`` has it for written batches: (node, last_update, sent_n, sent_mean, sent_last, got_n, got_mean, got_last).
+
+    A store is overwritten by the next micro-batch in which the node sends (or gets) anything. State is number, mean, last value and last time of both, so a hub's messages are
+    folded part by part and never kept. Edges with a null end are left out.
+    """
+    end = lambda a, sent: F.struct(F.col(a).alias("node"), F.lit(sent).alias("sent"))
+    known = events.where("src IS NOT NULL AND dst IS NOT NULL")
+    ends = known.select(F.explode(F.array(end("src", True), end("dst", False))).alias("e"), "t", "event_uuid", F.col(value).cast("double").alias("x")).select("e.*", "t", "event_uuid", "x")
+    names = ["node", "last_update", "sent_n", "sent_mean", "sent_last", "got_n", "got_mean", "got_last"]
+
+    def update(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        held = list(state.get) if state.exists else [0, None, None, None] * 2
+        times = [t for t in (held[3], held[7]) if t is not None]
+        row = [key[0], max(times, default=None), *held[:3], *held[4:7]]
+        counts, sums, valued, last = [0, 0], [0.0, 0.0], [0, 0], [None, None]
+        for part in parts:
+            for sent, rows in part.groupby("sent"):
+                i = 0 if sent else 1
+                counts[i], sums[i], valued[i] = counts[i] + len(rows), sums[i] + float(rows["x"].sum()), valued[i] + int(rows["x"].notna().sum())
+                final = rows.sort_values(["t", "event_uuid"]).iloc[-1]
+                latest = (int(final["t"]), int(final["event_uuid"]), None if pd.isna(final["x"]) else float(final["x"]))
+                last[i] = latest if last[i] is None or latest[:2] > last[i][:2] else last[i]
+        for i in range(2):
+            if counts[i]:
+                held[4 * i : 4 * i + 4] = [counts[i], sums[i] / valued[i] if valued[i] else None, last[i][2], last[i][0]]
+        state.update(tuple(held))
+        yield pd.DataFrame([row], columns=names, dtype=object)
+
+    store = "{0}_n long, {0}_mean double, {0}_last double"
+    schema = f"node long, last_update long, {store.format('sent')}, {store.format('got')}"
+    return ends.groupBy("node").applyInPandasWithState(update, schema, f"{store.format('sent')}, sent_t long, {store.format('got')}, got_t long", "append", GroupStateTimeout.NoTimeout)
+
+
 def quantised(events: DataFrame, block: int, size_ns: int) -> DataFrame:
     """The quantised windows of a stream that comes in time order, per source host (``by``): rows of closed windows. State is the open window's start, count and last time."""
 
