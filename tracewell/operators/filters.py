@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.operators.running import numbered
+from tracewell.operators.walking import drawn
 
 # Parts of labels of nodes that are not worth a queue.
 KEYWORDS = [":", "/dev/pts", "salt-minion.log", "null", "usr", "proc", "firefox", "tmp", "thunderbird", "bin/", "/data/replay_logdb", "/stat", "/boot", "qt-opensource-linux-x64", "/eraseme", "675"]
@@ -51,10 +52,10 @@ def disagreements(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def as_of_neighbours(batches: DataFrame, size: int) -> DataFrame:
-    """(batch, node, neighbour, e_id): for each node of a batch its last ``size`` edges before the batch. Earlier edges are ranked once per node; a batch sees those between the
+    """(batch, node, neighbour, e_id): for each node of a batch its last ``size`` edges before the batch. Edges are ranked once per node, in two levels; a batch sees those between the
     number that had come before it and ``size`` less, so nothing is joined that isn't kept."""
     ends = batches.select("batch", "t", "event_uuid", F.col("src").alias("node"), F.col("dst").alias("neighbour")).union(batches.select("batch", "t", "event_uuid", "dst", "src"))
-    ranked = ends.withColumn("r", F.row_number().over(W.partitionBy("node").orderBy("batch", "t", "event_uuid", "neighbour")))
+    ranked = numbered(ends, ["node"], ["batch", "t", "event_uuid", "neighbour"], "r")
     come = ranked.groupBy("node", "batch").agg((F.min("r") - 1).alias("before"))
     wanted = come.where("before > 0").withColumn("r", F.explode(F.sequence(F.greatest(F.lit(1), F.col("before") - size + 1), F.col("before"))))
     return wanted.join(ranked.select("node", "r", "neighbour", F.col("event_uuid").alias("e_id")), ["node", "r"]).select("batch", "node", "neighbour", "e_id")
@@ -96,11 +97,11 @@ def mimicry(events: DataFrame, processes: DataFrame, files: DataFrame, templates
     """``quota`` times a process, a file, a time of the stream and a template of operations, all by hash: events one ns apart."""
     spark = events.sparkSession
     span = events.agg(F.min("t").alias("lo"), F.max("t").alias("hi"))
-    pick = lambda salt, n: F.pmod(F.xxhash64(F.lit(seed), F.lit(salt), "id"), n)
-    at = lambda rows: numbered(rows.select("node", F.xxhash64(F.lit(seed), "node").alias("h")), [], ["h", "node"], "r").select("node", (F.col("r") - 1).alias("r"))
+    pick = lambda salt, n: F.pmod(drawn(seed, F.lit(salt), "id"), n)
+    at = lambda rows: numbered(rows.select("node", F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("node").cast("string"))).alias("h")), [], ["h", "node"], "r").select("node", (F.col("r") - 1).alias("r"))
     np_, nf = processes.count(), files.count()
     tries = spark.range(quota).select("id", pick("p", F.lit(max(np_, 1))).alias("p"), pick("f", F.lit(max(nf, 1))).alias("f"), pick("k", F.lit(len(templates))).cast("int").alias("k"))
     rows = tries.join(at(processes).select(F.col("node").alias("src"), F.col("r").alias("p")), "p").join(at(files).select(F.col("node").alias("dst"), F.col("r").alias("f")), "f").join(F.broadcast(span), F.lit(True))
     ops = F.array(*[F.array(*map(F.lit, t)) for t in templates])
-    start = F.col("lo") + F.pmod(F.xxhash64(F.lit(seed), F.lit("t"), "id"), F.col("hi") - F.col("lo") + 1)
+    start = F.col("lo") + F.pmod(drawn(seed, F.lit("t"), "id"), F.col("hi") - F.col("lo") + 1)
     return rows.select("id", "src", "dst", start.alias("start"), F.posexplode(F.get(ops, F.col("k"))).alias("i", "op")).select("src", "dst", "op", (F.col("start") + F.col("i")).alias("t"))

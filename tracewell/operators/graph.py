@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators.running import numbered
 from tracewell.operators.storage import bounded, written
+from tracewell.operators.walking import drawn
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -222,11 +223,11 @@ def synthetic_attacks(edges: DataFrame, processes: DataFrame, files: DataFrame,
     Each process looks at a hash-chosen stretch of the file list instead of all pairs; what it touched is left out by an anti join. The stretch is as long as what it touched
     and what it needs together, so it always holds enough fresh files if there are any.
     """
-    ranked = numbered(files.select(F.col("node").alias("file"), F.xxhash64(F.lit(seed), "node").alias("h")), [], ["h", "file"], "r").select("file", (F.col("r") - 1).alias("r"))
+    ranked = numbered(files.select(F.col("node").alias("file"), F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("node").cast("string"))).alias("h")), [], ["h", "file"], "r").select("file", (F.col("r") - 1).alias("r"))
     total = files.count()
     touched = edges.select(F.col("src").alias("node"), F.col("dst").alias("file")).union(edges.select("dst", "src")).distinct().join(files.select(F.col("node").alias("file")), "file", "left_semi").groupBy("node").agg(F.count(F.lit(1)).alias("d"))
     tries = F.least(F.lit(total), F.coalesce("d", F.lit(0)) + per_process)
-    picks = processes.join(touched, "node", "left").where(tries > 0).select("node", F.explode(F.sequence(F.lit(0).cast("long"), tries - 1)).alias("k")).withColumn("r", F.pmod(F.xxhash64(F.lit(seed), "node") % max(total, 1) + F.col("k"), F.lit(max(total, 1))))
+    picks = processes.join(touched, "node", "left").where(tries > 0).select("node", F.explode(F.sequence(F.lit(0).cast("long"), tries - 1)).alias("k")).withColumn("r", F.pmod(drawn(seed, "node") % max(total, 1) + F.col("k"), F.lit(max(total, 1))))
     known = edges.select(F.col("src").alias("node"), F.col("dst").alias("file")).union(edges.select("dst", "src")).distinct()
     fresh = picks.join(ranked.withColumn("r", F.col("r").cast("long")), "r").join(known, ["node", "file"], "left_anti")
     kept = fresh.withColumn("n", F.row_number().over(W.partitionBy("node").orderBy("k"))).where(F.col("n") <= per_process)

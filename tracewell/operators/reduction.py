@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.operators.mixtures import histogram, quantiles
+from tracewell.operators.running import numbered
 
 KEY = ("src", "dst", "op")
 
@@ -117,6 +118,6 @@ def scaled(values: DataFrame, column: str, *key: str) -> DataFrame:
 
 
 def sample_long(events: DataFrame, n: int, seed: int, *key: str, by: str = "event_uuid") -> DataFrame:
-    """At most n events of each key, chosen by a seeded hash of ``by``: long series are sampled before they are summarised."""
-    rank = F.row_number().over(W.partitionBy(*key).orderBy(F.xxhash64(F.lit(seed), by), by))
-    return events.withColumn("__r", rank).where(F.col("__r") <= n).drop("__r")
+    """At most n events of each key, chosen by a seeded digest of ``by``, ranked in two levels: long series are sampled before they are summarised."""
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(by).cast("string")))
+    return numbered(events.withColumn("__h", digest), list(key), ["__h", by], "__r").drop("__h").where(F.col("__r") <= n).drop("__r")

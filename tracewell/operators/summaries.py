@@ -5,9 +5,9 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from tracewell.operators.running import running
 from tracewell.operators.storage import written
 
 class DbStream:
@@ -77,19 +77,18 @@ def stream_clusters(values: DataFrame, column: str, *key: str, fading: float = 0
 
 
 def ks_drift(before: DataFrame, after: DataFrame, column: str, *key: str) -> DataFrame:
-    """(key, ks): the two-sample Kolmogorov-Smirnov distance of a key's values before and after."""
+    """(key, ks): the two-sample Kolmogorov-Smirnov distance of a key's values before and after, of keys that have both. Running counts go in two levels."""
     both = before.select(*key, F.col(column).alias("x"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(after.select(*key, F.col(column).alias("x"), F.lit(0).alias("a"), F.lit(1).alias("b")))
     steps = both.groupBy(*key, "x").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    up, all_ = W.partitionBy(*key).orderBy("x"), W.partitionBy(*key)
-    d = F.abs(F.sum("a").over(up) / F.sum("a").over(all_) - F.sum("b").over(up) / F.sum("b").over(all_))
-    return steps.withColumn("d", d).groupBy(*key).agg(F.max("d").alias("ks")).where("ks IS NOT NULL")
+    all_ = steps.groupBy(*key).agg(F.nullif(F.sum("a"), F.lit(0)).alias("all_a"), F.nullif(F.sum("b"), F.lit(0)).alias("all_b"))
+    up = running(steps, list(key), ["x"], up_a=F.col("a"), up_b=F.col("b")).join(all_, list(key))
+    return up.groupBy(*key).agg(F.max(F.abs(F.col("up_a") / F.col("all_a") - F.col("up_b") / F.col("all_b"))).alias("ks")).where("ks IS NOT NULL")
 
 
 def martingale(flags: DataFrame, p: float, t: float, *key: str) -> DataFrame:
     """Running exponential martingale exp(t * hits - n * ln(1 - p + p * e^t)) of rare hits in each key's order."""
-    up = W.partitionBy(*key).orderBy("t", "event_uuid")
-    n, s = F.row_number().over(up), F.sum("hit").over(up)
-    return flags.withColumn("m", F.exp(t * s - n * float(np.log(1 - p + p * np.exp(t)))))
+    rows = running(flags, list(key), ["t", "event_uuid"], __n=F.lit(1), __s=F.coalesce("hit", F.lit(0)))
+    return rows.withColumn("m", F.exp(t * F.col("__s") - F.col("__n") * float(np.log(1 - p + p * np.exp(t))))).drop("__n", "__s")
 
 
 def corpus(edges: DataFrame, labels: DataFrame, tokens) -> DataFrame:

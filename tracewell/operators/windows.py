@@ -50,6 +50,16 @@ def fuse_runs(edges: DataFrame, *window: str) -> DataFrame:
     return edges.withColumn("__op", before).where(F.col("__op").isNull() | (F.col("__op") != F.col("op"))).drop("__op")
 
 
+def pair_graphs(edges: DataFrame, *window: str, whole_day: str | None = None) -> DataFrame:
+    """(window, src, dst, op, n): simple graphs, one edge for each pair within a window, with the operation of the pair's first event and how many events there were.
+
+    With ``whole_day`` (the column of the day, one of ``window``) each window of a day gets the graph of the whole day: a row for each window and pair, by intention.
+    """
+    by = [whole_day] if whole_day else list(window)
+    graphs = edges.groupBy(*by, "src", "dst").agg(F.min_by("op", F.struct(*ORDER)).alias("op"), F.count(F.lit(1)).alias("n"))
+    return edges.select(*window).distinct().join(graphs, by).select(*window, "src", "dst", "op", "n") if whole_day else graphs
+
+
 def row_batches(edges: DataFrame, size: int, *by: str) -> DataFrame:
     """edges with a batch number: ``size`` consecutive edges of each group, the last batch may be short."""
     return numbered(edges, [*by], [*ORDER], "batch").withColumn("batch", F.floor((F.col("batch") - 1) / size).cast("int"))

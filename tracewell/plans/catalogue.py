@@ -133,6 +133,16 @@ def windows_fixed(spark, d):
     return windows.fixed_windows(a.prov(spark, d), 900_000_000_000).groupBy("tw").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(WITH + BLOCKS + " SELECT day, tw, src, dst, arg_min(op, (t, event_uuid)) AS op, count(*) AS n FROM cut GROUP BY ALL")
+def window_pair_graphs(spark, d):
+    return windows.pair_graphs(cut(spark, d), "day", "tw")
+
+
+@query(WITH + BLOCKS + ", g AS (SELECT day, src, dst, arg_min(op, (t, event_uuid)) AS op, count(*) AS n FROM cut GROUP BY ALL) SELECT day, tw, src, dst, op, n FROM g JOIN (SELECT DISTINCT day, tw FROM cut) USING (day)")
+def day_pair_graphs(spark, d):
+    return windows.pair_graphs(cut(spark, d), "day", "tw", whole_day="day")
+
+
 FUSED = a.TRADE + """, lagged AS (SELECT *, lag(op) OVER (PARTITION BY src, dst ORDER BY t, event_uuid) AS before FROM trade),
 fused AS (SELECT event_uuid, src, dst, op, t FROM lagged WHERE before IS NULL OR before <> op)"""
 
@@ -292,7 +302,7 @@ def scaled_values(spark, d):
     return reduction.scaled(a.prov(spark, d), "value", "src").select("event_uuid", *(F.round(c, 5).alias(c) for c in ("min_max", "standard", "max_abs")))
 
 
-@query()
+@query(WITH + a.PROV + " SELECT event_uuid, src, t FROM (SELECT *, row_number() OVER (PARTITION BY src ORDER BY md5('7|' || event_uuid), event_uuid) AS r FROM prov) WHERE r <= 10")
 def long_series_sample(spark, d):
     return reduction.sample_long(a.prov(spark, d), 10, 7, "src").select("event_uuid", "src", "t")
 
@@ -708,7 +718,10 @@ def last_update(spark, d):
     return graph.last_update(a.prov(spark, d).withColumn("batch", F.col("day"))).where("t IS NOT NULL")
 
 
-@query()
+@query(WITH + a.PROV + ",\n" + a.NODES + """, files AS (SELECT node_id AS file, row_number() OVER (ORDER BY md5('0|' || node_id), node_id) - 1 AS r, count(*) OVER () AS total FROM nodes WHERE node_type = 'file'),
+known AS (SELECT src AS node, dst AS file FROM prov UNION SELECT dst, src FROM prov), p AS (SELECT node_id AS node, ('0x' || substr(md5('0|' || node_id), 1, 15))::BIGINT AS h FROM nodes WHERE node_type = 'subject'),
+x AS (SELECT node, file, (r - h % total + total) % total AS k FROM p, files WHERE NOT EXISTS (SELECT 1 FROM known WHERE known.node = p.node AND known.file = files.file))
+SELECT node AS src, file AS dst, unnest(['OPEN', 'READ', 'WRITE']) AS op FROM (SELECT *, row_number() OVER (PARTITION BY node ORDER BY k) AS n FROM x) WHERE n <= 20""")
 def synthetic_attacks(spark, d):
     e = a.prov(spark, d)
     n = a.nodes(e)

@@ -134,7 +134,12 @@ def extreme_runs(spark, d):
     return c.groupBy("day").agg(F.min_by("op", F.struct("n", "op")).alias("least"), F.max_by("op", F.struct("n", "op")).alias("most"))
 
 
-@query()
+DRAW = "('0x' || substr(md5('0|{salt}|' || id), 1, 15))::BIGINT"
+
+
+@query(WITH + a.PROV + ",\n" + a.NODES + f""", ranked AS (SELECT node_type, node_id, row_number() OVER (PARTITION BY node_type ORDER BY md5('0|' || node_id), node_id) - 1 AS r, count(*) OVER (PARTITION BY node_type) AS n FROM nodes), procs AS (SELECT * FROM ranked WHERE node_type = 'subject'), files AS (SELECT * FROM ranked WHERE node_type = 'file'),
+span AS (SELECT min(t) AS lo, max(t) AS hi FROM prov), tries AS (SELECT id, lo + {DRAW.format(salt='t')} % (hi - lo + 1) AS start, [['OPEN', 'READ'], ['OPEN', 'WRITE'], ['OPEN', 'READ', 'WRITE'], ['OPEN', 'WRITE', 'READ']][1 + {DRAW.format(salt='k')} % 4] AS ops FROM range(200) t(id), span)
+SELECT p.node_id AS src, f.node_id AS dst, ops[i] AS op, start + i - 1 AS t FROM (SELECT *, unnest(range(1, len(ops) + 1)) AS i FROM tries) JOIN procs p ON p.r = {DRAW.format(salt='p')} % p.n JOIN files f ON f.r = {DRAW.format(salt='f')} % f.n""")
 def mimicry_events(spark, d):
     e = a.prov(spark, d)
     n = a.nodes(e)
