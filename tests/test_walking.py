@@ -1,11 +1,12 @@
 """Walks and memories against plain Python, with a hub that holds a third of all edges, dead ends, self loops, ties and nulls."""
 
 import hashlib
+import math
 import random
 import time
 from collections import defaultdict
 
-from tracewell.operators import memory, walking
+from tracewell.operators import graph, memory, summaries, walking, windows
 from tracewell.streaming import events as streams
 
 SCHEMA = "src long, dst long, op string, t long, event_uuid long"
@@ -153,3 +154,50 @@ def test_message_stores_in_batches_and_streams(spark, tmp_path):
     found = sorted(((r.node, plain(r)) for r in spark.table("stores").collect()), key=repr)
     first = sorted({x[5] for x in rows})[:5]
     assert found == sorted(((node, v) for (b, node), v in want.items() if b in first), key=repr)
+
+
+def test_closure_in_components(spark):
+    rows = [(g, 10 * k + i, 10 * k + (i + 1) % 4) for g in (1, 2) for k in range(3) for i in range(4)] + [(1, 0, 10), (1, 11, 25), (2, 20, 0), (2, 7, 7), (1, 30, 0)]
+    edges = spark.createDataFrame([*rows, (None, 1, 2), (1, None, 2)], "g int, src long, dst long")
+    members, reached = graph.closure(edges, "g")
+    of = {(r.g, r.node): r.component for r in members.collect()}
+    nodes = {(g, n) for g, *ends in rows for n in ends}
+    assert set(of) == nodes and of[1, 13] == 10 and of[2, 7] == 7 and of[1, 25] == 25
+    to = defaultdict(set)
+    for g, s, d in rows:
+        to[g, s].add(d)
+    want = set()
+    for g, n in nodes:
+        seen, front = {n}, {n}
+        while front:
+            front = {d for x in front for d in to[g, x]} - seen
+            seen |= front
+        want |= {(g, n, x) for x in seen}
+    pairs = {(r.g, r.component, r.reached) for r in reached.collect()}
+    got = {(g, n, x) for g, n in nodes for h, x in nodes if g == h and (of[g, n] == of[g, x] or (g, of[g, n], of[g, x]) in pairs)}
+    assert got == want
+
+
+def test_pair_graphs(spark):
+    edges = spark.createDataFrame([(1, 0, 1, 2, "R", 5, 0), (1, 0, 1, 2, "W", 4, 1), (1, 1, 1, 2, "X", 9, 2), (1, 1, 3, 3, "X", 9, 3), (2, 0, 1, 2, "X", 1, 4)], "day int, tw int, " + SCHEMA)
+    assert sorted(map(tuple, windows.pair_graphs(edges, "day", "tw").collect())) == [(1, 0, 1, 2, "W", 2), (1, 1, 1, 2, "X", 1), (1, 1, 3, 3, "X", 1), (2, 0, 1, 2, "X", 1)]
+    day = [(1, t, *x) for t in (0, 1) for x in ((1, 2, "W", 3), (3, 3, "X", 1))]
+    assert sorted(map(tuple, windows.pair_graphs(edges, "day", "tw", whole_day="day").collect())) == [*day, (2, 0, 1, 2, "X", 1)]
+
+
+def test_drift_and_martingale_with_a_hot_key(spark):
+    r = random.Random(5)
+    rows = [(r.choice("aaab"), float(r.randrange(20)), i) for i in range(400)] + [("c", 1.0, 900)]
+    table = spark.createDataFrame(rows, "k string, x double, i int")
+    got = {x.k: round(x.ks, 9) for x in summaries.ks_drift(table.where("i < 250"), table.where("i >= 250"), "x", "k").collect()}
+    want = {}
+    for k in "ab":
+        a, b = ([x for kk, x, i in rows if kk == k and (i < 250) == side] for side in (True, False))
+        want[k] = round(max(abs(sum(v <= t for v in a) / len(a) - sum(v <= t for v in b) / len(b)) for t in a + b), 9)
+    assert got == want  # c has nothing before, so no distance
+    hits = table.selectExpr("k", "i as event_uuid", "i as t", "cast(x > 15 as int) as hit")
+    m = {x.event_uuid: x.m for x in summaries.martingale(hits, 0.2, 0.5, "k").collect()}
+    n, s = defaultdict(int), defaultdict(int)
+    for k, x, i in rows:
+        n[k], s[k] = n[k] + 1, s[k] + (x > 15)
+        assert math.isclose(m[i], math.exp(0.5 * s[k] - n[k] * math.log(1 - 0.2 + 0.2 * math.exp(0.5))), rel_tol=1e-9)

@@ -195,6 +195,24 @@ def strong_components(edges: DataFrame) -> DataFrame:
     return every.join(several, "component").select("node", "component")
 
 
+def condensed(edges: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """Members (by, node, component), a row for every node under the least node of its strongly connected component (itself where it is alone), and the distinct edges (by, src, dst) between components. Edges with a null end or group are left out."""
+    pairs = written(edges.select(*by, "src", "dst").dropna().distinct(), "pairs")
+    tag = lambda c: F.struct(*by, F.col(c).alias("node")).alias(c)
+    parts = strong_components(pairs.select(tag("src"), tag("dst"))).select(*(F.col(f"node.{b}").alias(b) for b in by), F.col("node.node").alias("node"), F.col("component.node").alias("component"))
+    nodes = pairs.select(*by, F.explode(F.array("src", "dst")).alias("node")).distinct()
+    members = written(nodes.join(parts, [*by, "node"], "left").select(*by, "node", F.coalesce("component", "node").alias("component")), "members")
+    ends = pairs.join(members.select(*by, F.col("node").alias("src"), F.col("component").alias("a")), [*by, "src"]).join(members.select(*by, F.col("node").alias("dst"), F.col("component").alias("b")), [*by, "dst"])
+    return members, written(ends.where("a != b").select(*by, F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), "condensed")
+
+
+def closure(edges: DataFrame, *by: str) -> tuple[DataFrame, DataFrame]:
+    """Members as ``condensed`` has them, and (by, component, reached): the other components that each reaches. A node reaches the nodes of its own component and of those: two joins give all its descendants (or ancestors), and a component's nodes share one set of rows."""
+    members, between = condensed(edges, *by)
+    seeds = members.select(*by, F.col("component").alias("node")).distinct()
+    return members, reach(between, seeds, *by).where("hops > 0").select(*by, F.col("seed").alias("component"), F.col("node").alias("reached"))
+
+
 def acyclic(edges: DataFrame) -> DataFrame:
     """Distinct edges that lie on no cycle: pairs without self loops whose ends are not in one strongly connected component."""
     pairs = written(edges.select("src", "dst").where("src != dst").distinct(), "pairs")

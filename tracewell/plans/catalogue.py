@@ -839,6 +839,13 @@ def gap_drift(spark, d):
     return summaries.ks_drift(g.where(day <= 15), g.where(day > 15), "gap", "op").select("op", F.round("ks", 6).alias("ks"))
 
 
+@query(WITH + a.PROV + """, h AS (SELECT event_uuid, op, CAST(value > 90 AS INTEGER) AS hit, row_number() OVER u AS n, sum(CAST(value > 90 AS INTEGER)) OVER u AS s FROM prov WINDOW u AS (PARTITION BY op ORDER BY t, event_uuid))
+SELECT event_uuid, op, hit, round(0.2 * s - n * ln(1 - 0.1 + 0.1 * exp(0.2)), 6) AS log_m FROM h""")
+def value_martingale(spark, d):
+    hits = a.prov(spark, d).select("event_uuid", "op", "t", (F.col("value") > 90).cast("int").alias("hit"))
+    return summaries.martingale(hits, 0.1, 0.2, "op").select("event_uuid", "op", "hit", F.round(F.ln("m"), 6).alias("log_m"))
+
+
 @query()
 def corpus_vectors(spark, d):
     e = a.prov(spark, d)
