@@ -86,9 +86,10 @@ def ks_drift(before: DataFrame, after: DataFrame, column: str, *key: str) -> Dat
 
 
 def martingale(flags: DataFrame, p: float, t: float, *key: str) -> DataFrame:
-    """Running exponential martingale exp(t * hits - n * ln(1 - p + p * e^t)) of rare hits in each key's order."""
+    """Running exponential martingale m = exp(t * hits - n * ln(1 - p + p * e^t)) of rare hits in each key's order, and its logarithm log_m, which stays finite where m no longer is."""
     rows = running(flags, list(key), ["t", "event_uuid"], __n=F.lit(1), __s=F.coalesce("hit", F.lit(0)))
-    return rows.withColumn("m", F.exp(t * F.col("__s") - F.col("__n") * float(np.log(1 - p + p * np.exp(t))))).drop("__n", "__s")
+    log_m = t * F.col("__s") - F.col("__n") * float(np.log(1 - p + p * np.exp(t)))
+    return rows.withColumn("log_m", log_m).withColumn("m", F.exp("log_m")).drop("__n", "__s")
 
 
 def corpus(edges: DataFrame, labels: DataFrame, tokens) -> DataFrame:
