@@ -1,12 +1,13 @@
 """Operators against plain loops: long groups in two levels, closures and traces without caps, queues, vectors of edges."""
 
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import features, graph, queues, reports, running, vectors, windows
+from tracewell.operators import features, graph, queues, reports, running, summaries, vectors, windows
 
 
 def test_running_sums_and_numbers(spark):
@@ -125,3 +126,25 @@ def test_repairs_and_times(spark):
     last = spark.createDataFrame([(0, 1, 5)], "batch int, node long, t long")
     got = {r.src: r.dt for r in reports.relative_times(edges.withColumn("batch", F.lit(0)), last).collect()}
     assert got == {1: 4, 3: None}
+
+
+def test_only_the_nearest_leave_a_tile(spark):
+    """Pairs stay in their task: crowds, ties, own copies and vectors with nulls against brute force, and no exchange of pairs."""
+    from tracewell.operators import tiles
+
+    r = np.random.default_rng(6)
+    v = np.round(r.normal(size=(300, 3)), 1)
+    v[100:200] = v[100]
+    rows = [(i, [float(y) for y in x]) for i, x in enumerate(v)] + [(300, None), (320, [1.0, None, 2.0])]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = {x.vec_id: x.score for x in features.knn_scores(table, table.where("vec_id % 20 = 0"), k=5, block=64).collect()}
+    assert got.pop(300) is None and got.pop(320) is None
+    assert got == {i: pytest.approx(np.sort(np.delete(np.linalg.norm(v - v[i], axis=1), i))[:5].mean(), abs=1e-5) for i in range(0, 300, 20)}
+    one = lambda c: table.where("vec_id < 300").select(F.lit(0).alias("part"), F.col("vec_id").alias(c), F.col("embedding").alias(f"{c}v"))
+    assert tiles.tiled(one("q"), one("p").withColumn("n", F.lit(2).cast("long")), ["part"], 5, True, 9).groupBy("q").count().agg(F.max("count")).first()[0] <= 5
+
+
+def test_martingales_beyond_the_largest_double(spark):
+    hits = spark.range(20_000).select(F.lit("k").alias("k"), F.col("id").alias("event_uuid"), F.col("id").alias("t"), F.lit(1).alias("hit"))
+    got = summaries.martingale(hits, 0.1, 0.2, "k").where("t = 19999").first()
+    assert got.log_m == pytest.approx(20_000 * (0.2 - math.log(0.9 + 0.1 * math.exp(0.2)))) and math.isinf(got.m)
