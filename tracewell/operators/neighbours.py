@@ -2,8 +2,8 @@
 
 Equal vectors are collapsed to one with a count, so a crowd of copies costs what one vector does. A bounded sample of pivots divides the
 rest into cells, each point with its distance to its pivot. From the cells' radii and counts alone a query knows a bound of its k-th distance; by the triangle inequality
-it then visits only cells, and in these only points, that can be within. Nothing is approximate: with vectors without structure more
-cells are visited, never fewer neighbours found.
+it then visits only cells that can hold points within. Cells are met in tiles of bounded size, and of a tile only the nearest of each query leave it. Nothing is approximate: with
+vectors without structure more cells are visited, never fewer neighbours found.
 """
 
 from __future__ import annotations
@@ -15,8 +15,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tracewell.operators.storage import bounded, written
+from tracewell.operators.tiles import tiled
 
 PIVOTS, SLACK = 32, 1e-9
+#: Rows of either side of a tile, about.
+TILE = 16_384
 
 
 def collapsed(rows: DataFrame, axes: list[str], id_col: str) -> tuple[DataFrame, DataFrame]:
@@ -38,24 +41,28 @@ def nearest(queries: DataFrame, points: DataFrame, axes: list[str], k: int, own:
     far = F.array(*(_distance([F.col(c) for c in axes], [F.lit(float(v)) for v in r]) for r in chosen))
     placed = points.withColumn("far", far).withColumn("cell", (F.array_position("far", F.array_min("far")) - 1).cast("int"))
     placed = written(placed.select(F.col("rep").alias("p"), *(F.col(c).alias(f"p_{c}") for c in axes), "n", "cell", F.array_min("far").alias("p_far")), "cells")
-    cells = {r.cell: (r.radius, r.n) for r in placed.groupBy("cell").agg(F.max("p_far").alias("radius"), F.sum("n").alias("n")).collect()}  # a row for each pivot
-    known = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(cells[i][0])).alias("radius"), F.lit(int(cells[i][1])).alias("n")) for i in sorted(cells)))
+    cells = {r.cell: (r.radius, r.n, -(-r.rows // TILE)) for r in placed.groupBy("cell").agg(F.max("p_far").alias("radius"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("rows")).collect()}  # a row for each pivot
+    known = F.array(*(F.struct(F.lit(i).alias("i"), F.lit(float(cells[i][0])).alias("radius"), F.lit(int(cells[i][1])).alias("n"), F.lit(cells[i][2]).alias("blocks")) for i in sorted(cells)))
     rows = queries.select(F.col("rep").alias("q"), *axes, far.alias("far"))
     reach = F.array_sort(F.transform(known, lambda c: F.struct((F.get("far", c["i"]) + c["radius"]).alias("d"), c["n"].alias("n"))))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(float("inf")).alias("d"))
     within = F.aggregate(reach, start, lambda s, c: F.when(s["n"] >= k + own, s).otherwise(F.struct((s["n"] + c["n"].cast("long")).alias("n"), c["d"].alias("d"))))
     rows = rows.withColumn("bound", F.when(within["n"] >= k + own, within["d"] + SLACK).otherwise(F.lit(float("inf"))))
     visits = F.filter(known, lambda c: F.get("far", c["i"]) - c["radius"] <= F.col("bound"))
-    rows = rows.select("q", *axes, "bound", F.explode(F.transform(visits, lambda c: F.struct(c["i"].alias("cell"), F.get("far", c["i"]).alias("q_far")))).alias("v")).select("q", *axes, "bound", "v.cell", "v.q_far")
-    met = rows.join(placed, "cell").where(F.abs(F.col("q_far") - F.col("p_far")) <= F.col("bound"))
-    met = met.withColumn("dist", _distance([F.col(c) for c in axes], [F.col(f"p_{c}") for c in axes])).where("dist <= bound")
-    met = met.withColumn("n", F.col("n") - (F.col("q") == F.col("p")).cast("long") if own else F.col("n")).where("n > 0")
+    parts = max(1, -(-queries.count() // TILE))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), n).cast("int")
+    vector = lambda names: F.array(*(F.col(c).cast("double") for c in names))
+    a = rows.select("q", vector(axes).alias("qv"), deal("q", F.lit(parts)).alias("part"), F.explode(visits).alias("v"))
+    a = a.select("q", "qv", "part", F.col("v.i").alias("cell"), F.explode(F.sequence(F.lit(0), F.col("v.blocks") - 1)).alias("block"))
+    blocks = F.element_at(F.create_map(*(F.lit(x) for i in sorted(cells) for x in (i, cells[i][2]))), F.col("cell"))
+    b = placed.select("p", vector([f"p_{c}" for c in axes]).alias("pv"), "n", "cell", deal("p", blocks).alias("block"), F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"))
+    met = written(tiled(a, b, ["cell", "block", "part"], k, own, 9), "met")
 
     def first(rows: DataFrame, *by: str) -> DataFrame:
         before = F.coalesce(F.sum("n").over(W.partitionBy(*by).orderBy("dist", "p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
         return rows.withColumn("before", before).where(F.col("before") < k)
 
-    best = first(first(met.select("q", "cell", "p", "dist", "n"), "q", "cell"), "q")
+    best = first(met, "q")
     return written(best.select("q", "p", "dist", F.least("n", F.lit(k) - F.col("before")).alias("take")), "nearest")
 
 
