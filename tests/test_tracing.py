@@ -3,7 +3,7 @@
 import random
 from collections import defaultdict, deque
 
-from tracewell.operators import graph, queues, tracing, windows
+from tracewell.operators import graph, queues, reaching, tracing, windows
 
 
 def edges(spark, seed, nodes=9, n=40):
@@ -122,3 +122,20 @@ def test_pair_batches(spark):
             want[e] = batch
     got = windows.pair_batches(df, "day")
     assert {x.event_uuid: x.batch for x in got.collect()} == want and got.columns == [*df.columns, "batch"]
+
+
+def test_shortest_paths_write_no_pairs(spark, monkeypatch):
+    """300 entries lead through one hub to 100 points: 30,000 paths, made as they are read."""
+    rows = [(1000 + i, 500) for i in range(300)] + [(500, i) for i in range(100)]
+    df, sizes, write = spark.createDataFrame(rows, "src long, dst long"), [], tracing.written
+
+    def counted(table, label):
+        out = write(table, label)
+        sizes.append(out.count())
+        return out
+
+    for module in (tracing, reaching):
+        monkeypatch.setattr(module, "written", counted)
+    got = tracing.shortest(df, spark.createDataFrame([(i,) for i in range(100)], "node long"))
+    assert {(r.poi, r.entry, tuple(r.path)) for r in got.collect()} == {(p, e, (e, 500, p)) for p in range(100) for e in range(1000, 1300)}
+    assert max(sizes) <= 400
