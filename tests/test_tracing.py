@@ -139,3 +139,21 @@ def test_shortest_paths_write_no_pairs(spark, monkeypatch):
     got = tracing.shortest(df, spark.createDataFrame([(i,) for i in range(100)], "node long"))
     assert {(r.poi, r.entry, tuple(r.path)) for r in got.collect()} == {(p, e, (e, 500, p)) for p in range(100) for e in range(1000, 1300)}
     assert max(sizes) <= 400
+
+
+def test_temporal_trace_by_chunks(spark, monkeypatch):
+    """Steps read one chunk of a node's edges, with ties at the ends of chunks and many seeds at one place."""
+    monkeypatch.setattr(graph, "CHUNK", 2)
+    r = random.Random(3)
+    rows = sorted({(r.randrange(5), r.randrange(5), r.randrange(12)) for _ in range(60)})
+    df = spark.createDataFrame(rows, "src long, dst long, t long")
+    seeds = spark.createDataFrame([(n, t) for n, t in ((0, 9), (1, 12), (2, 5), (3, 0), (4, 3), (77, 5))], "node long, t long")
+    for backward in (True, False):
+        want = set()
+        for seed, t in ((0, 9), (1, 12), (2, 5), (3, 0), (4, 3), (77, 5)):
+            node, hop = seed, 0
+            while node is not None:
+                want.add((seed, hop, node, t))
+                near = [(x, s) for s, d, x in rows if d == node and x < t] if backward else [(x, d) for s, d, x in rows if s == node and x > t]
+                (t, node), hop = (max(near) if backward else min(near)) if near else (None, None), hop + 1
+        assert {tuple(x) for x in graph.temporal_trace(df, seeds, backward).select("seed", "hop", "node", "t").collect()} == want
