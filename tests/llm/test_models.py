@@ -188,3 +188,16 @@ def test_urls(spark):
 def test_calibration_of_ties():
     assert urls.calibrated(np.array([0.0, 0.0, 1.0, 2.0]), np.array([False, False, True, True])) == 0.5
     assert urls.calibrated(np.array([1.0, 2.0]), np.array([True, True])) == 0.0
+
+
+def test_urls_learn_from_all(spark, monkeypatch):
+    """Every distinct URL that the rules decide is counted, long ones too, and the threshold over all scores is that of the sorted list."""
+    pages = spark.range(10000).selectExpr("CASE WHEN id % 2 = 0 THEN concat('http://a.com/', id, if(id = 0, repeat('z', 3000), '')) ELSE concat('http://a.net/fr/', id) END AS url")
+    seen, count = [], urls.gram_counts
+    monkeypatch.setattr(urls, "gram_counts", lambda rows, *more: (seen.append(rows.count()), count(rows.limit(50), *more))[1])
+    urls.train(pages.union(pages))
+    assert seen == [pages.where("pmod(xxhash64(url, 'fold'), 4) > 0").count()] and seen[0] > 7000
+    r = np.random.default_rng(1)
+    scores, good = np.round(r.normal(size=50), 1), r.random(50) < 0.5
+    table = spark.createDataFrame([(float(s), bool(g)) for s, g in zip(scores, good, strict=True)], "advantage double, good boolean")
+    assert urls.calibrated_over(table) == urls.calibrated(scores, good)
