@@ -64,3 +64,12 @@ def test_trained_subwords(spark):
     assert table.count() == len(set().union(*(buckets(w, 500) for w in ("usr", "lib", *(f"lib{i}" for i in range(5))))))
     unseen = m.subword_vectors(spark.createDataFrame([("library",)], "word string"), table, 500).first()
     assert len(unseen.vec) == 5 and any(unseen.vec)
+
+
+def test_means_in_one_grouping(spark):
+    """No row for each number of a vector, and one grouping; vectors of several lengths count where they have numbers."""
+    rows = spark.createDataFrame([("a", [1.0, 2.0], 1.0), ("a", [3.0], 3.0), ("a", None, 9.0), ("b", [5.0, None], 0.0)], "k string, vec array<double>, x double")
+    got = m._mean(rows, "k", rows.x, 2)
+    assert {r.k: r.vec for r in got.collect()} == {"a": [2.5, 2.0], "b": [None, None]}
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and plan.count("Aggregate") == 1

@@ -30,33 +30,41 @@ def subwords(word: Column, shortest: int = 3, longest: int = 6, buckets: int = B
 def subword_table(documents: DataFrame, dims: int = 16, seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, vec): skip-gram vectors of subword buckets, one table for all words, trained on documents (words) with each word as its buckets. Texts are sequences of buckets, so the reach of a context counts buckets."""
     spelled = documents.select(F.transform(F.flatten(F.transform("words", lambda w: subwords(w, buckets=buckets))), lambda b: b.cast("string")).alias("words"))
-    found = word_vectors(spelled, dims, seed, window=10).getVectors()
+    found = word_vectors(written(spelled, "spelled"), dims, seed, window=10).getVectors()
     return written(found.select(F.col("word").cast("long").alias("bucket"), vector_to_array("vector").alias("vec")), "buckets")
 
 
-def _mean(rows: DataFrame, by: str, weight: Column) -> DataFrame:
-    """(by, vec) from rows (by, vec, ...): the weighted mean of vectors, position by position; null where weights sum to 0."""
-    parts = rows.select(by, weight.alias("w"), F.posexplode("vec").alias("i", "x"))
-    sums = parts.groupBy(by, "i").agg((F.sum(F.col("w") * F.col("x")) / F.nullif(F.sum("w"), F.lit(0.0))).alias("x"))
-    return sums.groupBy(by).agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda s: s["x"]).alias("vec"))  # a number for each dimension
+def _mean(rows: DataFrame, by: str, weight: Column, dims: int) -> DataFrame:
+    """(by, vec) from rows (by, vec, ...) with vectors of at most dims numbers: the weighted mean of vectors, position by position; null where weights sum to 0. One grouping, with a sum for each position."""
+    parts = rows.where("size(vec) > 0").select(by, weight.alias("w"), "vec")
+    there = lambda j: F.when(F.size("vec") > j, F.col("w"))
+    at = lambda j: F.sum(there(j) * F.get("vec", F.lit(j))) / F.nullif(F.sum(there(j)), F.lit(0.0))
+    return parts.groupBy(by).agg(F.slice(F.array(*(at(j) for j in range(dims))), F.lit(1), F.max(F.size("vec"))).alias("vec"))
+
+
+def longest(table: DataFrame) -> int:
+    """The most numbers that a vector of a written table has; 1 where there is none."""
+    return max(table.agg(F.max(F.size("vec"))).first()[0] or 1, 1)
 
 
 def subword_vectors(words: DataFrame, table: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(word, vec): the mean of a word's known buckets, whether training has seen the word or not. Words without any known bucket are left out."""
     each = words.select("word").distinct().select("word", F.explode(subwords(F.col("word"), buckets=buckets)).alias("bucket"))
-    return _mean(each.join(bounded(written(table, "buckets")), "bucket"), "word", F.lit(1.0))
+    table = written(table, "buckets")
+    return _mean(each.join(bounded(table), "bucket"), "word", F.lit(1.0), longest(table))
 
 
 def text_vectors(documents: DataFrame, vectors: DataFrame, weights: str = "mean", idf: DataFrame | None = None, falls: float = 30.0) -> DataFrame:
     """(node, vec): the mean of the vectors of a document's words; with weights "idf" by idf (word, idf), with "position" by an arithmetic series that falls by ``falls`` percent over the text. Words without a vector count nowhere; nodes with none are left out. documents has one row a node."""
     each = documents.select("node", F.size("words").alias("n"), F.posexplode("words").alias("i", "word"))
-    met = each.join(bounded(written(vectors.select("word", "vec"), "vectors")), "word")
+    vectors = written(vectors.select("word", "vec"), "vectors")
+    met, dims = each.join(bounded(vectors), "word"), longest(vectors)
     if weights == "idf":
-        return _mean(met.join(bounded(written(idf.select("word", "idf"), "idf")), "word"), "node", F.col("idf"))
+        return _mean(met.join(bounded(written(idf.select("word", "idf"), "idf")), "word"), "node", F.col("idf"), dims)
     if weights == "position":
         d = -falls / (100.0 * F.col("n"))
-        return _mean(met, "node", 1.0 / F.col("n") - d * (F.col("n") - 1) / 2.0 + F.col("i") * d)
-    return _mean(met, "node", F.lit(1.0))
+        return _mean(met, "node", 1.0 / F.col("n") - d * (F.col("n") - 1) / 2.0 + F.col("i") * d, dims)
+    return _mean(met, "node", F.lit(1.0), dims)
 
 
 def induction_matrix(documents: DataFrame, vectors: DataFrame, reach: int = 5) -> np.ndarray:

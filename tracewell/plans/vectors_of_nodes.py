@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import text
 from tracewell.operators import summaries, vectors, wordvecs
+from tracewell.operators.storage import written
 from tracewell.plans.catalogue import TYPES, WITH, query
 from tracewell.plans.edges import KINDS, typed_edges
 from tracewell.sources import adapters as a
@@ -41,7 +42,7 @@ def subword_buckets(spark, d):
 
 
 def inferred(spark, d, weights):
-    docs = label_words(spark, d)
+    docs = written(label_words(spark, d), "documents")  # read several times; events once
     words = wordvecs.subword_vectors(docs.select(F.explode("words").alias("word")), bucket_table(docs), SIZE)
     total = docs.count()
     idf = docs.select(F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.log(F.lit(float(total)) / F.count(F.lit(1))).alias("idf"))
@@ -71,7 +72,7 @@ msg AS (SELECT event_uuid, list_concat(list_transform(range(3), lambda z: CAST(z
   FROM prov JOIN nv s ON s.node = src JOIN nv t ON t.node = dst JOIN kind ks ON ks.node = src JOIN kind kd ON kd.node = dst)
 SELECT event_uuid, CAST(len(m) AS INTEGER) AS width, round(list_sum(list_transform(m, lambda x, i: x * i)), 5) AS digest FROM msg""")
 def edge_vectors_full(spark, d):
-    nodes = inferred(spark, d, "mean")
+    nodes = written(inferred(spark, d, "mean"), "node-vectors")
     rows = typed_edges(spark, d).join(nodes.select(F.col("node").alias("src"), F.col("vec").alias("src_vec")), "src").join(nodes.select(F.col("node").alias("dst"), F.col("vec").alias("dst_vec")), "dst")
     m = vectors.messages(rows, KINDS, TYPES, "src_vec", "dst_vec")
     return m.select("event_uuid", F.size("msg").alias("width"), F.round(F.aggregate(F.transform("msg", lambda x, i: x * (i + 1)), F.lit(0.0), lambda s, x: s + x), 5).alias("digest"))
@@ -91,7 +92,7 @@ def induction_matrix(spark, d):
 @query()
 def subword_node_vectors(spark, d):
     e = a.prov(spark, d)
-    docs = summaries.corpus(e, a.nodes(e), text.path_tokens)
+    docs = written(summaries.corpus(e, a.nodes(e), text.path_tokens), "documents")
     table = wordvecs.subword_table(docs, dims=8, buckets=SIZE)
     words = wordvecs.subword_vectors(docs.select(F.explode("words").alias("word")), table, SIZE)
     return wordvecs.text_vectors(docs, words).select("node", F.transform("vec", lambda x: F.round(x, 6)).alias("vec"))
