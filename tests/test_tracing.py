@@ -157,3 +157,19 @@ def test_temporal_trace_by_chunks(spark, monkeypatch):
                 near = [(x, s) for s, d, x in rows if d == node and x < t] if backward else [(x, d) for s, d, x in rows if s == node and x > t]
                 (t, node), hop = (max(near) if backward else min(near)) if near else (None, None), hop + 1
         assert {tuple(x) for x in graph.temporal_trace(df, seeds, backward).select("seed", "hop", "node", "t").collect()} == want
+
+
+def test_temporal_paths_shuffle_no_pairs(spark, monkeypatch):
+    """70 entries lead through one node, at two times, to 70 points: pairs of point and entry are made as they are read, and a hop writes two tables."""
+    rows = [(1000 + i, 500, t) for i in range(70) for t in (1, 3)] + [(500, 600, 2)] + [(m, i, t) for i in range(70) for m, t in ((500, 4), (600, 3))]
+    rows += [(2000 + i, 2001 + i, i) for i in range(6)]
+    df, tables, write = spark.createDataFrame(rows, "src long, dst long, t long"), [], tracing.written
+    for module in (tracing, reaching):
+        monkeypatch.setattr(module, "written", lambda table, label: tables.append(label) or write(table, label))
+    got = tracing.temporal_paths(df, spark.createDataFrame([(i,) for i in (*range(70), 2006)], "node long"))
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(poi" not in plan and "hashpartitioning(a#" in plan
+    assert len(tables) < 7 * 2 + 14
+    ways = [(p, e, *x) for p in range(70) for e in range(1000, 1070) for x in ((e, 500), (500, p), (500, 600), (600, p))]
+    found = [tuple(r) for r in got.collect()]
+    assert len(found) == len(set(found)) and set(found) == {*ways, *((2006, 2000, 2000 + i, 2001 + i) for i in range(6))}
