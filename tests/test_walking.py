@@ -6,7 +6,7 @@ import random
 import time
 from collections import defaultdict
 
-from tracewell.operators import graph, memory, summaries, walking, windows
+from tracewell.operators import graph, memory, storage, summaries, walking, windows
 from tracewell.streaming import events as streams
 
 SCHEMA = "src long, dst long, op string, t long, event_uuid long"
@@ -201,3 +201,22 @@ def test_drift_and_martingale_with_a_hot_key(spark):
     for k, x, i in rows:
         n[k], s[k] = n[k] + 1, s[k] + (x > 15)
         assert math.isclose(m[i], math.exp(0.5 * s[k] - n[k] * math.log(1 - 0.2 + 0.2 * math.exp(0.5))), rel_tol=1e-9)
+
+
+def test_walkers_are_not_broadcast(spark, monkeypatch):
+    """Files of walkers are small for their rows, so a step sorts and shuffles them whatever Spark makes of the bytes; so do tables over the bound of rows."""
+    plans, write = [], walking.written
+
+    def kept(table, label):
+        plans.append((label, table._jdf.queryExecution().executedPlan().toString()))
+        return write(table, label)
+
+    monkeypatch.setattr(walking, "written", kept)
+    edges = spark.createDataFrame(some_edges(60), SCHEMA)
+    walking.degree_walks(edges, 2, 2)
+    walking.walks(edges, 2, 2)
+    steps = [plan for label, plan in plans if label == "walks" and "md5" in plan]
+    assert len(steps) == 3 and all("SortMergeJoin [node" in plan for plan in steps)
+    monkeypatch.setattr(storage, "BROADCAST_ROWS", 10)
+    many = storage.written(spark.range(20), "many")
+    assert "Broadcast" not in spark.range(5).join(storage.bounded(many), "id")._jdf.queryExecution().executedPlan().toString()

@@ -49,7 +49,7 @@ def walks(edges: DataFrame, length: int, per_node: int, seed: int = 0, temporal:
             asked = waiting.select("node", "t", F.lit(1).alias("asks"), "start", "walk", "deg", "seen")
             waiting = running(passed.unionByName(asked).withColumnRenamed("seen", "came"), ["node"], ["t", "asks", "start", "walk"], "max", seen=F.col("came")).where("asks = 1 AND deg > seen")
         chosen = waiting.select("walk", "start", "node", (F.col("seen") + 1 + F.pmod(drawn(seed, "start", "walk", F.lit(step)), F.col("deg") - F.col("seen"))).alias("r"))
-        met = chosen.join(out, ["node", "r"]).join(following, "next", "left")
+        met = chosen.hint("merge").join(out, ["node", "r"]).join(following, "next", "left")  # walkers take few bytes in files: without the hint millions would be broadcast
         front = written(met.select("walk", "start", F.lit(step).alias("step"), F.col("next").alias("node"), "op", F.col("e_t").alias("t"), F.col("next_deg").alias("deg")), "walks")
         if front.isEmpty():
             break
@@ -82,7 +82,7 @@ def degree_walks(edges: DataFrame, length: int, per_neighbour: int, seed: int =
         of = ("start", "walk", F.lit(step))
         chosen = front.where("deg IS NOT NULL").select("start", "walk", "node", F.pmod(drawn(seed, *of), "deg").alias("k"))
         op = F.get("ops", F.pmod(drawn(seed + 1, *of), F.size("ops")).cast("int"))
-        front = written(chosen.join(near, ["node", "k"]).select("start", "walk", F.lit(step).alias("step"), F.col("next").alias("node"), op.alias("op"), F.col("next_deg").alias("deg")), "walks")
+        front = written(chosen.hint("merge").join(near, ["node", "k"]).select("start", "walk", F.lit(step).alias("step"), F.col("next").alias("node"), op.alias("op"), F.col("next_deg").alias("deg")), "walks")
         if front.isEmpty():
             break
         whole = whole.unionByName(front)
