@@ -239,3 +239,26 @@ def test_whole_seeds_and_windows(spark, tmp_path):
 def test_closures_of_long_chains(spark):
     e = edges(spark, [(f"n{i}", f"n{i + 1}", i, "X") for i in range(66)])
     assert graph.reach(e, spark.createDataFrame([("n0",)], "node string")).count() == 67
+
+
+def test_divergence_deals_keys_to_tasks(spark, monkeypatch):
+    """Tasks grow with keys, so that none sums the grid points of many; the result stays."""
+    import numpy as np
+
+    from tracewell.operators import vectors
+
+    rng = np.random.default_rng(1)
+    data = {k: rng.normal(k, 1 + k, 12) for k in range(40)}
+    rows = spark.createDataFrame([(k, float(x)) for k, v in data.items() for x in v] + [(99, 1.0), (None, 2.0)], "k long, x double")
+    one = rows.groupBy("k").agg(F.array(F.struct(F.avg("x").alias("mean"), F.pow(F.stddev_pop("x"), F.lit(2)).alias("var"), F.lit(1.0).alias("weight"))).alias("mixture"))
+    monkeypatch.setattr(vectors, "SUMS", 512)
+    found = vectors.divergence(rows, one, "x", "k")
+    assert "hashpartitioning(k#" in (plan := found._jdf.queryExecution().executedPlan().toString()) and ", 10), REPARTITION_BY_NUM" in plan  # 40 keys of 128 points, 512 a task
+    got = {r.k: r.kl for r in found.collect()}
+    assert got.keys() == data.keys()
+    for k, x in data.items():
+        h = len(x) ** -0.2 * x.std(ddof=1)
+        g, dx = np.linspace(x.min() - 3 * h, x.max() + 3 * h, 128, retstep=True)
+        p = np.maximum(np.exp(-0.5 * ((g[:, None] - x) / h) ** 2).mean(axis=1) / (h * np.sqrt(2 * np.pi)), 1e-12)
+        q = np.maximum(np.exp(-0.5 * (g - x.mean()) ** 2 / x.var()) / np.sqrt(2 * np.pi * x.var()), 1e-12)
+        assert abs(got[k] - (p * np.log(p / q)).sum() * dx) < 1e-9

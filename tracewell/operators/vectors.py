@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.text import one_hot
 from tracewell.operators.mixtures import histogram, quantiles
+from tracewell.operators.storage import bounded, written
 
 PARTS = [*(f"kde{i}" for i in range(5)), "mean", "std", "skew", "kurt", *(f"{f}{k}" for k in (1, 2, 3) for f in ("cos", "sin")), "q25", "q50", "q75", "n", "range"]
 TINY = 1e-6
+#: Grid points of all keys of a task, about: a task's table of sums has a row for each.
+SUMS = 500_000
 
 
 def quadrature(points: int = 10) -> tuple[list[float], list[float]]:
@@ -94,13 +97,15 @@ def pseudo_points(mixture: str) -> Column:
 
 
 def divergence(values: DataFrame, mixtures: DataFrame, column: str, *key: str, grid: int = 128, floor: float = 1e-12) -> DataFrame:
-    """(key, kl): the divergence of a key's density estimate from its mixture, on a grid over its values and three bandwidths beside them."""
+    """(key, kl): the divergence of a key's density estimate from its mixture, on a grid over its values and three bandwidths beside them. Keys are dealt to as many tasks as keep each one's grid points few, however many keys there are."""
     rows = values.select(*key, F.col(column).cast("double").alias("x"))
     stats = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.stddev_samp("x").alias("s"), F.min("x").alias("low"), F.max("x").alias("high")).where("n > 1 AND s > 0")
     h = F.pow("n", F.lit(-0.2)) * F.col("s")
     at = stats.select(*key, h.alias("h"), (F.col("low") - 3 * h).alias("a"), ((F.col("high") - F.col("low") + 6 * h) / (grid - 1)).alias("dx"))
+    at = written(at, "grids")
+    tasks = max(int(values.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-at.count() * grid // SUMS))
     z = (F.col("a") + F.col("i") * F.col("dx") - F.col("x")) / F.col("h")
-    each = rows.join(at, list(key)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
+    each = rows.repartition(tasks, *key).join(bounded(at), list(key)).withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(grid - 1))))
     p = each.groupBy(*key, "i", "a", "dx").agg(F.avg(F.exp(-0.5 * z * z) / (F.col("h") * float(np.sqrt(2 * np.pi)))).alias("p"))
     g = F.col("a") + F.col("i") * F.col("dx")
     q = F.aggregate("mixture", F.lit(0.0), lambda s, c: s + c["weight"] * F.exp(-0.5 * (g - c["mean"]) * (g - c["mean"]) / c["var"]) / F.sqrt(2 * float(np.pi) * c["var"]))
