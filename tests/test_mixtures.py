@@ -119,3 +119,19 @@ def test_summaries_of_mixtures(spark):
     assert m.storage(rows).first().asDict() == {"edges": 2, "times": 5.0, "components": 3, "ratio": 0.6, "least": 1, "most": 2, "median": 1.5}
     empty = spark.createDataFrame([], "key string, v double")
     assert m.mixtures(empty, "v", "key", rounds=1, cluster_rounds=1).count() == 0
+
+
+def test_long_keys_go_in_chunks(spark):
+    rng = np.random.default_rng(3)
+    values = {"long": np.round(np.concatenate([rng.normal(0, 1, 500), rng.normal(30, 3, 200)]), 3), "short": np.array([1.0, 2.0, 2.0, 9.0])}
+    values["long"] = np.unique(values["long"])
+    hist = m.histogram(spark.createDataFrame([(k, float(x)) for k, v in values.items() for x in v], "key string, v double"), "v", "key")
+    packs = m.packed(m.centred(hist, m.summary(hist, "key"), "key"), "key")
+    sizes = {k: sorted(r.size for r in packs.selectExpr("key", "size(xs) AS size").collect() if r.key == k) for k in values}
+    assert sizes == {"long": [len(values["long"]) % 256, *[256] * (len(values["long"]) // 256)], "short": [3]}
+    got = {(r.key, r.k): r for r in m.kmeans(packs, 3, "key", rounds=4).collect()}
+    assert got.keys() == {(key, k) for key in values for k in (1, 2, 3)}
+    for (key, k), r in got.items():
+        s, label = lloyd(values[key] - values[key].mean(), k, 4)
+        want = [(s[label == c].mean(), s[label == c].var(), (label == c).sum()) for c in np.unique(label)]
+        assert np.allclose([(p["mean"], p["var"], p["weight"]) for p in r.parts], want, rtol=1e-9, atol=1e-9)
