@@ -173,3 +173,19 @@ def test_temporal_paths_shuffle_no_pairs(spark, monkeypatch):
     ways = [(p, e, *x) for p in range(70) for e in range(1000, 1070) for x in ((e, 500), (500, p), (500, 600), (600, p))]
     found = [tuple(r) for r in got.collect()]
     assert len(found) == len(set(found)) and set(found) == {*ways, *((2006, 2000, 2000 + i, 2001 + i) for i in range(6))}
+
+
+def test_component_rounds_read_their_tables_once(spark, monkeypatch):
+    rows = [(g, 10 * k + i, 10 * k + (i + 1) % 4) for g in (1, 2) for k in range(3) for i in range(4)] + [(1, 0, 10), (1, 11, 25), (2, 20, 0), (2, 7, 7), (1, 30, 0)]
+    leaves, whole = defaultdict(int), graph.written
+
+    def counted(df, label):
+        leaves[label] = max(leaves[label], df._jdf.queryExecution().optimizedPlan().collectLeaves().size())
+        return whole(df, label)
+
+    monkeypatch.setattr(graph, "written", counted)
+    found, _ = graph.condensed(spark.createDataFrame(rows, "g int, src long, dst long"), "g")
+    of = {(r.g, r.node): r.component for r in found.collect()}
+    want = {(g, n): n // 10 * 10 if n % 10 < 4 and n != 30 else n for g, *ends in rows for n in ends}
+    assert of == want
+    assert leaves["core"] <= 4 and leaves["colours"] <= 12  # three rounds in one plan read theirs many times over
