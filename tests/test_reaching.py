@@ -68,3 +68,26 @@ def test_pseudo_graph_by_bits(spark):
     down = {x: closure(ways, x).keys() - {x} for x in first if x not in into or first[x] < into[x]}
     want = {(x[0], x[1], y[1]) for x, ys in down.items() if len(ys) <= 0.5 * sum(z[0] == x[0] for z in nodes) for y in ys}
     assert {tuple(r) for r in graph.pseudo_graph(e, 0.5, "day").collect()} == want and len({x for _, x, _ in want}) < len(down)
+
+
+def test_words_stand_for_classes(spark, monkeypatch):
+    """1,500 seeds to one of 3 hubs, 1,500 nodes from one: words are kept for classes of seeds and nodes, however many members they have; cycles, loops, nulls and a bound of hops as before."""
+    rows = [(1, i, 5000 + i % 3) for i in range(1500)] + [(1, 5000 + i % 3, 6000 + i) for i in range(1500)] + [(1, 5000, 5001), (1, 6000, 7), (1, 8, 8), (1, 5001, None), (2, 1, 2), (2, 2, 1)]
+    e = spark.createDataFrame(rows, "day int, src long, dst long")
+    stored, real = {}, reaching.written
+    for module in (graph, reaching):
+        monkeypatch.setattr(module, "written", lambda df, label: stored.setdefault(label, []).append(real(df, label)) or stored[label][-1])
+    nodes = e.select("day", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    for backward, most in ((False, None), (True, 2)):
+        found = graph.reach(e, nodes, "day", backward=backward, max_hops=most)
+        got = sorted(map(tuple, found.collect()), key=str)
+        want = [(1, None, None, 0)]
+        for day in (1, 2):
+            ways = {}
+            for _, s, t in (r for r in rows if r[0] == day):
+                a, b = (t, s) if backward else (s, t)
+                ways.setdefault(a, []).append(b) if a is not None else None
+            ends = {x for r in rows if r[0] == day for x in r[1:]} - {None}
+            want += [(day, s, n, h) for s in ends for n, h in closure(ways, s).items() if most is None or h <= most]
+        assert got == sorted(want, key=str) and len(want) > 500_000
+    assert sum(t.count() for t in stored["reached"]) < 200
