@@ -73,3 +73,17 @@ def test_means_in_one_grouping(spark):
     assert {r.k: r.vec for r in got.collect()} == {"a": [2.5, 2.0], "b": [None, None]}
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Generate" not in plan and plan.count("Aggregate") == 1
+
+
+def test_long_texts_are_spelled_in_pieces(spark, monkeypatch):
+    """A text of 5,000 words: no row holds all of its buckets, and none is lost."""
+    rows = [(0, [f"w{i % 700}" for i in range(5000)]), (1, ["abc", "abd"]), (2, [])]
+    docs = spark.createDataFrame(rows, "node long, words array<string>")
+    stored, real = [], m.written
+    monkeypatch.setattr(m, "written", lambda df, label: stored.append((label, real(df, label))) or stored[-1][1])
+    table = m.subword_table(docs, dims=2, buckets=64)
+    spelled = [r.words for r in next(t for label, t in stored if label == "spelled").collect()]
+    whole = [r.s for r in docs.select(F.flatten(F.transform("words", lambda w: m.subwords(w, buckets=64))).cast("array<string>").alias("s")).collect()]
+    assert max(map(len, spelled)) <= 20 * m.PIECE < len(whole[0])
+    assert sorted(b for s in spelled for b in s) == sorted(b for s in whole for b in s)
+    assert {str(r.bucket) for r in table.collect()} == {b for s in whole for b in s}

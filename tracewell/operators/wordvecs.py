@@ -11,6 +11,8 @@ from tracewell.operators.storage import bounded, written
 from tracewell.operators.summaries import context_vectors, word_vectors
 
 BUCKETS = 1 << 18
+#: Words of a text that are spelled in one row at most; training cuts sequences at 1,000 buckets anyway.
+PIECE = 500
 
 
 def bucket(text: Column, buckets: int = BUCKETS) -> Column:
@@ -28,8 +30,10 @@ def subwords(word: Column, shortest: int = 3, longest: int = 6, buckets: int = B
 
 
 def subword_table(documents: DataFrame, dims: int = 16, seed: int = 0, buckets: int = BUCKETS) -> DataFrame:
-    """(bucket, vec): skip-gram vectors of subword buckets, one table for all words, trained on documents (words) with each word as its buckets. Texts are sequences of buckets, so the reach of a context counts buckets."""
-    spelled = documents.select(F.transform(F.flatten(F.transform("words", lambda w: subwords(w, buckets=buckets))), lambda b: b.cast("string")).alias("words"))
+    """(bucket, vec): skip-gram vectors of subword buckets, one table for all words, trained on documents (words) with each word as its buckets. Texts are sequences of buckets, so the reach of a context counts buckets. A long text is spelled in pieces, so no row holds all of its buckets."""
+    starts = F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1)), F.lit(PIECE))
+    pieces = documents.select(F.explode(F.transform(starts, lambda i: F.slice("words", i, PIECE))).alias("words"))
+    spelled = pieces.select(F.transform(F.flatten(F.transform("words", lambda w: subwords(w, buckets=buckets))), lambda b: b.cast("string")).alias("words"))
     found = word_vectors(written(spelled, "spelled"), dims, seed, window=10).getVectors()
     return written(found.select(F.col("word").cast("long").alias("bucket"), vector_to_array("vector").alias("vec")), "buckets")
 
