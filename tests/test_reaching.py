@@ -91,3 +91,15 @@ def test_words_stand_for_classes(spark, monkeypatch):
             want += [(day, s, n, h) for s in ends for n, h in closure(ways, s).items() if most is None or h <= most]
         assert got == sorted(want, key=str) and len(want) > 500_000
     assert sum(t.count() for t in stored["reached"]) < 200
+
+
+def test_pseudo_graph_by_classes(spark, monkeypatch):
+    """300 roots, 3 hubs, 300 nodes behind them: what is counted and dropped are classes."""
+    rows = [(1, i, 5000 + i % 3, 1) for i in range(300)] + [(1, 5000 + i % 3, 6000 + i, 2) for i in range(300)]
+    e = spark.createDataFrame(rows, "day int, src long, dst long, t long")
+    stored, real = [], graph.written
+    for module in (graph, reaching):
+        monkeypatch.setattr(module, "written", lambda df, label: stored.append((label, real(df, label))) or stored[-1][1])
+    got = {(r.root, r.node) for r in graph.pseudo_graph(e, 0.5, "day").collect()}
+    assert got == {(i, x) for i in range(300) for x in [5000 + i % 3, *range(6000 + i % 3, 6300, 3)]}
+    assert sum(t.count() for label, t in stored if label in ("reached", "cells")) < 50
